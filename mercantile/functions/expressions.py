@@ -134,12 +134,18 @@ def score_confidence() -> Column:
     valid = F.lit(0)
     for ok in request_checks().values():
         valid = valid + F.when(F.coalesce(ok, F.lit(False)), 1).otherwise(0)
-    share = F.round(valid / F.lit(6.0), 2)
+    share = round_to(valid / F.lit(6.0), 2)
     raised = F.when(
         (F.col("monetary") > 500) & (F.col("frequency") > 3), F.least(share + 0.1, F.lit(0.95))
     ).otherwise(share)
     cut = F.when(F.col("late_delivery_rate") > 0.3, F.greatest(raised - 0.1, F.lit(0.3))).otherwise(raised)
-    return F.round(cut, 2)
+    return round_to(cut, 2)
+
+
+def round_to(value: str | Column, places: int) -> Column:
+    """DOUBLE rounded half away from zero after scaling, as array libraries and SQL engines do it."""
+    scale = F.lit(float(10**places))
+    return F.round(col(value).cast("double") * scale, 0) / scale
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -153,8 +159,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def dollars(value: str | Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(F.round(col(value), 2), 2))
+    return F.concat(F.lit("$"), F.format_number(round_to(value, 2), 2))
 
 
 def signed_percent(value: str | Column) -> Column:
-    return F.format_string("%+.1f%%", F.round(col(value), 1))
+    return F.format_string("%+.1f%%", round_to(value, 1))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercantile.functions.expressions import row_count
+from mercantile.functions.expressions import round_to, row_count
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -96,6 +96,6 @@ def status_distribution(orders: DataFrame) -> DataFrame:
     return (
         orders.groupBy("order_status")
         .agg(row_count().alias("total_orders"))
-        .withColumn("percentage", F.round(F.col("total_orders") * 100.0 / total.cast("double"), 2))
+        .withColumn("percentage", round_to(F.col("total_orders") * 100.0 / total.cast("double"), 2))
         .orderBy(F.desc("total_orders"), "order_status")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercantile.functions import dimensions as dim
-from mercantile.functions.expressions import by_segment, ratio, row_count
+from mercantile.functions.expressions import by_segment, ratio, round_to, row_count
 
 
 def campaign_plan(
@@ -44,8 +44,8 @@ def campaign_plan(
             F.lit(float(budget)).alias("budget"),
             "estimated_reach",
             F.round("buyers", 0).alias("estimated_conversion"),
-            F.round("revenue", 2).alias("expected_revenue"),
-            F.round(roi, 1).alias("roi"),
+            round_to("revenue", 2).alias("expected_revenue"),
+            round_to(roi, 1).alias("roi"),
         )
     )
 
@@ -85,11 +85,11 @@ def retention_scenarios(
             F.col("c.rate").alias("churn_reduction"),
             "total_customers",
             "churned_customers",
-            F.round(F.col("churned_customers").cast("double") * F.col("avg_revenue"), 2).alias("revenue_at_risk"),
+            round_to(F.col("churned_customers").cast("double") * F.col("avg_revenue"), 2).alias("revenue_at_risk"),
             "customers_retained",
-            F.round("recovered", 2).alias("revenue_recovered"),
+            round_to("recovered", 2).alias("revenue_recovered"),
             "cost",
-            F.round(roi, 2).alias("roi_pct"),
+            round_to(roi, 2).alias("roi_pct"),
         )
     )
 

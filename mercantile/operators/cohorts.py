@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercantile.functions.dates import month_of, months_between_firsts, shift
-from mercantile.functions.expressions import percent, row_count
+from mercantile.functions.expressions import percent, round_to, row_count
 from mercantile.operators.cleaning import orders_clean
 
 
@@ -67,7 +67,7 @@ def _retention(counted: DataFrame, group: Sequence[str]) -> DataFrame:
             "month_offset",
             "active_customers",
             "cohort_size",
-            F.round(percent(F.col("active_customers"), F.col("cohort_size")), 2).alias("retention_rate_pct"),
+            round_to(percent(F.col("active_customers"), F.col("cohort_size")), 2).alias("retention_rate_pct"),
         )
         .orderBy(*group, "month_offset")
     )
@@ -112,7 +112,7 @@ def avg_retention_by_offset(retention: DataFrame, last_offset: int = 6) -> DataF
     return (
         retention.where(F.col("month_offset") <= last_offset)
         .groupBy("month_offset")
-        .agg(F.round(mean, 2).alias("avg_retention_pct"))
+        .agg(round_to(mean, 2).alias("avg_retention_pct"))
         .orderBy("month_offset")
     )
 
@@ -139,7 +139,7 @@ def cohort_performance(retention: DataFrame) -> DataFrame:
         retention.groupBy("cohort_month")
         .agg(F.sum("active_customers").alias("active_customers"), first_size.alias("cohort_size"))
         .withColumn(
-            "initial_to_current_ratio", F.round(percent(F.col("active_customers"), F.col("cohort_size")), 2)
+            "initial_to_current_ratio", round_to(percent(F.col("active_customers"), F.col("cohort_size")), 2)
         )
         .orderBy(F.desc("cohort_month"))
     )

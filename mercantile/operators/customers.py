@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercantile.functions.dates import shift, whole_days
-from mercantile.functions.expressions import percent, ratio, row_count
+from mercantile.functions.expressions import percent, ratio, round_to, row_count
 from mercantile.operators.cleaning import orders_clean
 
 
@@ -127,7 +127,7 @@ def churn_by_segment(rfm: DataFrame, retention_base: DataFrame | None = None) ->
             F.count_if(F.col("churn_label") == 1).alias("churned_customers"),
         )
         .withColumn(
-            "churn_rate_pct", F.round(percent(F.col("churned_customers"), F.col("total_customers")), 2)
+            "churn_rate_pct", round_to(percent(F.col("churned_customers"), F.col("total_customers")), 2)
         )
         .orderBy(F.desc("churn_rate_pct"), "rfm_segment")
     )
@@ -139,7 +139,7 @@ def delay_vs_review(base: DataFrame) -> DataFrame:
     return (
         base.groupBy(bucket.alias("delay_bucket"))
         .agg(
-            F.round(ratio(F.sum(F.col("avg_review_score").cast("decimal(20,10)")), F.count("avg_review_score")), 2).alias(
+            round_to(ratio(F.sum(F.col("avg_review_score").cast("decimal(20,10)")), F.count("avg_review_score")), 2).alias(
                 "avg_review_score"
             ),
             row_count().alias("customer_count"),
@@ -156,7 +156,7 @@ def review_vs_repeat(base: DataFrame) -> DataFrame:
         .groupBy(bucket.alias("review_bucket"))
         .agg(
             row_count().alias("repeat_customer_count"),
-            F.round(ratio(F.sum("total_orders"), row_count()), 2).alias("avg_orders_per_repeat_customer"),
+            round_to(ratio(F.sum("total_orders"), row_count()), 2).alias("avg_orders_per_repeat_customer"),
             F.max("total_orders").alias("max_orders_in_bucket"),
         )
         .orderBy(F.asc_nulls_last("review_bucket"))

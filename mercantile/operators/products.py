@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercantile.functions.expressions import ratio, row_count
+from mercantile.functions.expressions import ratio, round_to, row_count
 from mercantile.operators.cleaning import orders_clean
 from mercantile.operators.revenue import share_pct
 from mercantile.sources.scratch import Scratch
@@ -103,7 +103,7 @@ def seller_performance(order_facts: DataFrame, items: DataFrame, sellers: DataFr
         .agg(
             row_count().alias("order_count"),
             F.sum("price").alias("revenue"),
-            F.round(ratio(F.sum("review"), F.count("review")), 2).alias("avg_review"),
+            round_to(ratio(F.sum("review"), F.count("review")), 2).alias("avg_review"),
         )
     )
     per_seller = scratch.store(per_seller, "sellers")
@@ -196,7 +196,7 @@ def seller_insights(top: DataFrame) -> DataFrame:
     return top.agg(
         row_count().alias("total_top_sellers"),
         best.alias("best"),
-        F.round(F.try_divide(F.sum(review).cast("double"), F.count(review).cast("double")), 6).alias(
+        round_to(F.try_divide(F.sum(review).cast("double"), F.count(review).cast("double")), 6).alias(
             "avg_review_top_sellers"
         ),
         F.mode("seller_state", True).alias("top_state"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercantile.functions.dates import period_of
-from mercantile.functions.expressions import dollars, percent, ratio, row_count, signed_percent
+from mercantile.functions.expressions import dollars, percent, ratio, round_to, row_count, signed_percent
 from mercantile.operators.cleaning import orders_clean
 
 
@@ -129,7 +129,7 @@ def revenue_growth(monthly: DataFrame, series: Sequence[str] = (), floor: float
     )
     growth = F.when(
         (F.col("periods") > 0) & (F.col("large_first") > 0),
-        F.round((F.pow(F.col("large_last") / F.col("large_first"), 1.0 / F.col("periods")) - 1.0) * 100.0, 2),
+        round_to((F.pow(F.col("large_last") / F.col("large_first"), 1.0 / F.col("periods")) - 1.0) * 100.0, 2),
     )
 
     def simple(count: str, begin: str, end: str) -> Column:
@@ -184,7 +184,7 @@ def revenue_forecast(monthly: DataFrame, periods: int = 3, series: Sequence[str]
         *series,
         F.add_months("last_month", F.col("forecast_horizon")).alias("month"),
         "forecast_horizon",
-        F.round(F.col("base") * F.pow("factor", F.col("forecast_horizon").cast("double")), 2).alias(
+        round_to(F.col("base") * F.pow("factor", F.col("forecast_horizon").cast("double")), 2).alias(
             "forecasted_revenue"
         ),
     )
@@ -195,13 +195,13 @@ def seasonality_index(monthly: DataFrame, series: Sequence[str] = ()) -> DataFra
     per_month = monthly.groupBy(*series, F.month("month").alias("month_num")).agg(
         F.sum("revenue").alias("total"), row_count().alias("n")
     )
-    mean = F.round(ratio(F.col("total"), F.col("n")), 6)
+    mean = round_to(ratio(F.col("total"), F.col("n")), 6)
     overall = F.avg(F.col("avg_revenue")).over(Window.partitionBy(*series))
     return per_month.withColumn("avg_revenue", mean).select(
         *series,
         "month_num",
         "avg_revenue",
-        F.round(F.try_divide(F.col("avg_revenue"), overall), 9).alias("seasonality_index"),
+        round_to(F.try_divide(F.col("avg_revenue"), overall), 9).alias("seasonality_index"),
     )
 
 
@@ -232,4 +232,4 @@ def report_monthly(monthly: DataFrame) -> DataFrame:
 
 
 def share_pct(part: Column, whole: Column) -> Column:
-    return F.round(percent(part, whole), 2)
+    return round_to(percent(part, whole), 2)

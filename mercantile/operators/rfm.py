@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercantile.functions import dimensions as dim
-from mercantile.functions.expressions import by_segment, dollars, percent, ratio, rfm_segment, row_count
+from mercantile.functions.expressions import by_segment, dollars, percent, ratio, rfm_segment, round_to, row_count
 from mercantile.operators.ordering import add_tiles, quantiles
 from mercantile.sources.scratch import Scratch
 
@@ -35,7 +35,7 @@ def rfm_validation(rfm: DataFrame) -> DataFrame:
     """Customers and mean recency per segment."""
     return (
         rfm.groupBy("rfm_segment")
-        .agg(row_count().alias("customers"), F.round(ratio(F.sum("recency_days"), row_count()), 1).alias("avg_recency"))
+        .agg(row_count().alias("customers"), round_to(ratio(F.sum("recency_days"), row_count()), 1).alias("avg_recency"))
         .orderBy("avg_recency", "rfm_segment")
     )
 
@@ -47,8 +47,8 @@ def segment_distribution(rfm: DataFrame) -> DataFrame:
         rfm.where(F.col("rfm_segment").isNotNull())
         .groupBy(F.col("rfm_segment").alias("segment"))
         .agg(row_count().alias("customer_count"), F.sum("monetary").alias("total_revenue"))
-        .withColumn("percentage", F.round(percent(F.col("customer_count"), everyone), 2))
-        .withColumn("avg_revenue_per_customer", F.round(ratio(F.col("total_revenue"), F.col("customer_count")), 2))
+        .withColumn("percentage", round_to(percent(F.col("customer_count"), everyone), 2))
+        .withColumn("avg_revenue_per_customer", round_to(ratio(F.col("total_revenue"), F.col("customer_count")), 2))
         .withColumn("total_revenue", F.col("total_revenue").cast("double"))
         .orderBy(F.desc("total_revenue"), "segment")
     )
@@ -60,10 +60,10 @@ def segment_metrics(rfm: DataFrame) -> DataFrame:
         rfm.groupBy("rfm_segment")
         .agg(
             F.count("monetary").alias("customer_count"),
-            F.round(F.sum("monetary").cast("double"), 2).alias("total_revenue"),
-            F.round(ratio(F.sum("monetary"), F.count("monetary")), 2).alias("avg_revenue"),
-            F.round(ratio(F.sum("frequency"), F.count("frequency")), 2).alias("avg_frequency"),
-            F.round(ratio(F.sum("recency_days"), F.count("recency_days")), 2).alias("avg_recency"),
+            round_to(F.sum("monetary").cast("double"), 2).alias("total_revenue"),
+            round_to(ratio(F.sum("monetary"), F.count("monetary")), 2).alias("avg_revenue"),
+            round_to(ratio(F.sum("frequency"), F.count("frequency")), 2).alias("avg_frequency"),
+            round_to(ratio(F.sum("recency_days"), F.count("recency_days")), 2).alias("avg_recency"),
         )
         .orderBy(F.desc("total_revenue"), "rfm_segment")
     )
@@ -107,7 +107,7 @@ def score_stats(rfm: DataFrame, scratch: Scratch) -> DataFrame:
         ratio(F.sum("recency_days"), row_count()).alias("recency_mean"),
         F.min("recency_days").alias("recency_min"),
         F.max("recency_days").alias("recency_max"),
-        F.round(F.stddev_samp("recency_days"), 6).alias("recency_std"),
+        round_to(F.stddev_samp("recency_days"), 6).alias("recency_std"),
         ratio(F.sum("frequency"), row_count()).alias("frequency_mean"),
         F.max("frequency").alias("frequency_max"),
         F.sum("frequency").alias("frequency_total_orders"),

@@ -10,6 +10,7 @@ from mercantile.functions.expressions import (
     by_segment,
     churn_score,
     failed_checks,
+    round_to,
     row_count,
     score_confidence,
     score_segment,
@@ -24,8 +25,8 @@ def customer_list(rfm: DataFrame, segment: str | None = None) -> DataFrame:
     return kept.select(
         "customer_unique_id",
         "rfm_segment",
-        F.round(segment_risk("rfm_segment", "recency_days"), 3).alias("churn_risk"),
-        F.round(simple_ltv("monetary", "frequency"), 2).alias("ltv_estimate"),
+        round_to(segment_risk("rfm_segment", "recency_days"), 3).alias("churn_risk"),
+        simple_ltv("monetary", "frequency").alias("ltv_estimate"),
         F.col("monetary").cast("double").alias("monetary"),
         "frequency",
     )
@@ -62,8 +63,8 @@ def customer_detail(
         F.col("monetary").cast("double").alias("total_spent"),
         F.col("frequency").alias("order_count"),
         F.col("recency_days").alias("days_since_last_purchase"),
-        F.round(segment_risk("rfm_segment", "recency_days"), 3).alias("churn_risk"),
-        F.round(simple_ltv("monetary", "frequency"), 2).alias("ltv_estimate"),
+        round_to(segment_risk("rfm_segment", "recency_days"), 3).alias("churn_risk"),
+        simple_ltv("monetary", "frequency").alias("ltv_estimate"),
         "model_risk",
         "churn_label",
         by_segment("rfm_segment", dim.RECOMMENDED_ACTION, dim.DEFAULT_ACTION).alias("recommended_action"),
@@ -88,9 +89,9 @@ def score_requests(requests: DataFrame, *carried: str) -> DataFrame:
     segment = score_segment("_score")
     return scored.select(
         *carried,
-        F.round("_score", 3).alias("churn_risk_score"),
+        round_to("_score", 3).alias("churn_risk_score"),
         segment.alias("segment"),
-        F.round(simple_ltv("monetary", "frequency") * (F.lit(1.0) - F.col("_score")), 2).alias("ltv_estimate"),
+        round_to(simple_ltv("monetary", "frequency") * (F.lit(1.0) - F.col("_score")), 2).alias("ltv_estimate"),
         by_segment(segment, dim.RECOMMENDED_ACTION, dim.DEFAULT_ACTION).alias("recommended_action"),
         score_confidence().alias("confidence"),
     )
@@ -127,8 +128,8 @@ def risk_band_totals(scored: DataFrame) -> DataFrame:
     band = F.when(p >= dim.HIGH_RISK, "high").when(p >= dim.MEDIUM_RISK, "medium").otherwise("low")
     return scored.groupBy(band.alias("risk_band")).agg(
         row_count().alias("customers"),
-        F.round(F.min(p), 6).alias("min_probability"),
-        F.round(F.max(p), 6).alias("max_probability"),
+        round_to(F.min(p), 6).alias("min_probability"),
+        round_to(F.max(p), 6).alias("max_probability"),
     )
 
 
@@ -144,7 +145,7 @@ def high_risk_list(scored: DataFrame, limit: int = 1000, key: str = "customer_un
         in_risk_band(scored, "high")
         .select(
             key,
-            F.round("churn_probability", 6).alias("churn_probability"),
+            round_to("churn_probability", 6).alias("churn_probability"),
             F.col("rfm_segment").alias("segment"),
             by_segment("rfm_segment", dim.RECOMMENDED_ACTION, dim.DEFAULT_ACTION).alias("action"),
         )

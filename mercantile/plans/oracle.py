@@ -288,16 +288,16 @@ def _retention_summary(label: int) -> str:
 _DETAIL = f"""SELECT r.customer_unique_id, rfm_segment AS segment, r_score, f_score, m_score, r.monetary::DOUBLE AS total_spent,
   r.frequency AS order_count, r.recency_days AS days_since_last_purchase, r.risk AS churn_risk, r.ltv AS ltv_estimate,
   CASE WHEN c.customer_unique_id IS NOT NULL THEN 0::DOUBLE END AS model_risk, c.churn_label, {ACTION} AS recommended_action
-FROM (SELECT *, round({RISK}, 3) AS risk, round({LTV}, 2) AS ltv FROM rfm) r
+FROM (SELECT *, round({RISK}, 3) AS risk, {LTV} AS ltv FROM rfm) r
 LEFT JOIN churn_raw c ON r.customer_unique_id = c.customer_unique_id"""
 
-_LIST = f"""SELECT customer_unique_id, rfm_segment, round({RISK}, 3) AS churn_risk, round({LTV}, 2) AS ltv_estimate,
+_LIST = f"""SELECT customer_unique_id, rfm_segment, round({RISK}, 3) AS churn_risk, {LTV} AS ltv_estimate,
   monetary::DOUBLE AS monetary, frequency FROM rfm"""
 
 _INSIGHTS = """SELECT count(*) AS total_categories, arg_max(product_category_name_english, profit) AS top_category,
   arg_max(revenue, profit) AS top_category_revenue, arg_max(margin_pct, profit) AS top_category_margin,
   sum(margin_pct::DECIMAL(9,2))::DOUBLE / count(*) AS avg_margin_all_categories,
-  (SELECT string_agg(n, ', ' ORDER BY profit DESC) FROM (
+  (SELECT coalesce(string_agg(n, ', ' ORDER BY profit DESC), '') FROM (
     SELECT product_category_name_english AS n, profit FROM top_categories
     WHERE margin_pct > (SELECT quantile_cont(margin_pct, 0.75) FROM top_categories) ORDER BY profit DESC, n LIMIT 5)) AS high_margin_categories
 FROM top_categories"""

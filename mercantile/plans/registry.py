@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercantile.functions.expressions import ratio
+from mercantile.functions.expressions import ratio, round_to
 from mercantile.operators import (
     audits,
     campaigns,
@@ -226,7 +226,7 @@ def _scoring() -> dict[str, Callable[[Warehouse], DataFrame]]:
             "customer_unique_id", "failed_fields"
         ),
         "churn_predictions": lambda w: scoring.riskiest(w.segment_probability).withColumn(
-            "churn_probability", F.round("churn_probability", 6)
+            "churn_probability", round_to("churn_probability", 6)
         ),
         "risk_band_totals": lambda w: scoring.risk_band_totals(w.segment_probability),
         "churn_risk_split": lambda w: scoring.churn_risk_split(w.segment_probability),
