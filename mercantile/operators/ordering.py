@@ -42,7 +42,7 @@ def slot_offsets(layout: DataFrame, group: str, sums: Sequence[str]) -> DataFram
 
 
 def rows_at_positions(
-    layout: DataFrame, order: Sequence[str], positions: Callable[[Column], Sequence[tuple[str, str, Column]]]
+    layout: DataFrame, order: Sequence[str], positions: Callable[[Column], Sequence[tuple[str | Column, str, Column]]]
 ) -> DataFrame:
     """The rows of a weighted layout that cover given 0-based positions.
 
@@ -53,7 +53,7 @@ def rows_at_positions(
     wanted = F.explode(
         F.array(
             *[
-                F.struct(F.lit(o).alias("ordering"), F.lit(tag).alias("tag"), position.cast("long").alias("position"))
+                F.struct((F.lit(o) if isinstance(o, str) else o).alias("ordering"), F.lit(tag).alias("tag"), position.cast("long").alias("position"))
                 for o, tag, position in positions(F.col("weight_total"))
             ]
         )
@@ -129,25 +129,35 @@ def add_tiles(
     return result.drop(*[f"cut_{o}_{t}" for o in keys for t in range(1, tiles)])
 
 
-def split_at_share(
-    df: DataFrame, key: Column, tiebreak: str, share: float, scratch: Scratch, key_type: str = "decimal(38,2)"
+def split_at_position(
+    df: DataFrame,
+    key: Column,
+    tiebreak: str,
+    position: Callable[[Column], Column],
+    scratch: Scratch,
+    names: tuple[str, str] = ("train", "test"),
+    within: str | None = None,
+    key_type: str = "decimal(38,2)",
 ) -> DataFrame:
-    """Adds ``split``: train for the first ``int(n * share)`` rows by key, test for the rest."""
-    layout = range_layout(
-        _stacked(df, {"o": key}, key_type, tiebreak).withColumn("weight", F.lit(1).cast("long")),
-        ["ordering", "key", tiebreak],
-        scratch,
-        "split",
-    )
-    first_test = rows_at_positions(
-        layout, ["key", tiebreak], lambda total: [("o", "cut", F.floor(total.cast("double") * share))]
-    )
-    one_row = first_test.agg(F.max(F.struct("key", tiebreak)).alias("cut"))
+    """Adds ``split``: the first name for rows before ``position(row count)`` by key, else the second.
+
+    With ``within`` the rows of each value of that column are split on their own; use it for columns
+    of few values, such as class labels. Pass a stored ``df``, for it is read twice.
+    """
+    group = F.lit("all") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("missing"))
+    rows = df.select(group.alias("ordering"), key.cast(key_type).alias("key"), tiebreak, F.lit(1).cast("long").alias("weight"))
+    layout = range_layout(rows, ["ordering", "key", tiebreak], scratch, "split")
+    # The position applies to every group, so the request names the group it is evaluated in.
+    cuts = rows_at_positions(
+        layout, ["key", tiebreak], lambda total: [(F.col("ordering"), "cut", position(total))]
+    ).select(F.col("ordering").alias("split_group"), F.struct("key", tiebreak).alias("cut"))
     here = F.struct(key.cast(key_type).alias("key"), F.col(tiebreak).alias(tiebreak))
+    later = F.coalesce(here >= F.col("cut"), F.lit(False))
     return (
-        df.crossJoin(F.broadcast(one_row))
-        .withColumn("split", F.when(here >= F.col("cut"), "test").otherwise("train"))
-        .drop("cut")
+        df.withColumn("split_group", group)
+        .join(F.broadcast(cuts), "split_group", "left")
+        .withColumn("split", F.when(later, names[1]).otherwise(names[0]))
+        .drop("split_group", "cut")
     )
 
 

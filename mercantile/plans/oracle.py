@@ -220,6 +220,7 @@ scored AS (
     WHEN p < 0.5 THEN 'New Customers' WHEN p < 0.7 THEN 'At Risk' WHEN p < 0.85 THEN 'Cant Lose Them' ELSE 'Lost' END AS rfm_segment,
     CASE WHEN monetary > 500 AND frequency > 3 THEN 0.95::DOUBLE ELSE 1::DOUBLE END AS raised
   FROM raw_score),
+points AS (SELECT churn_label AS y, round(p, 3) AS s FROM raw_score),
 risky AS (SELECT *, {RISK} AS churn_probability FROM rfm),
 calls AS (
   SELECT event_id AS call_id, user_id AS api_key, ts, date_trunc('month', ts)::DATE AS month,
@@ -227,6 +228,22 @@ calls AS (
     CASE user_id % 3 WHEN 0 THEN {TIER_CALLS['starter']} WHEN 1 THEN {TIER_CALLS['growth']} END AS cap FROM events)
 """
 
+_FEATURES = "recency_days frequency monetary tenure_days avg_review_score late_delivery_rate credit_card_rate avg_installments".split()
+
+
+def _feature_table(source: str, group: str) -> str:
+    by = f"{group}, " if group else ""
+    part = f"PARTITION BY {group}" if group else ""
+    lags = ", ".join(f"lag(revenue::DOUBLE, {n}) OVER w AS lag_{n}" for n in (1, 2, 3, 6))
+    return f"""SELECT {by}month, revenue::DOUBLE AS revenue, {lags},
+  CASE WHEN count(*) OVER w3 = 3 THEN (sum(revenue) OVER w3)::DOUBLE / 3 END AS rolling_mean_3,
+  CASE WHEN count(*) OVER w6 = 6 THEN (sum(revenue) OVER w6)::DOUBLE / 6 END AS rolling_mean_6,
+  CASE WHEN count(*) OVER w3 = 3 THEN round(stddev_samp(revenue::DOUBLE) OVER w3, 6) END AS rolling_std_3,
+  month(month)::INTEGER AS month_num, round(sin(2 * pi() * month(month) / 12), 6) AS month_sin,
+  round(cos(2 * pi() * month(month) / 12), 6) AS month_cos, (row_number() OVER w - 1)::INTEGER AS trend
+FROM {source} WINDOW w AS ({part} ORDER BY month), w3 AS ({part} ORDER BY month ROWS 2 PRECEDING), w6 AS ({part} ORDER BY month ROWS 5 PRECEDING)"""
+
+
 _RFM_COLUMNS = "customer_unique_id, recency_days, frequency, monetary::DOUBLE AS monetary, r_score, f_score, m_score"
 
 _RULES = ", ".join(
@@ -502,6 +519,50 @@ CROSS JOIN (SELECT count(*) AS t, count(*) FILTER (WHERE churn_label = 1) AS c F
 FROM revenue_bundle r CROSS JOIN (SELECT count(*) AS total_customers, sum(monetary)::DOUBLE / count(*) AS avg_revenue_per_customer FROM rfm) p
 CROSS JOIN (SELECT churn_rate_pct, revenue_at_risk, churned_customers, active_customers FROM metrics) m
 CROSS JOIN ({_retention_summary(1)}) t CROSS JOIN ({_INSIGHTS}) i""",
+    "ml_features": "SELECT customer_unique_id, churn_label, "
+    + ", ".join(f"coalesce({f}::DOUBLE, (SELECT quantile_cont({f}::DOUBLE, 0.5) FROM churn_raw)) AS {f}" for f in _FEATURES)
+    + " FROM churn_raw",
+    "ml_standardize": "SELECT customer_unique_id, "
+    + ", ".join(
+        f"round(({f}::DOUBLE - (SELECT avg({f}::DOUBLE) FROM churn_features)) / "
+        f"(SELECT CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END FROM churn_features), 6) AS {f}"
+        for f in _FEATURES
+    )
+    + " FROM churn_features",
+    "ml_split": """SELECT customer_unique_id, churn_label, CASE WHEN i < floor(n * 0.2::DOUBLE + 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT customer_unique_id, churn_label, count(*) OVER (PARTITION BY churn_label) AS n,
+    row_number() OVER (PARTITION BY churn_label ORDER BY md5('42-' || customer_unique_id::VARCHAR), customer_unique_id) - 1 AS i FROM churn_raw)""",
+    "split_by_recency": """SELECT customer_unique_id, recency_days,
+  CASE WHEN row_number() OVER (ORDER BY recency_days, customer_unique_id) - 1 < floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split
+FROM churn_raw""",
+    "class_weights": """SELECT churn_label, count(*) AS rows,
+  (sum(count(*)) OVER ())::DOUBLE / (count(*) OVER () * count(*))::DOUBLE AS class_weight FROM churn_raw GROUP BY 1""",
+    "eval_binary": """SELECT tp, fp, fn, tn, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy,
+  coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0::DOUBLE) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0::DOUBLE) AS recall,
+  coalesce((tp * 2)::DOUBLE / nullif(tp * 2 + fp + fn, 0), 0::DOUBLE) AS f1_score
+FROM (SELECT count(*) FILTER (WHERE y = 1 AND q) AS tp, count(*) FILTER (WHERE y = 0 AND q) AS fp,
+    count(*) FILTER (WHERE y = 1 AND NOT q) AS fn, count(*) FILTER (WHERE y = 0 AND NOT q) AS tn
+  FROM (SELECT churn_label AS y, round(p, 3) >= 0.5 AS q FROM raw_score))""",
+    "eval_ranking": """SELECT round((SELECT sum(CASE WHEN a.s > b.s THEN a.c * b.c * 1::DOUBLE WHEN a.s = b.s THEN a.c * b.c * 0.5::DOUBLE ELSE 0 END)
+    FROM (SELECT s, count(*) AS c FROM points WHERE y = 1 GROUP BY 1) a CROSS JOIN (SELECT s, count(*) AS c FROM points WHERE y = 0 GROUP BY 1) b)
+    / ((SELECT count(*) FROM points WHERE y = 1) * (SELECT count(*) FROM points WHERE y = 0)), 9) AS roc_auc,
+  round((SELECT sum(pos * cum_pos::DOUBLE / cum_all) / sum(pos) FROM (
+    SELECT pos, sum(pos) OVER (ORDER BY s DESC) AS cum_pos, sum(n) OVER (ORDER BY s DESC) AS cum_all
+    FROM (SELECT s, count(*) FILTER (WHERE y = 1) AS pos, count(*) AS n FROM points GROUP BY 1))), 9) AS average_precision""",
+    "eval_regression": """SELECT count(*) AS rows, round(avg(abs(y - q)), 6) AS mae, round(sqrt(avg((y - q) * (y - q))), 6) AS rmse,
+  round(avg(abs((y - q) / nullif(y, 0))) * 100, 6) AS mape, round(1 - sum((y - q) * (y - q)) / (var_pop(y) * count(*)), 6) AS r2
+FROM (SELECT revenue::DOUBLE AS y, (lag(revenue) OVER (PARTITION BY customer_state ORDER BY month))::DOUBLE AS q FROM monthly_state) WHERE q IS NOT NULL""",
+    "forecast_features": _feature_table("monthly", ""),
+    "forecast_features_by_category": _feature_table("monthly_category", "category"),
+    "clv_training_set": """SELECT * FROM (SELECT customer_unique_id, total_orders::DOUBLE AS frequency, total_revenue::DOUBLE AS monetary,
+    coalesce(avg_order_value, (SELECT quantile_cont(avg_order_value, 0.5) FROM base)) AS avg_order_value,
+    (date_diff('day', first_order_date::DATE, last_order_date::DATE) + recency_days)::DOUBLE AS customer_tenure_days,
+    total_orders::DOUBLE AS total_orders, total_revenue::DOUBLE AS total_revenue FROM base)
+WHERE total_revenue < (SELECT quantile_cont(total_revenue::DOUBLE, 0.99) FROM base)""",
+    "stream_monthly_revenue": "SELECT month, revenue::DOUBLE AS revenue FROM monthly",
+    "stream_usage": """SELECT api_key, tier, month, count(*) AS calls, least(count(*), coalesce(any_value(cap), count(*)))::BIGINT AS accepted,
+  (count(*) - least(count(*), coalesce(any_value(cap), count(*))))::BIGINT AS rejected FROM calls
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM calls) GROUP BY 1, 2, 3""",
     "usage_metering": """SELECT api_key, tier, month, count(*) AS calls, least(count(*), coalesce(any_value(cap), count(*)))::BIGINT AS accepted,
   (count(*) - least(count(*), coalesce(any_value(cap), count(*))))::BIGINT AS rejected FROM calls GROUP BY 1, 2, 3""",
     "usage_call_flags": """SELECT call_id, api_key, month, coalesce(n <= cap, true) AS accepted FROM (
@@ -509,5 +570,8 @@ CROSS JOIN ({_retention_summary(1)}) t CROSS JOIN ({_INSIGHTS}) i""",
 }
 
 
+STATEMENTS["stream_score"] = STATEMENTS["score_customers"]
+
+
 def oracle_queries() -> dict[str, str]:
     return {name: COMMON + statement for name, statement in STATEMENTS.items()}

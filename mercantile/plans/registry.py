@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercantile.functions.expressions import ratio, round_to
+from mercantile.functions.expressions import churn_score, ratio, round_to
+from mercantile.ml import churn_model, clv_model, features, forecast_model, metrics, split
 from mercantile.operators import (
     audits,
     campaigns,
@@ -25,6 +26,7 @@ from mercantile.operators import (
 )
 from mercantile.plans.warehouse import Warehouse
 from mercantile.sources.retail import StarSchemaRetail
+from mercantile.streaming import jobs
 
 # The test tables end in 2001 and have large monthly figures, so the date and the floor differ
 # from the defaults, which suit the public order dataset.
@@ -274,9 +276,118 @@ def _usage() -> dict[str, Query]:
     }
 
 
+def scored_customers(w: Warehouse) -> DataFrame:
+    """Customers with their heuristic churn score as probability and as a yes/no prediction."""
+    return (
+        scoring.valid_requests(w.churn_features)
+        .select("customer_unique_id", "churn_label", round_to(churn_score(), 3).alias("probability"))
+        .withColumn("prediction", F.when(F.col("probability") >= 0.5, 1).otherwise(0))
+    )
+
+
+def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: round_to(c, places) for c in columns})
+
+
+def _model_inputs() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    names = features.CHURN_FEATURES
+    key = "customer_unique_id"
+
+    def naive_forecast(w: Warehouse) -> DataFrame:
+        rows = forecast_model.forecast_features(w.monthly_by_state, ["customer_state"])
+        quality = metrics.regression_metrics(rows.where("lag_1 IS NOT NULL"), "revenue", "lag_1")
+        return rounded(quality, 6, "mae", "rmse", "mape", "r2")
+
+    def clv_rows(w: Warehouse) -> DataFrame:
+        customers_ = clv_model.clv_customers(w.retention_base)
+        return features.clv_training_set(customers_, features.clv_feature_names(customers_.columns), w.scratch)
+
+    def feature_table(w: Warehouse, monthly: DataFrame, series: list[str]) -> DataFrame:
+        table = forecast_model.forecast_features(monthly, series)
+        return rounded(table, 6, "rolling_std_3", "month_sin", "month_cos")
+
+    return {
+        "ml_features": lambda w: features.impute_median(w.churn_raw, names, w.scratch),
+        "ml_standardize": lambda w: rounded(
+            features.standardize(w.churn_features, names).select(key, *names), 6, *names
+        ),
+        "ml_split": lambda w: split.stratified(w.churn_raw.select(key, "churn_label"), key, "churn_label", w.scratch),
+        "split_by_recency": lambda w: split.by_recency(w.churn_raw.select(key, "recency_days"), key, w.scratch),
+        "class_weights": lambda w: metrics.class_weights(w.churn_raw),
+        "eval_binary": lambda w: metrics.binary_metrics(scored_customers(w)),
+        "eval_ranking": lambda w: rounded(
+            metrics.ranking_metrics(scored_customers(w), w.scratch), 9, "roc_auc", "average_precision"
+        ),
+        "eval_regression": naive_forecast,
+        "forecast_features": lambda w: feature_table(w, w.monthly_revenue, []),
+        "forecast_features_by_category": lambda w: feature_table(w, w.monthly_by_category, ["category"]),
+        "clv_training_set": clv_rows,
+    }
+
+
+def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    def churn_scores(w: Warehouse) -> DataFrame:
+        model, _ = churn_model.train(w.churn_features, w.scratch, exclude_time=True)
+        filled = features.prepare_churn(w.churn_raw, model.features, w.scratch)
+        return model.score(filled).select("customer_unique_id", "prediction", "churn_probability", "risk_level")
+
+    def importances(w: Warehouse) -> DataFrame:
+        model, _ = churn_model.train(w.churn_features, w.scratch, exclude_time=True)
+        return model.importances(w.churn_raw)
+
+    def clv_scores(w: Warehouse) -> DataFrame:
+        people = clv_model.clv_customers(w.retention_base)
+        model, _ = clv_model.train(people, w.scratch)
+        return model.score(people, w.scratch)
+
+    def forecasts(w: Warehouse) -> DataFrame:
+        model, _ = forecast_model.train(w.monthly_by_category, w.scratch, ["category"])
+        return model.forecast(6)
+
+    return {
+        "ml_churn_train": lambda w: churn_model.train(w.churn_features, w.scratch)[1],
+        "ml_churn_train_by_recency": lambda w: churn_model.train(
+            w.churn_features, w.scratch, exclude_time=True, use_time_split=True
+        )[1],
+        "ml_importance": importances,
+        "ml_churn_score": churn_scores,
+        "ml_cv": lambda w: churn_model.cross_validate(w.churn_features, w.scratch, exclude_time=True),
+        "ml_ablation": lambda w: churn_model.ablation(w.churn_features, w.scratch),
+        "ml_forecast": lambda w: forecast_model.train(w.monthly_by_category, w.scratch, ["category"])[1],
+        "ml_forecast_recursive": forecasts,
+        "ml_clv": lambda w: clv_model.train(clv_model.clv_customers(w.retention_base), w.scratch)[1],
+        "ml_clv_score": clv_scores,
+    }
+
+
+def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    def scores(w: Warehouse) -> DataFrame:
+        requests, results = w.scratch.path("requests"), w.scratch.path("scores")
+        w.churn_features.write.parquet(requests)
+        scored = jobs.score_stream(jobs.parquet_stream(w.spark, requests), "customer_unique_id")
+        jobs.run_to_parquet(scored, results, w.scratch.path("scores_checkpoint"))
+        return w.spark.read.schema(scored.schema).parquet(results)
+
+    def monthly(w: Warehouse) -> DataFrame:
+        orders = w.scratch.store(w.tables.order_facts(False, False), "orders")
+        lines = jobs.parquet_stream(w.spark, f"{w.tables.directory}/lineitem.parquet")
+        totals = jobs.monthly_revenue_stream(w.tables.payments_of(lines), orders)
+        name = jobs.run_to_table(totals, w.scratch.path("revenue_checkpoint"), "monthly_revenue")
+        return money(w.spark.table(name), "revenue")
+
+    def closed_usage(w: Warehouse) -> DataFrame:
+        calls = as_calls(jobs.parquet_stream(w.spark, f"{w.tables.directory}/events.parquet"))
+        days, results = jobs.daily_usage_stream(calls, "0 seconds"), w.scratch.path("days")
+        jobs.run_to_parquet(days, results, w.scratch.path("days_checkpoint"))
+        return jobs.monthly_usage_of_days(w.spark.read.schema(days.schema).parquet(results), TIER_CALLS)
+
+    return {"stream_score": scores, "stream_monthly_revenue": monthly, "stream_usage": closed_usage}
+
+
 def all_queries() -> dict[str, Query]:
     queries: dict[str, Query] = {}
-    for group in (_cleaning, _customers, _cohorts, _revenue, _products, _scoring, _reports):
+    groups = (_cleaning, _customers, _cohorts, _revenue, _products, _scoring, _reports, _model_inputs, _models, _streams)
+    for group in groups:
         for name, plan in group().items():
             queries[name] = lambda spark, directory, plan=plan: plan(warehouse(spark, directory))
     queries.update(_usage())

@@ -73,11 +73,11 @@ class StarSchemaRetail(RetailTables):
 
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
-        self._directory = directory.rstrip("/")
+        self.directory = directory.rstrip("/")
         super().__init__()
 
     def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self._spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -137,7 +137,11 @@ class StarSchemaRetail(RetailTables):
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self._read("lineitem").select(F.col("l_orderkey").alias("order_id"), *self._payment_columns())
+        return self.payments_of(self._read("lineitem"))
+
+    def payments_of(self, lines: DataFrame) -> DataFrame:
+        """Payment rows of a batch or a stream of line items."""
+        return lines.select(F.col("l_orderkey").alias("order_id"), *self._payment_columns())
 
     @staticmethod
     def _payment_columns():
