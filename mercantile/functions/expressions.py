@@ -20,17 +20,14 @@ def row_count() -> Column:
 
 def lookup(key: str | Column, values: Mapping[str, object], default: object = None) -> Column:
     """Value for ``key`` from a small constant mapping, else ``default``."""
-    key = col(key)
-    result = None
-    for name, value in values.items():
-        result = F.when(key == name, F.lit(value)) if result is None else result.when(key == name, F.lit(value))
-    return result.otherwise(F.lit(default))
+    entries = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    found = F.try_element_at(entries, col(key))
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def canonical_segment(segment: str | Column) -> Column:
     """Segment label with aliases folded together."""
-    segment = col(segment)
-    return F.coalesce(lookup(segment, dim.SEGMENT_ALIASES), segment)
+    return F.coalesce(lookup(segment, dim.SEGMENT_ALIASES), col(segment))
 
 
 def by_segment(segment: str | Column, values: Mapping[str, object], default: object = None) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercantile.operators.ordering import quantiles
+from mercantile.operators.ordering import quantile_values
 from mercantile.sources.scratch import Scratch
 
 # Feature names and their order.
@@ -41,9 +41,8 @@ def clv_feature_names(columns: Sequence[str]) -> list[str]:
 
 def impute_median(df: DataFrame, features: Sequence[str], scratch: Scratch) -> DataFrame:
     """NULL features become the exact median of their column. Pass a stored ``df``: it is read twice."""
-    medians = quantiles(df, {f"{f}__median": (f, 0.5) for f in features}, scratch)
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.col(f"{f}__median")) for f in features}
-    return df.crossJoin(F.broadcast(medians)).withColumns(filled).drop(*[f"{f}__median" for f in features])
+    medians = quantile_values(df, {f: (f, 0.5) for f in features}, scratch)
+    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in features})
 
 
 def prepare_churn(df: DataFrame, features: Sequence[str], scratch: Scratch, label: str = "churn_label") -> DataFrame:
@@ -72,5 +71,5 @@ def clv_training_set(
     columns = list(dict.fromkeys([*features, target]))
     filled = impute_median(df, columns, scratch)
     # The quantile is taken over the filled target.
-    limit = quantiles(filled, {"target_limit": (target, top)}, scratch)
-    return filled.crossJoin(F.broadcast(limit)).where(F.col(target) < F.col("target_limit")).drop("target_limit")
+    limit = quantile_values(filled, {"limit": (target, top)}, scratch)["limit"]
+    return filled.where(F.col(target) < F.lit(limit))

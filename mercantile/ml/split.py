@@ -20,7 +20,7 @@ def by_recency(df: DataFrame, key: str, scratch: Scratch, test_share: float = 0.
         df,
         F.col("recency_days"),
         key,
-        lambda n: F.floor(n.cast("double") * (1 - test_share)),
+        lambda n: int(n * (1 - test_share)),
         scratch,
     )
 
@@ -33,7 +33,7 @@ def stratified(
         df,
         shuffled_key(key, seed),
         key,
-        lambda n: F.floor(n.cast("double") * test_share + 0.5),
+        lambda n: int(n * test_share + 0.5),
         scratch,
         names=("test", "train"),
         within=label,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mercantile.functions.dates import floor_days
 from mercantile.functions.expressions import ratio, row_count
 from mercantile.operators.cleaning import delivered
-from mercantile.operators.ordering import quantiles
+from mercantile.operators.ordering import quantile_values
 from mercantile.sources.scratch import Scratch
 
 
@@ -76,12 +76,9 @@ def fill_features(raw: DataFrame, scratch: Scratch) -> DataFrame:
 
     Pass a stored ``raw``: the median is a second read of it.
     """
-    median = quantiles(raw, {"median_review": ("avg_review_score", 0.5)}, scratch)
-    return (
-        raw.crossJoin(F.broadcast(median))
-        .withColumn("avg_review_score", F.coalesce("avg_review_score", "median_review"))
-        .drop("median_review")
-        .fillna({"credit_card_rate": 0.0, "avg_installments": 1.0, "late_delivery_rate": 0.0})
+    median = quantile_values(raw, {"review": ("avg_review_score", 0.5)}, scratch)["review"]
+    return raw.withColumn("avg_review_score", F.coalesce("avg_review_score", F.lit(median).cast("double"))).fillna(
+        {"credit_card_rate": 0.0, "avg_installments": 1.0, "late_delivery_rate": 0.0}
     )
 
 

@@ -4,13 +4,18 @@ A window over a whole table moves every row to one task. Here the rows are range
 unique composite key and stored together with the number of the range ("slot") they fell in. Row
 counts per slot give every slot's offset, so a global position needs only an in-slot sort, and the
 few rows that sit at given positions need only the slots that hold them.
+
+What reaches the driver is bounded by the cluster's settings and the request, never by the data:
+one count per slot (there are as many as shuffle partitions) and one row per requested position.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from mercantile.functions.expressions import row_count
@@ -42,39 +47,51 @@ def slot_offsets(layout: DataFrame, group: str, sums: Sequence[str]) -> DataFram
 
 
 def rows_at_positions(
-    layout: DataFrame, order: Sequence[str], positions: Callable[[Column], Sequence[tuple[str | Column, str, Column]]]
-) -> DataFrame:
-    """The rows of a weighted layout that cover given 0-based positions.
+    layout: DataFrame, order: Sequence[str], positions: Callable[[str, int], Mapping[str, int]]
+) -> tuple[dict[tuple[str, str], Row], dict[str, int]]:
+    """The rows of a weighted layout that cover given 0-based positions, and the weight per ordering.
 
     ``layout`` has columns ``ordering``, ``slot``, ``weight`` and those in ``order``. ``positions``
-    maps the total weight of an ordering to (ordering, tag, position) triples. A row covers the
-    positions from the weight before it up to, but without, that plus its own weight.
+    maps an ordering and its total weight to positions by tag. A row covers the positions from the
+    weight before it up to, but without, that plus its own weight. Positions past the end are
+    left out of the result, which is keyed by (ordering, tag).
     """
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct((F.lit(o) if isinstance(o, str) else o).alias("ordering"), F.lit(tag).alias("tag"), position.cast("long").alias("position"))
-                for o, tag, position in positions(F.col("weight_total"))
-            ]
-        )
-    )
-    begin, end = F.col("weight_before"), F.col("weight_before") + F.col("weight_slot")
-    targets = (
-        slot_offsets(layout, "ordering", ["weight"])
-        .select("*", wanted.alias("w"))
-        .where((F.col("w.ordering") == F.col("ordering")) & (F.col("w.position") >= begin) & (F.col("w.position") < end))
-        .groupBy("ordering", "slot", "weight_before", "weight_total")
-        .agg(F.collect_list(F.struct("w.tag", "w.position")).alias("wanted"))
-    )
+    counts = layout.groupBy("ordering", "slot").agg(F.sum("weight").alias("n")).orderBy("ordering", "slot").collect()
+    totals: dict[str, int] = {}
+    for c in counts:
+        totals[c["ordering"]] = totals.get(c["ordering"], 0) + c["n"]
+    requests = {o: positions(o, total) for o, total in totals.items()}
+
+    before: dict[str, int] = dict.fromkeys(totals, 0)
+    places = []
+    for c in counts:
+        ordering, begin = c["ordering"], before[c["ordering"]]
+        places += [
+            (ordering, c["slot"], tag, at - begin)
+            for tag, at in requests[ordering].items()
+            if begin <= at < begin + c["n"]
+        ]
+        before[ordering] = begin + c["n"]
+    if not places:
+        return {}, totals
+
+    # Literal predicates on ordering and slot reach the scan and skip the files of all other slots.
+    slots = sorted({(o, s) for o, s, _, _ in places})
+    chosen = F.lit(False)
+    for o, s in slots:
+        chosen = chosen | ((F.col("ordering") == o) & (F.col("slot") == s))
     inside = Window.partitionBy("ordering", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # One row per requested position at most, so the broadcast is bounded by the request.
-    hit = (
-        layout.join(F.broadcast(targets), ["ordering", "slot"])
-        .withColumn("upto", F.col("weight_before") + F.sum("weight").over(inside))
-        .select("*", F.explode("wanted").alias("at"))
-        .where((F.col("at.position") < F.col("upto")) & (F.col("at.position") >= F.col("upto") - F.col("weight")))
+    upto, weight = F.col("upto"), F.col("weight")
+    tags = [
+        F.when((F.col("ordering") == o) & (F.col("slot") == s) & (upto > at) & (upto - weight <= at), F.lit(tag))
+        for o, s, tag, at in places
+    ]
+    found = (
+        layout.where(F.col("slot").isin(sorted({s for _, s in slots})) & chosen)
+        .withColumn("upto", F.sum("weight").over(inside))
+        .select("ordering", F.explode(F.array_compact(F.array(*tags))).alias("tag"), *order)
     )
-    return hit.select("ordering", "at.tag", "at.position", "weight_total", *order)
+    return {(r["ordering"], r["tag"]): r for r in found.collect()}, totals
 
 
 def _stacked(df: DataFrame, keys: Mapping[str, Column], key_type: str, *carried: str) -> DataFrame:
@@ -85,6 +102,15 @@ def _stacked(df: DataFrame, keys: Mapping[str, Column], key_type: str, *carried:
     return df.select(pairs.alias("p"), *carried).select("p.ordering", "p.key", *carried).where("key IS NOT NULL")
 
 
+def _reaches(df: DataFrame, key: Column, key_type: str, tiebreak: str, cut: Row | None) -> Column:
+    """Whether a row sorts at or after the cut row; there is none past the end."""
+    if cut is None:
+        return F.lit(False)
+    key, at = key.cast(key_type), F.lit(cut["key"]).cast(key_type)
+    last = F.lit(cut[tiebreak]).cast(df.schema[tiebreak].dataType)
+    return (key > at) | ((key == at) & (F.col(tiebreak) >= last))
+
+
 def add_tiles(
     df: DataFrame,
     keys: Mapping[str, Column],
@@ -106,34 +132,26 @@ def add_tiles(
         "tiles",
     )
 
-    def first_rows(total: Column):
-        whole, extra = F.floor(total / tiles), total % tiles
-        return [(o, str(t), whole * t + F.least(extra, F.lit(t))) for o in keys for t in range(1, tiles)]
+    def first_rows(_: str, total: int) -> dict[str, int]:
+        whole, extra = divmod(total, tiles)
+        return {str(t): whole * t + min(extra, t) for t in range(1, tiles)}
 
-    cuts = rows_at_positions(layout, ["key", tiebreak], first_rows)
-    cut = F.struct("key", tiebreak)
-    per_tile = [
-        F.max(F.when((F.col("ordering") == o) & (F.col("tag") == str(t)), cut)).alias(f"cut_{o}_{t}")
-        for o in keys
-        for t in range(1, tiles)
-    ]
-    one_row = cuts.agg(*per_tile)
-    result = df.crossJoin(F.broadcast(one_row))
+    cuts, _ = rows_at_positions(layout, ["key", tiebreak], first_rows)
+    numbers = {}
     for o, key in keys.items():
-        here = F.struct(key.cast(key_type).alias("key"), F.col(tiebreak).alias(tiebreak))
         number = F.lit(1)
         for t in range(1, tiles):
-            reached = F.coalesce(here >= F.col(f"cut_{o}_{t}"), F.lit(False))
+            reached = _reaches(df, key, key_type, tiebreak, cuts.get((o, str(t))))
             number = number + F.when(reached, 1).otherwise(0)
-        result = result.withColumn(o, number)
-    return result.drop(*[f"cut_{o}_{t}" for o in keys for t in range(1, tiles)])
+        numbers[o] = number
+    return df.withColumns(numbers)
 
 
 def split_at_position(
     df: DataFrame,
     key: Column,
     tiebreak: str,
-    position: Callable[[Column], Column],
+    position: Callable[[int], int],
     scratch: Scratch,
     names: tuple[str, str] = ("train", "test"),
     within: str | None = None,
@@ -145,68 +163,60 @@ def split_at_position(
     of few values, such as class labels. Pass a stored ``df``, for it is read twice.
     """
     group = F.lit("all") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("missing"))
-    rows = df.select(group.alias("ordering"), key.cast(key_type).alias("key"), tiebreak, F.lit(1).cast("long").alias("weight"))
-    layout = range_layout(rows, ["ordering", "key", tiebreak], scratch, "split")
-    # The position applies to every group, so the request names the group it is evaluated in.
-    cuts = rows_at_positions(
-        layout, ["key", tiebreak], lambda total: [(F.col("ordering"), "cut", position(total))]
-    ).select(F.col("ordering").alias("split_group"), F.struct("key", tiebreak).alias("cut"))
-    here = F.struct(key.cast(key_type).alias("key"), F.col(tiebreak).alias(tiebreak))
-    later = F.coalesce(here >= F.col("cut"), F.lit(False))
-    return (
-        df.withColumn("split_group", group)
-        .join(F.broadcast(cuts), "split_group", "left")
-        .withColumn("split", F.when(later, names[1]).otherwise(names[0]))
-        .drop("split_group", "cut")
+    rows = df.select(
+        group.alias("ordering"), key.cast(key_type).alias("key"), tiebreak, F.lit(1).cast("long").alias("weight")
     )
+    layout = range_layout(rows, ["ordering", "key", tiebreak], scratch, "split")
+    cuts, totals = rows_at_positions(layout, ["key", tiebreak], lambda _, total: {"cut": position(total)})
+    later = F.lit(False)
+    for name in totals:
+        reached = _reaches(df, key, key_type, tiebreak, cuts.get((name, "cut")))
+        later = later | ((group == name) & reached)
+    return df.withColumn("split", F.when(later, names[1]).otherwise(names[0]))
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch) -> DataFrame:
-    """One row of exact, linearly interpolated quantiles: ``{name: (column, share)}``.
+def quantile_values(
+    df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch
+) -> dict[str, float | None]:
+    """Exact, linearly interpolated quantiles by name: ``{name: (column, share)}``; None without values.
 
     Values are folded to (value, count) first, so a value shared by very many rows is one row, and
     the distinct values are spread over ranges instead of being merged in one task.
     """
     columns: dict[str, Column] = {}
-    requests = []
+    requests: dict[str, list[tuple[str, float]]] = {}
     for name, (column, share) in wanted.items():
-        source = F.col(column) if isinstance(column, str) else column
         ordering = column if isinstance(column, str) else name
-        columns[ordering] = source
-        requests.append((name, ordering, share))
+        columns[ordering] = F.col(column) if isinstance(column, str) else column
+        requests.setdefault(ordering, []).append((name, share))
     values = _stacked(df, columns, "double").groupBy("ordering", "key").agg(row_count().alias("weight"))
     layout = range_layout(values, ["ordering", "key"], scratch, "quantiles")
 
-    def neighbours(total: Column):
-        spots = []
-        for name, ordering, share in requests:
-            spot = (total - 1).cast("double") * share
-            spots += [(ordering, f"{name}|lo", F.floor(spot)), (ordering, f"{name}|hi", F.ceil(spot))]
+    def neighbours(ordering: str, total: int) -> dict[str, int]:
+        spots: dict[str, int] = {}
+        for name, share in requests[ordering]:
+            spot = (total - 1) * share
+            spots[f"{name}|lo"], spots[f"{name}|hi"] = math.floor(spot), math.ceil(spot)
         return spots
 
-    found = rows_at_positions(layout, ["key"], neighbours)
+    found, totals = rows_at_positions(layout, ["key"], neighbours)
+    result: dict[str, float | None] = dict.fromkeys(wanted)
+    for ordering, total in totals.items():
+        for name, share in requests[ordering]:
+            lo, hi = found[ordering, f"{name}|lo"]["key"], found[ordering, f"{name}|hi"]["key"]
+            spot = (total - 1) * share
+            result[name] = lo + (hi - lo) * (spot - math.floor(spot))
+    return result
 
-    def pick(tag: str, column: str) -> Column:
-        return F.max(F.when(F.col("tag") == tag, F.col(column)))
 
-    picked = found.agg(
-        *[
-            c
-            for name, _, _ in requests
-            for c in (
-                pick(f"{name}|lo", "key").alias(f"{name}|lo"),
-                pick(f"{name}|hi", "key").alias(f"{name}|hi"),
-                pick(f"{name}|lo", "weight_total").alias(f"{name}|n"),
-            )
-        ]
-    )
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch) -> DataFrame:
+    """``quantile_values`` as a frame of one row."""
+    values = quantile_values(df, wanted, scratch)
+    return one_row(df, {name: F.lit(value).cast("double") for name, value in values.items()})
 
-    def between(name: str, share: float) -> Column:
-        lo, hi, n = F.col(f"`{name}|lo`"), F.col(f"`{name}|hi`"), F.col(f"`{name}|n`")
-        spot = (n - 1).cast("double") * share
-        return (lo + (hi - lo) * (spot - F.floor(spot).cast("double"))).alias(name)
 
-    return picked.select(*[between(name, share) for name, _, share in requests])
+def one_row(df: DataFrame, columns: Mapping[str, Any]) -> DataFrame:
+    return df.sparkSession.range(1).select(*[c.alias(name) for name, c in columns.items()])
 
 
 def running_totals(df: DataFrame, key: str, sums: Sequence[str], scratch: Scratch) -> DataFrame:

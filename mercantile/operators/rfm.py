@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercantile.functions import dimensions as dim
 from mercantile.functions.expressions import by_segment, dollars, percent, ratio, rfm_segment, round_to, row_count
-from mercantile.operators.ordering import add_tiles, quantiles
+from mercantile.operators.ordering import add_tiles, quantile_values, quantiles
 from mercantile.sources.scratch import Scratch
 
 
@@ -133,20 +133,17 @@ def score_histogram(rfm: DataFrame) -> DataFrame:
 
 def high_value_customers(rfm: DataFrame, scratch: Scratch, top_share: float = 0.1) -> DataFrame:
     """Customers at or above the (1 - top_share) quantile of spending, best first."""
-    threshold = quantiles(rfm, {"threshold": ("monetary", 1 - top_share)}, scratch)
-    return (
-        rfm.crossJoin(F.broadcast(threshold))
-        .where(F.col("monetary").cast("double") >= F.col("threshold"))
-        .drop("threshold")
-        .orderBy(F.desc("monetary"), "customer_unique_id")
+    threshold = quantile_values(rfm, {"threshold": ("monetary", 1 - top_share)}, scratch)["threshold"]
+    return rfm.where(F.col("monetary").cast("double") >= F.lit(threshold)).orderBy(
+        F.desc("monetary"), "customer_unique_id"
     )
 
 
 def churn_risk_summary(rfm: DataFrame, scratch: Scratch) -> DataFrame:
     """One-order customers beyond the third quartile of recency: count, revenue and share."""
-    limit = quantiles(rfm, {"limit": ("recency_days", 0.75)}, scratch)
-    risky = (F.col("recency_days") > F.col("limit")) & (F.col("frequency") == 1)
-    return rfm.crossJoin(F.broadcast(limit)).agg(
+    limit = quantile_values(rfm, {"limit": ("recency_days", 0.75)}, scratch)["limit"]
+    risky = (F.col("recency_days") > F.lit(limit)) & (F.col("frequency") == 1)
+    return rfm.agg(
         F.count_if(risky).alias("high_risk_count"),
         F.coalesce(F.sum(F.when(risky, F.col("monetary"))), F.lit(0)).cast("double").alias("high_risk_revenue"),
         percent(F.count_if(risky), row_count()).alias("risk_percentage"),

@@ -53,7 +53,8 @@ class Warehouse:
 
     @cached_property
     def rfm_labelled(self) -> DataFrame:
-        return rfm.with_segment(rfm.customer_rfm(self.retention_base, self.scratch, "churn_label"))
+        scores = rfm.customer_rfm(self.retention_base, self.scratch, "churn_label")
+        return self.scratch.store(rfm.with_segment(scores), "customer_rfm")
 
     @cached_property
     def rfm(self) -> DataFrame:
@@ -145,7 +146,7 @@ class Warehouse:
 
     @cached_property
     def churn_features(self) -> DataFrame:
-        return churn.fill_features(self.churn_raw, self.scratch)
+        return self.scratch.store(churn.fill_features(self.churn_raw, self.scratch), "churn_features")
 
     @cached_property
     def segment_probability(self) -> DataFrame:

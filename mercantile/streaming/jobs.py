@@ -20,11 +20,13 @@ from mercantile.operators.usage import with_accepted
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files at ``path``, with the schema they have now."""
+    """A stream of the Parquet files at ``path``, a folder or one file, with the schema they have now."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    # The file source accepts a single file only through a pattern; this one matches the path itself.
+    path = path.rstrip("/")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_parquet(frame: DataFrame, path: str, checkpoint: str) -> None:
