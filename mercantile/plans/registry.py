@@ -25,7 +25,8 @@ from mercantile.operators import (
     usage,
 )
 from mercantile.plans.warehouse import Warehouse
-from mercantile.sources.retail import StarSchemaRetail
+from mercantile.sources.retail import StarSchemaRetail, read_star_table
+from mercantile.sources.schemas import STAR_TABLES
 from mercantile.streaming import jobs
 
 # The test tables end in 2001 and have large monthly figures, so the date and the floor differ
@@ -44,7 +45,7 @@ def warehouse(spark: SparkSession, directory: str) -> Warehouse:
 
 def api_calls(spark: SparkSession, directory: str) -> DataFrame:
     """Events read as calls: the user is the key, and the key's tier follows from its number."""
-    return as_calls(spark.read.parquet(f"{directory.rstrip('/')}/events.parquet"))
+    return as_calls(read_star_table(spark, directory, "events"))
 
 
 def as_calls(events: DataFrame) -> DataFrame:
@@ -364,19 +365,19 @@ def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
     def scores(w: Warehouse) -> DataFrame:
         requests, results = w.scratch.path("requests"), w.scratch.path("scores")
         w.churn_features.write.parquet(requests)
-        scored = jobs.score_stream(jobs.parquet_stream(w.spark, requests), "customer_unique_id")
+        scored = jobs.score_stream(jobs.parquet_stream(w.spark, requests, w.churn_features.schema), "customer_unique_id")
         jobs.run_to_parquet(scored, results, w.scratch.path("scores_checkpoint"))
         return w.spark.read.schema(scored.schema).parquet(results)
 
     def monthly(w: Warehouse) -> DataFrame:
         orders = w.scratch.store(w.tables.order_facts(False, False), "orders")
-        lines = jobs.parquet_stream(w.spark, f"{w.tables.directory}/lineitem.parquet")
+        lines = jobs.parquet_stream(w.spark, f"{w.tables.directory}/lineitem.parquet", STAR_TABLES["lineitem"])
         totals = jobs.monthly_revenue_stream(w.tables.payments_of(lines), orders)
         name = jobs.run_to_table(totals, w.scratch.path("revenue_checkpoint"), "monthly_revenue")
         return money(w.spark.table(name), "revenue")
 
     def closed_usage(w: Warehouse) -> DataFrame:
-        calls = as_calls(jobs.parquet_stream(w.spark, f"{w.tables.directory}/events.parquet"))
+        calls = as_calls(jobs.parquet_stream(w.spark, f"{w.tables.directory}/events.parquet", STAR_TABLES["events"]))
         days, results = jobs.daily_usage_stream(calls, "0 seconds"), w.scratch.path("days")
         jobs.run_to_parquet(days, results, w.scratch.path("days_checkpoint"))
         return jobs.monthly_usage_of_days(w.spark.read.schema(days.schema).parquet(results), TIER_CALLS)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mercantile.functions.dates import shift
 from mercantile.operators.order_grain import payment_totals, review_totals
-from mercantile.sources.schemas import MONEY, RAW_FILES, RAW_TABLES
+from mercantile.sources.schemas import MONEY, RAW_FILES, RAW_TABLES, STAR_TABLES
 
 
 class RetailTables:
@@ -68,6 +68,11 @@ def read_raw_parquet(spark: SparkSession, directory: str, names: list[str] | Non
     )
 
 
+def read_star_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A star-schema table by its declared schema, without a job to infer one."""
+    return spark.read.schema(STAR_TABLES[name]).parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
 class StarSchemaRetail(RetailTables):
     """The canonical tables derived from region/nation/customer/supplier/part/orders/lineitem."""
 
@@ -77,7 +82,7 @@ class StarSchemaRetail(RetailTables):
         super().__init__()
 
     def _read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return read_star_table(self._spark, self.directory, name)
 
     @cached_property
     def customers(self) -> DataFrame:

@@ -103,6 +103,34 @@ RAW_FILES: dict[str, str] = {
     "category_translation": "product_category_name_translation.csv",
 }
 
+# Star schema from which the retail tables can be derived.
+STAR_TABLES: dict[str, T.StructType] = {
+    "region": _struct(r_regionkey=_INT, r_name=_STR),
+    "nation": _struct(n_nationkey=_INT, n_name=_STR, n_regionkey=_INT),
+    "customer": _struct(c_custkey=_LONG, c_name=_STR, c_nationkey=_INT, c_acctbal=_DBL, c_mktsegment=_STR),
+    "supplier": _struct(s_suppkey=_LONG, s_name=_STR, s_nationkey=_INT, s_acctbal=_DBL),
+    "part": _struct(
+        p_partkey=_LONG, p_name=_STR, p_brand=_STR, p_type=_STR, p_size=_INT, p_retailprice=_DBL
+    ),
+    "orders": _struct(
+        o_orderkey=_LONG, o_custkey=_LONG, o_orderstatus=_STR, o_totalprice=_DBL, o_orderdate=_TS, o_orderpriority=_STR
+    ),
+    "lineitem": _struct(
+        l_orderkey=_LONG,
+        l_partkey=_LONG,
+        l_suppkey=_LONG,
+        l_linenumber=_INT,
+        l_quantity=_DBL,
+        l_extendedprice=_DBL,
+        l_discount=_DBL,
+        l_tax=_DBL,
+        l_returnflag=_STR,
+        l_linestatus=_STR,
+        l_shipdate=_TS,
+    ),
+    "events": _struct(event_id=_LONG, ts=_TS, user_id=_LONG, event_type=_STR, value=_DBL, props=_STR),
+}
+
 # Marts. File names and column names that existing users already have on disk.
 MART_TABLES: dict[str, T.StructType] = {
     "customer_rfm": _struct(

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mercantile.functions import dimensions as dim
 from mercantile.functions.dates import month_of
@@ -19,9 +20,11 @@ from mercantile.operators.scoring import score_requests
 from mercantile.operators.usage import with_accepted
 
 
-def parquet_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files at ``path``, a folder or one file, with the schema they have now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def parquet_stream(
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
+) -> DataFrame:
+    """A stream of the Parquet files at ``path``, which is a folder or one file."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # The file source accepts a single file only through a pattern; this one matches the path itself.
