@@ -1,0 +1,152 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mercantile.ml import churn_model, clv_model, features, forecast_model, metrics
+
+SCHEMA = """customer_unique_id long, churn_label int, recency_days int, frequency long, monetary double, tenure_days int,
+avg_review_score double, late_delivery_rate double, credit_card_rate double, avg_installments double"""
+
+
+def customers(spark, n=300, seed=5):
+    pick = random.Random(seed)
+    data = []
+    for i in range(n):
+        gone = int(pick.random() < 0.4)
+        review = None if i % 17 == 0 else pick.uniform(1, 3) if gone else pick.uniform(2.5, 5)
+        data.append((i, gone, 200 * gone + pick.randint(0, 90), pick.randint(1, 5), pick.uniform(5, 900), pick.randint(0, 500),
+                     review, pick.random(), pick.random(), pick.uniform(1, 8)))
+    return spark.createDataFrame(data, SCHEMA)
+
+
+def test_feature_names():
+    assert "tenure_days" in churn_feature_list(True) and len(churn_feature_list(True)) == 8
+    assert len(churn_feature_list(False)) == 5
+    assert features.churn_feature_names(features.CHURN_FEATURES, exclude_time=True) == [
+        "frequency", "monetary", "avg_review_score", "late_delivery_rate", "credit_card_rate", "avg_installments",
+    ]
+    assert features.clv_feature_names(["monetary", "frequency"]) == ["frequency", "monetary"]
+
+
+def churn_feature_list(with_tenure):
+    names = list(features.CHURN_FEATURES)
+    return features.churn_feature_names(names if with_tenure else [n for n in names if n != "tenure_days"])
+
+
+def test_standardize(spark):
+    df = spark.createDataFrame([(1.0, 7.0), (2.0, 7.0), (6.0, 7.0)], "a double, b double")
+    got = features.standardize(df, ["a", "b"]).toPandas()
+    assert got["a"].tolist() == pytest.approx(((np.array([1, 2, 6]) - 3) / np.std([1, 2, 6])).tolist())
+    assert got["b"].tolist() == [0, 0, 0]
+
+
+def test_ranking_metrics_by_hand(spark, scratch):
+    pick = random.Random(2)
+    data = [(pick.randint(0, 1), pick.randint(0, 8) / 8) for _ in range(200)]
+    got = metrics.ranking_metrics(spark.createDataFrame(data, "y int, s double"), scratch, "y", "s").first()
+    pos, neg = [s for y, s in data if y], [s for y, s in data if not y]
+    auc = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+    assert got["roc_auc"] == pytest.approx(auc)
+    steps, seen = 0.0, 0
+    for cut in sorted({s for _, s in data}, reverse=True):
+        above = [y for y, s in data if s >= cut]
+        steps += (sum(above) - seen) / len(pos) * sum(above) / len(above)
+        seen = sum(above)
+    assert got["average_precision"] == pytest.approx(steps)
+
+
+def test_a_single_class_has_no_ranking(spark, scratch):
+    got = metrics.ranking_metrics(spark.createDataFrame([(1, 0.4), (1, 0.6)], "y int, s double"), scratch, "y", "s")
+    assert tuple(got.first()) == (None, None)
+
+
+def test_binary_metrics(spark):
+    df = spark.createDataFrame([(1, 1), (1, 0), (0, 1), (0, 0), (1, 1)], "churn_label int, prediction int")
+    got = metrics.binary_metrics(df).first()
+    assert (got["tp"], got["fp"], got["fn"], got["tn"]) == (2, 1, 1, 1)
+    assert (got["accuracy"], got["f1_score"]) == (pytest.approx(0.6), pytest.approx(2 / 3))
+    never = metrics.binary_metrics(df.withColumn("prediction", F.lit(0))).first()
+    assert (never["precision"], never["recall"], never["f1_score"]) == (0, 0, 0)
+
+
+def test_regression_metrics(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (10.0, 8.0), (20.0, 25.0)], "y double, p double")
+    got = metrics.regression_metrics(df, "y", "p").first()
+    assert got["mae"] == pytest.approx(8 / 3) and got["rmse"] == pytest.approx(np.sqrt(10))
+    assert got["mape"] == pytest.approx(22.5) and got["r2"] == pytest.approx(1 - 30 / 200)
+
+
+def test_class_weights(spark):
+    df = spark.range(10).select((F.col("id") < 2).cast("int").alias("churn_label"))
+    got = {r["churn_label"]: r["class_weight"] for r in metrics.class_weights(df).collect()}
+    assert got == {1: 2.5, 0: 0.625}
+
+
+def test_churn_model(spark, scratch):
+    df = customers(spark)
+    model, quality = churn_model.train(df, scratch, trees=10)
+    values = {r["metric"]: r["value"] for r in quality.collect()}
+    # The full feature set restates the label, so a working fit separates the classes.
+    assert values["accuracy"] > 0.95 and values["roc_auc"] > 0.95
+    assert values["train_samples"] + values["test_samples"] == 300
+    importances = [r["importance"] for r in model.importances(df).collect()]
+    assert sum(importances) == pytest.approx(1.0) and importances == sorted(importances, reverse=True)
+    scored = model.score(features.prepare_churn(df, model.features, scratch))
+    assert scored.where("churn_probability < 0 OR churn_probability > 1 OR risk_level IS NULL").count() == 0
+
+
+def test_model_without_time_features_still_learns(spark, scratch):
+    model, quality = churn_model.train(customers(spark), scratch, exclude_time=True, trees=10)
+    assert not set(features.TIME_FEATURES) & set(model.features)
+    assert {r["metric"]: r["value"] for r in quality.collect()}["roc_auc"] > 0.6
+
+
+def test_one_class_gives_one_half(spark, scratch):
+    df = customers(spark, 30).withColumn("churn_label", F.lit(1))
+    model, quality = churn_model.train(df, scratch, trees=5)
+    assert model.pipeline is None
+    values = {r["metric"]: r["value"] for r in quality.collect()}
+    assert values["accuracy"] == 1.0 and values["roc_auc"] is None
+    assert {r[0] for r in model.score(df).select("churn_probability").distinct().collect()} == {0.5}
+
+
+def test_cross_validation_covers_every_fold(spark, scratch):
+    got = churn_model.cross_validate(customers(spark, 120), scratch, folds=3, trees=5).collect()
+    scores = [r["f1_score"] for r in got]
+    assert sorted(r["fold"] for r in got) == [0, 1, 2]
+    assert got[0]["cv_f1_mean"] == pytest.approx(np.mean(scores)) and got[0]["cv_f1_std"] == pytest.approx(np.std(scores))
+
+
+def series(spark):
+    return spark.sql(
+        """SELECT s, add_months(DATE '2015-01-01', CAST(i AS INT)) AS month,
+        CAST(1000 + 10 * i + 200 * sin(pi() * i / 6) + IF(s = 'b', 500, 0) AS DECIMAL(18,2)) AS revenue
+        FROM range(48) t(i) CROSS JOIN VALUES ('a'), ('b') v(s)"""
+    )
+
+
+def test_forecast_model_runs_over_all_series(spark, scratch):
+    model, quality = forecast_model.train(series(spark), scratch, ["s"], trees=10)
+    values = {r["metric"]: r["value"] for r in quality.collect()}
+    assert values["rows"] == 20 and values["mape"] < 30
+    got = model.forecast(3).orderBy("s", "forecast_horizon").collect()
+    assert [(r["s"], r["month"].isoformat()) for r in got[:3]] == [("a", "2019-01-01"), ("a", "2019-02-01"), ("a", "2019-03-01")]
+    assert len(got) == 6 and all(1000 < r["forecasted_revenue"] < 2500 for r in got)
+
+
+def test_clv_model(spark, scratch):
+    base = spark.sql(
+        """SELECT id AS customer_unique_id, 1 + id % 4 AS total_orders, CAST(10 * (1 + id % 4) + id / 10 AS DECIMAL(28,2)) AS total_revenue,
+        CAST(10 + id / 40 AS DOUBLE) AS avg_order_value, TIMESTAMP_NTZ '2018-01-01' AS first_order_date,
+        TIMESTAMP_NTZ '2018-03-01' AS last_order_date, 10 AS recency_days FROM range(200)"""
+    )
+    people = clv_model.clv_customers(base)
+    assert people.first()["customer_tenure_days"] == 69
+    kept = features.clv_training_set(people, features.clv_feature_names(people.columns), scratch)
+    assert kept.count() == 198
+    model, quality = clv_model.train(people, scratch, trees=10)
+    values = {r["metric"]: r["value"] for r in quality.collect()}
+    assert values["r2"] > 0.7 and "mape" not in values
+    assert model.score(people, scratch).where("ltv_segment IS NULL").count() == 0
