@@ -60,18 +60,18 @@ def score_segment(score: str | Column) -> Column:
     return result.otherwise(F.lit(dim.LAST_SCORE_BAND))
 
 
-def rfm_segment(r: str | Column = "r_score", f: str | Column = "f_score", m: str | Column = "m_score") -> Column:
-    """Segment by score; the first rule that holds wins."""
-    r, f, m = col(r), col(f), col(m)
-    return (
-        F.when((r == 5) & (f >= 4) & (m >= 4), "Champions")
-        .when((r >= 4) & (f >= 4) & (m >= 3), "Loyal Customers")
-        .when((r == 5) & (f <= 2), "New Customers")
-        .when((r >= 4) & (f >= 3), "Potential Loyalists")
-        .when((r == 3) & (f >= 3), "Need Attention")
-        .when((r <= 2) & (f >= 4) & (m >= 4), "Lost High Value")
-        .when(r <= 2, "Hibernating")
-        .otherwise("Others")
+def rfm_segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> Column:
+    """Segment by score columns; the first rule that holds wins."""
+    return F.expr(
+        f"""CASE
+        WHEN {r} = 5 AND {f} >= 4 AND {m} >= 4 THEN 'Champions'
+        WHEN {r} >= 4 AND {f} >= 4 AND {m} >= 3 THEN 'Loyal Customers'
+        WHEN {r} = 5 AND {f} <= 2 THEN 'New Customers'
+        WHEN {r} >= 4 AND {f} >= 3 THEN 'Potential Loyalists'
+        WHEN {r} = 3 AND {f} >= 3 THEN 'Need Attention'
+        WHEN {r} <= 2 AND {f} >= 4 AND {m} >= 4 THEN 'Lost High Value'
+        WHEN {r} <= 2 THEN 'Hibernating'
+        ELSE 'Others' END"""
     )
 
 
@@ -87,40 +87,35 @@ def simple_ltv(monetary: str | Column, frequency: str | Column) -> Column:
     return col(monetary).cast("double") * (F.lit(1.0) + col(frequency).cast("double") * F.lit(0.1))
 
 
-# What a scoring request must satisfy, by field.
-def request_checks() -> dict[str, Column]:
-    return {
-        "monetary": F.col("monetary") > 0,
-        "frequency": F.col("frequency") >= 1,
-        "avg_review_score": F.col("avg_review_score").between(0, 5),
-        "avg_installments": F.col("avg_installments") >= 1,
-        "credit_card_rate": F.col("credit_card_rate").between(0, 1),
-        "late_delivery_rate": F.col("late_delivery_rate").between(0, 1),
-    }
+# What a scoring request must satisfy, by field. Fixed values.
+REQUEST_CHECKS = {
+    "monetary": "monetary > 0",
+    "frequency": "frequency >= 1",
+    "avg_review_score": "avg_review_score BETWEEN 0 AND 5",
+    "avg_installments": "avg_installments >= 1",
+    "credit_card_rate": "credit_card_rate BETWEEN 0 AND 1",
+    "late_delivery_rate": "late_delivery_rate BETWEEN 0 AND 1",
+}
 
 
 def failed_checks() -> Column:
     """Names of the fields that fail their check or are missing, in field order."""
-    return F.array_compact(
-        F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name))
-                  for name, ok in request_checks().items()])
-    )
+    names = ", ".join(f"if(coalesce({ok}, false), NULL, '{name}')" for name, ok in REQUEST_CHECKS.items())
+    return F.expr(f"array_compact(array({names}))")
 
 
 def churn_score() -> Column:
     """Mean of six risk terms over the request fields, at most 1."""
-    one = F.lit(1.0)
-    monetary = F.col("monetary").cast("double")
-    frequency = F.col("frequency").cast("double")
-    terms = (
-        (one - F.least(monetary / 1000.0, one))
-        + (F.col("avg_installments") / 12.0)
-        + (one - F.col("avg_review_score") / 5.0)
-        + (one - F.col("credit_card_rate"))
-        + F.col("late_delivery_rate")
-        + (one - F.least(frequency / 10.0, one))
+    return F.expr(
+        """least((
+        (1D - least(CAST(monetary AS DOUBLE) / 1000D, 1D))
+        + (avg_installments / 12D)
+        + (1D - avg_review_score / 5D)
+        + (1D - credit_card_rate)
+        + late_delivery_rate
+        + (1D - least(CAST(frequency AS DOUBLE) / 10D, 1D))
+        ) / 6D, 1D)"""
     )
-    return F.least(terms / 6.0, one)
 
 
 def score_confidence() -> Column:
@@ -128,14 +123,10 @@ def score_confidence() -> Column:
 
     The raise is capped at .95, so it lowers a full score; the cut never goes below .3.
     """
-    valid = F.lit(0)
-    for ok in request_checks().values():
-        valid = valid + F.when(F.coalesce(ok, F.lit(False)), 1).otherwise(0)
-    share = round_to(valid / F.lit(6.0), 2)
-    raised = F.when(
-        (F.col("monetary") > 500) & (F.col("frequency") > 3), F.least(share + 0.1, F.lit(0.95))
-    ).otherwise(share)
-    cut = F.when(F.col("late_delivery_rate") > 0.3, F.greatest(raised - 0.1, F.lit(0.3))).otherwise(raised)
+    valid = " + ".join(f"if(coalesce({ok}, false), 1, 0)" for ok in REQUEST_CHECKS.values())
+    share = round_to(F.expr(f"({valid}) / 6D"), 2)
+    raised = F.when(F.expr("monetary > 500 AND frequency > 3"), F.least(share + 0.1, F.lit(0.95))).otherwise(share)
+    cut = F.when(F.expr("late_delivery_rate > 0.3D"), F.greatest(raised - 0.1, F.lit(0.3))).otherwise(raised)
     return round_to(cut, 2)
 
 

@@ -75,21 +75,17 @@ def rows_at_positions(
     if not places:
         return {}, totals
 
-    # Literal predicates on ordering and slot reach the scan and skip the files of all other slots.
-    slots = sorted({(o, s) for o, s, _, _ in places})
-    chosen = F.lit(False)
-    for o, s in slots:
-        chosen = chosen | ((F.col("ordering") == o) & (F.col("slot") == s))
+    # Literal slot numbers reach the scan and skip the files of all other slots. The list of places
+    # has one row per requested position, which bounds both broadcasts.
+    targets = layout.sparkSession.createDataFrame(places, "ordering string, slot int, tag string, at long")
     inside = Window.partitionBy("ordering", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    upto, weight = F.col("upto"), F.col("weight")
-    tags = [
-        F.when((F.col("ordering") == o) & (F.col("slot") == s) & (upto > at) & (upto - weight <= at), F.lit(tag))
-        for o, s, tag, at in places
-    ]
     found = (
-        layout.where(F.col("slot").isin(sorted({s for _, s in slots})) & chosen)
+        layout.where(F.col("slot").isin(sorted({slot for _, slot, _, _ in places})))
+        .join(F.broadcast(targets.select("ordering", "slot").distinct()), ["ordering", "slot"], "left_semi")
         .withColumn("upto", F.sum("weight").over(inside))
-        .select("ordering", F.explode(F.array_compact(F.array(*tags))).alias("tag"), *order)
+        .join(F.broadcast(targets), ["ordering", "slot"])
+        .where("at < upto AND at >= upto - weight")
+        .select("ordering", "tag", *order)
     )
     return {(r["ordering"], r["tag"]): r for r in found.collect()}, totals
 
@@ -139,11 +135,13 @@ def add_tiles(
     cuts, _ = rows_at_positions(layout, ["key", tiebreak], first_rows)
     numbers = {}
     for o, key in keys.items():
-        number = F.lit(1)
-        for t in range(1, tiles):
-            reached = _reaches(df, key, key_type, tiebreak, cuts.get((o, str(t))))
-            number = number + F.when(reached, 1).otherwise(0)
-        numbers[o] = number
+        number = None
+        for t in range(tiles - 1, 0, -1):
+            cut = cuts.get((o, str(t)))
+            if cut is not None:
+                reached = _reaches(df, key, key_type, tiebreak, cut)
+                number = F.when(reached, t + 1) if number is None else number.when(reached, t + 1)
+        numbers[o] = F.lit(1) if number is None else number.otherwise(1)
     return df.withColumns(numbers)
 
 

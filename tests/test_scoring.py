@@ -41,7 +41,7 @@ def test_score_bands_are_left_closed(spark):
     ],
 )
 def test_first_segment_rule_wins(spark, scores, segment):
-    assert spark.range(1).select(X.rfm_segment(*map(F.lit, scores))).first()[0] == segment
+    assert spark.createDataFrame([scores], "r int, f int, m int").select(X.rfm_segment("r", "f", "m")).first()[0] == segment
 
 
 def people(spark):
