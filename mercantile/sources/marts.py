@@ -7,20 +7,28 @@ from collections.abc import Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mercantile.sources.schemas import MART_FILES, MART_TABLES
 
 
+# Other names under which the same columns occur in exported files. Fixed values.
+COLUMN_ALIASES = {"customer_id": "customer_unique_id", "recency": "recency_days"}
+
+
 def read_mart(spark: SparkSession, directory: str, name: str, form: str = "csv") -> DataFrame:
-    """One mart with its declared schema."""
-    schema = MART_TABLES[name]
+    """One mart with its declared columns and types.
+
+    Columns are matched by name, so files may order them differently, lack some or add others.
+    """
+    schema, folder = MART_TABLES[name], directory.rstrip("/")
     if form == "parquet":
-        return spark.read.schema(schema).parquet(f"{directory.rstrip('/')}/{name}")
-    # Columns are matched by header name, so files may order them differently or lack some.
-    path = f"{directory.rstrip('/')}/{MART_FILES[name]}"
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    present = {c.strip().lstrip("﻿"): c for c in raw.columns}
+        raw = spark.read.parquet(f"{folder}/{name}")
+    else:
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(f"{folder}/{MART_FILES[name]}")
+    present = {c.strip().lstrip("\ufeff"): c for c in raw.columns}
+    for other, name_ in COLUMN_ALIASES.items():
+        if other in present:
+            present.setdefault(name_, present[other])
     return raw.select(
         *[
             (F.col(f"`{present[f.name]}`") if f.name in present else F.lit(None)).try_cast(f.dataType).alias(f.name)
@@ -46,9 +54,7 @@ def write_mart(df: DataFrame, path: str, form: str = "parquet", partition_by: It
     """Write a mart as Parquet (default) or as CSV with a header. The folder holds one file per task."""
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if form == "csv":
-        flat = [F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-                for f in df.schema.fields]
-        df.select(*flat).write.mode("overwrite").partitionBy(*partition_by).option("header", True).csv(path)
+        writer.option("header", True).csv(path)
     elif form == "parquet":
         writer.parquet(path)
     else:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+MONEY_TOTAL = T.DecimalType(28, 2)
 
 _STR, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
 _DBL, _DATE, _TS = T.DoubleType(), T.DateType(), T.TimestampNTZType()
@@ -137,14 +138,14 @@ MART_TABLES: dict[str, T.StructType] = {
         customer_unique_id=_STR,
         recency_days=_INT,
         frequency=_LONG,
-        monetary=_DBL,
+        monetary=MONEY_TOTAL,
         r_score=_INT,
         f_score=_INT,
         m_score=_INT,
         rfm_segment=_STR,
     ),
-    "monthly_revenue": _struct(month=_DATE, revenue=MONEY),
-    "churn_summary": _struct(churn_label=_INT, count=_LONG, revenue=MONEY),
+    "monthly_revenue": _struct(month=_DATE, revenue=MONEY_TOTAL),
+    "churn_summary": _struct(churn_label=_INT, count=_LONG, revenue=MONEY_TOTAL),
     "cohort_retention": _struct(
         cohort_month=_DATE,
         churn_label=_INT,
@@ -153,13 +154,13 @@ MART_TABLES: dict[str, T.StructType] = {
         cohort_size=_LONG,
         retention_rate_pct=_DBL,
     ),
-    "product_revenue": _struct(category=_STR, product_revenue=MONEY, revenue_pct=_DBL, rank=_INT),
+    "product_revenue": _struct(category=_STR, product_revenue=MONEY_TOTAL, revenue_pct=_DBL, rank=_INT),
     "top_categories": _struct(
         product_category_name_english=_STR,
         order_count=_LONG,
-        revenue=MONEY,
-        freight_cost=MONEY,
-        profit=MONEY,
+        revenue=MONEY_TOTAL,
+        freight_cost=MONEY_TOTAL,
+        profit=MONEY_TOTAL,
         margin_pct=_DBL,
         revenue_pct=_DBL,
     ),
@@ -167,7 +168,7 @@ MART_TABLES: dict[str, T.StructType] = {
         seller_id=_STR,
         seller_state=_STR,
         order_count=_LONG,
-        revenue=MONEY,
+        revenue=MONEY_TOTAL,
         avg_review=_DBL,
         revenue_pct=_DBL,
     ),
@@ -175,7 +176,7 @@ MART_TABLES: dict[str, T.StructType] = {
         customer_state=_STR,
         order_count=_LONG,
         unique_buyers=_LONG,
-        total_revenue=MONEY,
+        total_revenue=MONEY_TOTAL,
         revenue_pct=_DBL,
     ),
     "customer_churn": _struct(

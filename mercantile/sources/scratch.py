@@ -40,3 +40,9 @@ class Scratch:
         target = self.path(name)
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
+
+    def release(self) -> None:
+        """Delete this run's folder. Frames that read stored tables are of no use afterwards."""
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(hadoop).delete(folder, True)
