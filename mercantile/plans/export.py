@@ -58,7 +58,7 @@ def main() -> None:
     args = parser.parse_args()
     spark = SparkSession.builder.appName("mercantile-export").getOrCreate()
     read = read_raw_csv if args.raw == "csv" else read_raw_parquet
-    warehouse = Warehouse(spark, read(spark, args.raw_folder), churn_as_of=args.as_of)
+    warehouse = Warehouse(spark, read(spark, args.raw_folder), churn_as_of=args.as_of, store_facts=True)
     for name in export(warehouse, args.out_folder, args.form):
         print("written:", name)
     warehouse.scratch.release()

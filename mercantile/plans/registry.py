@@ -39,8 +39,12 @@ TIER_CALLS = {"starter": 60, "growth": 70, "enterprise": None}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def warehouse(spark: SparkSession, directory: str) -> Warehouse:
-    return Warehouse(spark, StarSchemaRetail(spark, directory), churn_as_of=CHURN_AS_OF)
+# Queries that build several marts from the order facts.
+MANY_MARTS = {"executive_summary", "report_kpis"}
+
+
+def warehouse(spark: SparkSession, directory: str, store_facts: bool = False) -> Warehouse:
+    return Warehouse(spark, StarSchemaRetail(spark, directory), churn_as_of=CHURN_AS_OF, store_facts=store_facts)
 
 
 def api_calls(spark: SparkSession, directory: str) -> DataFrame:
@@ -390,6 +394,7 @@ def all_queries() -> dict[str, Query]:
     groups = (_cleaning, _customers, _cohorts, _revenue, _products, _scoring, _reports, _model_inputs, _models, _streams)
     for group in groups:
         for name, plan in group().items():
-            queries[name] = lambda spark, directory, plan=plan: plan(warehouse(spark, directory))
+            many = name in MANY_MARTS
+            queries[name] = lambda spark, directory, plan=plan, many=many: plan(warehouse(spark, directory, many))
     queries.update(_usage())
     return queries

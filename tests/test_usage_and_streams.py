@@ -92,3 +92,17 @@ def test_registered_streams_equal_their_batch_queries(spark):
     queries, folder = registry.all_queries(), "/root/testdata/sf0.001"
     for stream, batch in (("stream_score", "score_customers"), ("stream_monthly_revenue", "monthly_revenue")):
         assert rows(queries[stream](spark, folder)) == rows(queries[batch](spark, folder))
+
+
+def test_spread_payments_give_the_same_revenue(spark, scratch):
+    from shop import shop
+
+    tables = shop(spark)
+    path = scratch.path("payments")
+    tables.payments.write.parquet(path)
+    found = []
+    for copies in (1, 4):
+        stream = jobs.parquet_stream(spark, path, tables.payments.schema)
+        totals = jobs.monthly_revenue_stream(stream, tables.orders, copies)
+        found.append(rows(spark.table(jobs.run_to_table(totals, scratch.path("state"), "spread"))))
+    assert found[0] == found[1] and len(found[0]) == 4
