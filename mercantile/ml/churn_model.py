@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mercantile.functions.expressions import risk_level
 from mercantile.ml import metrics, split
 from mercantile.ml.features import churn_feature_names, prepare_churn
+from mercantile.ml.parallel import spread
 from mercantile.sources.scratch import Scratch
 
 LABEL = "churn_label"
@@ -70,6 +71,7 @@ def fit(
     classes = [r[0] for r in train.select(LABEL).distinct().limit(2).collect()]
     if len(classes) < 2:
         return ChurnModel(list(features), None, float(classes[0]) if classes else 0.0)
+    train = spread(train, KEY)
     rows = balanced(train) if handle_imbalance else train.withColumn("class_weight", F.lit(1.0))
     forest = RandomForestClassifier(
         featuresCol="features",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mercantile.functions.expressions import ltv_level
 from mercantile.ml import metrics, split
 from mercantile.ml.features import clv_feature_names, clv_training_set, impute_median
+from mercantile.ml.parallel import spread
 from mercantile.sources.scratch import Scratch
 
 TARGET = "total_revenue"
@@ -57,7 +58,7 @@ def train(
         featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=8, seed=42, maxMemoryInMB=512
     )
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    pipeline = Pipeline(stages=[assembler, forest]).fit(marked.where("split = 'train'"))
+    pipeline = Pipeline(stages=[assembler, forest]).fit(spread(marked.where("split = 'train'"), KEY))
     tested = pipeline.transform(marked.where("split = 'test'"))
     quality = metrics.as_rows(metrics.regression_metrics(tested, TARGET, "prediction"))
     return ClvModel(features, pipeline), quality.where("metric <> 'mape'")

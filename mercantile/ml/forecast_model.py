@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercantile.ml import metrics
+from mercantile.ml.parallel import spread
 from mercantile.operators.revenue import rolling, rolling_mean
 from mercantile.sources.scratch import Scratch
 
@@ -60,26 +61,20 @@ class ForecastModel:
     def forecast(self, months_ahead: int = 6) -> DataFrame:
         """Recursive forecast: each step scores all series once and feeds its result into the lags.
 
-        The first step scores the features of the last known month. Dates follow that month.
+        The first step scores the features of the last known month. Dates follow that month. The
+        values found so far travel along as columns, so the whole forecast is one chain of steps.
         """
-        state = self.last
-        parts = []
+        state, known = self.last, []
         for step in range(1, months_ahead + 1):
-            scored = self.pipeline.transform(state).drop("features")
-            month = F.add_months("last_month", step)
-            parts.append(
-                scored.select(
-                    *self.series,
-                    month.alias("month"),
-                    F.lit(step).alias("forecast_horizon"),
-                    F.col("prediction").alias("forecasted_revenue"),
-                )
-            )
+            value = f"value_{step}"
+            scored = self.pipeline.transform(state).withColumnRenamed("prediction", value)
+            known.append(value)
             sine, cosine = season(F.month(F.add_months("last_month", step + 1)))
-            mean_3 = (F.col("last_revenue") + F.col("lag_1") + F.col("prediction")) / 3.0
+            mean_3 = (F.col("last_revenue") + F.col("lag_1") + F.col(value)) / 3.0
             state = scored.select(
                 *self.series,
                 "last_month",
+                *known,
                 F.col("last_revenue").alias("lag_1"),
                 F.col("lag_1").alias("lag_2"),
                 F.col("lag_2").alias("lag_3"),
@@ -88,12 +83,15 @@ class ForecastModel:
                 sine.alias("month_sin"),
                 cosine.alias("month_cos"),
                 (F.col("trend") + 1).alias("trend"),
-                F.col("prediction").alias("last_revenue"),
+                F.col(value).alias("last_revenue"),
             )
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.unionByName(part)
-        return result
+        steps = F.posexplode(F.array(*[F.col(v) for v in known])).alias("at", "forecasted_revenue")
+        return state.select(*self.series, "last_month", steps).select(
+            *self.series,
+            F.add_months("last_month", F.col("at") + 1).alias("month"),
+            (F.col("at") + 1).alias("forecast_horizon"),
+            "forecasted_revenue",
+        )
 
 
 def train(
@@ -112,7 +110,7 @@ def train(
         featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=10, seed=42, maxMemoryInMB=512
     )
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    pipeline = Pipeline(stages=[assembler, forest]).fit(rows.where("NOT is_test"))
+    pipeline = Pipeline(stages=[assembler, forest]).fit(spread(rows.where("NOT is_test"), *series, "month"))
     quality = metrics.regression_metrics(pipeline.transform(rows.where("is_test")), TARGET, "prediction")
     last = (
         rows.where(F.col("trend") == F.col("months") - 1)

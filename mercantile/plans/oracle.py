@@ -7,7 +7,7 @@ query, with plain windows and joins, and none of them follows the Spark plans.
 from __future__ import annotations
 
 from mercantile.functions import dimensions as dim
-from mercantile.plans.registry import CHURN_AS_OF, REVENUE_FLOOR, TIER_CALLS
+from mercantile.plans.registry import CHURN_AS_OF, PIVOT_SINCE, REVENUE_FLOOR, TIER_CALLS
 
 
 def _text(value: str) -> str:
@@ -418,8 +418,8 @@ WHERE marketing_segment IS NOT NULL""",
     "monthly_activity": "SELECT * FROM activity",
     "cohort_retention": "SELECT * FROM retention",
     "cohort_retention_by_churn": "SELECT * FROM retention_label",
-    "cohort_pivot": _pivot("(SELECT * FROM retention WHERE cohort_month >= DATE '2017-01-01')", range(6))
-    + " /* no cohort is that late in some test sizes */",
+    "cohort_pivot": _pivot(f"(SELECT * FROM retention WHERE cohort_month >= DATE '{PIVOT_SINCE}')", range(6)),
+    "cohort_pivot_active": _pivot("(SELECT * FROM retention_label WHERE churn_label = 0)", range(80)),
     "cohort_pivot_by_label": _pivot("(SELECT * FROM retention_label WHERE churn_label = 1)", range(80)),
     "avg_retention_by_offset": """SELECT month_offset, round(sum(retention_rate_pct::DECIMAL(9,2))::DOUBLE / count(*), 2) AS avg_retention_pct
 FROM retention WHERE month_offset <= 6 GROUP BY 1""",

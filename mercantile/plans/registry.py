@@ -29,9 +29,10 @@ from mercantile.sources.retail import StarSchemaRetail, read_star_table
 from mercantile.sources.schemas import STAR_TABLES
 from mercantile.streaming import jobs
 
-# The test tables end in 2001 and have large monthly figures, so the date and the floor differ
+# The test tables end in 2001 and have large monthly figures, so the dates and the floor differ
 # from the defaults, which suit the public order dataset.
 CHURN_AS_OF = "2001-01-31"
+PIVOT_SINCE = "1996-01-01"
 REVENUE_FLOOR = 12_000_000
 # At most 99 calls per key and month exist, so the tiers are scaled to let the limits act.
 TIER_CALLS = {"starter": 60, "growth": 70, "enterprise": None}
@@ -169,10 +170,11 @@ def _cohorts() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "monthly_activity": lambda w: cohorts.monthly_activity(w.customer_months),
         "cohort_retention": lambda w: w.cohort_retention,
         "cohort_retention_by_churn": lambda w: w.cohort_retention_by_churn,
-        "cohort_pivot": lambda w: cohorts.cohort_pivot(w.cohort_retention),
+        "cohort_pivot": lambda w: cohorts.cohort_pivot(w.cohort_retention, since=PIVOT_SINCE),
         "cohort_pivot_by_label": lambda w: cohorts.cohort_pivot_by_label(
             w.cohort_retention_by_churn, 1, range(80)
         ),
+        "cohort_pivot_active": lambda w: cohorts.cohort_pivot_by_label(w.cohort_retention_by_churn, 0, range(80)),
         "avg_retention_by_offset": lambda w: cohorts.avg_retention_by_offset(w.cohort_retention),
         "retention_summary": lambda w: cohorts.retention_summary(w.cohort_retention_by_churn, 1),
         "retention_summary_active": lambda w: cohorts.retention_summary(w.cohort_retention_by_churn, 0),
