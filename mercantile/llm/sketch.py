@@ -24,7 +24,7 @@ from mercantile.llm.textkit import mix
 SEGMENTS = 128
 LEAST_BITS, MOST_BITS = 16, 30
 _ROW_SALTS = (0, 0x5851F42D4C957F2D)
-_HELD = 4_000_000
+_HELD = 2_000_000
 _CELLS = pa.schema([("line", pa.int32()), ("segment", pa.int32()), ("met", pa.binary()), ("again", pa.binary())])
 CELL_SCHEMA = "line int, segment int, met binary, again binary"
 

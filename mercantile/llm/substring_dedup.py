@@ -3,7 +3,7 @@
 1. Every task hashes all windows of its texts into sketch cells; the merged sketch overestimates how often a
    window occurs. It is sized by the bytes of the text column and bounded, see ``sketch``.
 2. A second pass over the texts drops windows whose estimate is one occurrence: they can't be repeated. The
-   others are grouped exactly by a 128-bit hash of their words. Before the shuffle a task keeps, of equal windows,
+   others are grouped exactly by a 96-bit hash of their words. Before the shuffle a task keeps, of equal windows,
    only one of the smallest doc_id as a question; for the others the answer is known. So a passage that
    a third of all documents share sends one row per task and few million windows, not one per document.
 3. Sorted by window, the first row has the smallest doc_id; rows with a larger one are removed.
@@ -29,8 +29,9 @@ from mercantile.llm.tables import scratch
 from mercantile.llm.textkit import BLANK_SEPARATED, find_words, hash_runs, hash_spans, mix, run_starts, signed, slices
 
 WINDOW = 13
-_ASKED = 2_000_000
-_ASK = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("ref", pa.int64()), ("place", pa.int32()), ("known", pa.bool_())])
+_ASKED = 1_000_000
+#: ``rest``: 32 more bits of the window's hash, 31 bits of the place and whether the answer is known. Narrow rows, as there are many.
+_ASK = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("ref", pa.int64())])
 _REMOVED = pa.schema([("ref", pa.int64()), ("place", pa.int32())])
 _JUDGED = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -74,9 +75,10 @@ def _asked(window: int, repeated):
             known[order] = doc[order] > least
             # Of several rows with the smallest doc_id all ask, but a second one in the same text need not be sent twice.
             spread = np.where(known, mix(ref.view(np.uint64) + place.astype(np.uint64)).view(np.int64), h1)
+            rest = (h2.astype(np.int64) << 32) | (place.astype(np.int64) << 1) | known
             for a in range(0, len(doc), 100_000):
                 cut = slice(a, a + 100_000)
-                columns = [spread[cut], h2[cut], doc[cut], ref[cut], place[cut], known[cut]]
+                columns = [spread[cut], rest[cut], doc[cut], ref[cut]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ASK)
 
         size = 0
@@ -107,9 +109,10 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by window and doc_id: a row is removed if its window's first row has a smaller doc_id."""
     last = None
     for batch in batches:
-        h1, h2, doc, ref, place, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        h1, rest, doc, ref = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(doc):
             continue
+        h2, place, known = rest >> 32, ((rest >> 1) & 0x7FFFFFFF).astype(np.int32), (rest & 1).astype(bool)
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (known[1:] != known[:-1])
         key = (h1[0], h2[0], known[0])
@@ -188,8 +191,9 @@ def removed_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(size // 8)
     repeated = sketch.merge(docs.select("text").mapInArrow(_sketched(window, bits), sketch.CELL_SCHEMA), bits, 2, twice=True)
-    asked = docs.mapInArrow(_asked(window, spark.sparkContext.broadcast(repeated)), "h1 long, h2 int, doc_id long, ref long, place int, known boolean")
-    return asked.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "known", "doc_id").mapInArrow(_answered, "ref long, place int")
+    asked = docs.mapInArrow(_asked(window, spark.sparkContext.broadcast(repeated)), "h1 long, rest long, doc_id long, ref long")
+    by_window = ["h1", F.shiftright("rest", 32), F.col("rest").bitwiseAND(1), "doc_id"]
+    return asked.repartition("h1").sortWithinPartitions(*by_window).mapInArrow(_answered, "ref long, place int")
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
