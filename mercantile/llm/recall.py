@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 
 class Recent(dict):
@@ -20,6 +20,18 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def fill(self, keys: Iterable, compute_all: Callable) -> None:
+        """Make all ``keys`` known; what is not, is computed together."""
+        absent = []
+        for key in keys:
+            if key not in self:
+                value = self.older.get(key)
+                if value is None:
+                    absent.append(key)
+                else:
+                    self[key] = value
+        self.update(zip(absent, compute_all(absent), strict=True))
+
     def trim(self) -> None:
         """To be called between texts."""
         if len(self) > self.half:

@@ -22,6 +22,7 @@ texts, rows without doc_id come first. An empty table makes no segment.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +41,9 @@ BLOCK = 256
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
 END_ID = 2
-_HALF = 200_000
+_HALF = 700_000
+#: Characters of the texts that are encoded together.
+_TOGETHER = 1 << 19
 _GROUP = 64
 
 
@@ -159,31 +162,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = regex.compile(r"(?P<body> ?\p{L}+)(?P<rest>[^\p{L}\s']*\n?)")
-        self.pieces = Recent(self._encode, half)
-        self.parts = Recent(self._part, half)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        """Letters and what follows them are cut apart by the tokenizer too, as long as no apostrophe stands between."""
-        found = self.letters.fullmatch(part)
-        if found and found["rest"]:
-            return self.pieces[found["body"]] + self.pieces[found["rest"]]
-        return self.pieces[part]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype="<u4")
-        first, *rest = text.split(" ")
-        if any(not p or p[0].isspace() for p in rest) or not first or any(a in text for a in self.added):
-            return np.frombuffer(self._encode(text), dtype="<u4")
-        found = b"".join(map(self.parts.__getitem__, [first, *[" " + p for p in rest]]))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = regex.compile("|".join([r"^ ", r" \s", r" $", *map(regex.escape, added)]))
+        self.parts = Recent(None, half)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         self.parts.trim()
-        self.pieces.trim()
-        return np.frombuffer(found, dtype="<u4")
+        cut = [[t] if self.whole.search(t) else t.split(" ") for t in texts]
+        self.parts.fill(set().union(*(c[1:] for c in cut)), lambda parts: self._encode([" " + p for p in parts]))
+        heads = self._encode([c[0] for c in cut])
+        found = [head + b"".join(map(self.parts.__getitem__, c[1:])) for head, c in zip(heads, cut, strict=True)]
+        return [np.frombuffer(f, dtype="<u4") for f in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -196,6 +190,17 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple]:
+    """(doc_id, ids) of every row."""
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        sizes = np.cumsum([len(t) for t in texts]) // _TOGETHER
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+            if len(part):
+                a, b = part[0], part[-1] + 1
+                yield from zip(keys[a:b], encoder.encode(texts[a:b]), strict=True)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write the segments of all rows; the frame that reads them back: part, first, n_ids, segment."""
 
@@ -212,17 +217,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
             columns = [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "first", "n_ids", "segment"])
 
-        for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py())
-                keys.append(key.as_py())
-                counts.append(len(ids) + 1)
-                held += [ids, end]
-                size += len(ids) + 1
-                if size >= SEGMENT_IDS:
-                    yield written()
-                    first += size
-                    keys, counts, held, size = [], [], [], 0
+        for key, ids in _encoded(batches, encoder):
+            keys.append(key)
+            counts.append(len(ids) + 1)
+            held += [ids, end]
+            size += len(ids) + 1
+            if size >= SEGMENT_IDS:
+                yield written()
+                first += size
+                keys, counts, held, size = [], [], [], 0
         if keys:
             yield written()
 
