@@ -75,11 +75,12 @@ def rfm_segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> C
     )
 
 
-def segment_risk(segment: str | Column, recency: str | Column) -> Column:
-    """Base risk of the segment, raised by up to a fifth as recency nears 180 days, kept in 0..1."""
+def segment_risk(segment: str | Column, recency: str | Column, kept: bool = True) -> Column:
+    """Base risk of the segment, raised by up to a fifth as recency nears 180 days; ``kept`` in 0..1 unless told otherwise."""
     base = by_segment(segment, dim.BASE_RISK, dim.DEFAULT_RISK)
     aged = F.least(col(recency).cast("double"), F.lit(180.0)) / F.lit(180.0)
-    return F.greatest(F.least(base * (F.lit(1.0) + aged * F.lit(0.2)), F.lit(1.0)), F.lit(0.0))
+    risk = base * (F.lit(1.0) + aged * F.lit(0.2))
+    return F.greatest(F.least(risk, F.lit(1.0)), F.lit(0.0)) if kept else risk
 
 
 def simple_ltv(monetary: str | Column, frequency: str | Column) -> Column:

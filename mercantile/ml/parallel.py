@@ -1,15 +1,15 @@
-"""Parallelism of model fits."""
+"""Partitions of model fits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Partitions of the rows of a fit. Trees are bagged per partition, so a fit depends on this number and on nothing else:
+#: not on the files that hold the rows, on their number or on the cluster's cores. More rows make larger partitions; a
+#: cluster with more cores than this needs a larger number, and then gets another, equally good model.
+FIT_PARTITIONS = 16
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` in at least as many partitions as the cluster runs tasks at once.
 
-    Tree fits work per input partition, and a small stored table is read as very few. Large tables
-    have enough partitions and stay as they are.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *keys)
+def spread(df: DataFrame, *keys: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """``df`` dealt to a fixed number of partitions by ``keys``, in their order within each."""
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)

@@ -102,7 +102,11 @@ def cohort_pivot(retention: DataFrame, offsets: Sequence[int] = range(6), since:
     )
 
 
-def cohort_pivot_by_label(retention: DataFrame, label: int = 0, offsets: Sequence[int] = range(24)) -> DataFrame:
+def cohort_pivot_by_label(retention: DataFrame, label: int = 0, offsets: Sequence[int] | None = None) -> DataFrame:
+    """The pivot of one label. Without ``offsets`` it has every offset that the label's cohorts reach: a column per month."""
+    if offsets is None:
+        reached = retention.where(F.col("churn_label") == label).select("month_offset").distinct()
+        offsets = sorted(r["month_offset"] for r in reached.collect())
     return cohort_pivot(retention.where(F.col("churn_label") == label), offsets, since=None)
 
 

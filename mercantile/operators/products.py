@@ -162,7 +162,7 @@ def top_states(performance: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def category_insights(top: DataFrame, order_by: str = "profit") -> DataFrame:
-    """One row about the top categories; ``top`` is a top-n report, so its quartile is taken directly."""
+    """One row about the categories of ``top``, which has one row per category, so its quartile is taken directly."""
     name, margin = F.col("product_category_name_english"), F.col("margin_pct")
     figures = top.agg(
         row_count().alias("total_categories"),

@@ -63,7 +63,7 @@ def customer_detail(
         F.col("monetary").cast("double").alias("total_spent"),
         F.col("frequency").alias("order_count"),
         F.col("recency_days").alias("days_since_last_purchase"),
-        round_to(segment_risk("rfm_segment", "recency_days"), 3).alias("churn_risk"),
+        round_to(segment_risk("rfm_segment", "recency_days", kept=False), 3).alias("churn_risk"),
         simple_ltv("monetary", "frequency").alias("ltv_estimate"),
         "model_risk",
         "churn_label",
@@ -123,7 +123,7 @@ def riskiest(scored: DataFrame, limit: int = 100, band: str | None = None, key:
 
 
 def risk_band_totals(scored: DataFrame) -> DataFrame:
-    """Customers, share and mean probability per risk band."""
+    """Customers, smallest and largest probability per risk band."""
     p = F.col("churn_probability")
     band = F.when(p >= dim.HIGH_RISK, "high").when(p >= dim.MEDIUM_RISK, "medium").otherwise("low")
     return scored.groupBy(band.alias("risk_band")).agg(
@@ -139,16 +139,12 @@ def churn_risk_split(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.agg(high.alias("high_risk_customers"), (row_count() - high).alias("low_risk_customers"))
 
 
-def high_risk_list(scored: DataFrame, limit: int = 1000, key: str = "customer_unique_id") -> DataFrame:
-    """Hand-off list of high-risk customers with segment and action."""
-    return (
-        in_risk_band(scored, "high")
-        .select(
-            key,
-            round_to("churn_probability", 6).alias("churn_probability"),
-            F.col("rfm_segment").alias("segment"),
-            by_segment("rfm_segment", dim.RECOMMENDED_ACTION, dim.DEFAULT_ACTION).alias("action"),
-        )
-        .orderBy(F.desc("churn_probability"), key)
-        .limit(limit)
+def high_risk_list(scored: DataFrame, limit: int | None = None, key: str = "customer_unique_id") -> DataFrame:
+    """Hand-off list of all high-risk customers with segment and action, or of the ``limit`` likeliest."""
+    listed = in_risk_band(scored, "high").select(
+        key,
+        round_to("churn_probability", 6).alias("churn_probability"),
+        F.col("rfm_segment").alias("segment"),
+        by_segment("rfm_segment", dim.RECOMMENDED_ACTION, dim.DEFAULT_ACTION).alias("action"),
     )
+    return listed if limit is None else listed.orderBy(F.desc("churn_probability"), key).limit(limit)

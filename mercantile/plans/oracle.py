@@ -23,8 +23,9 @@ def _case(column: str, values: dict, default: object = None) -> str:
 
 
 SEGMENT = "(CASE rfm_segment WHEN 'Potential Loyalists' THEN 'Potential Loyalist' ELSE rfm_segment END)"
-RISK = f"""greatest(least({_case(SEGMENT, dim.BASE_RISK, dim.DEFAULT_RISK)}
-  * (1::DOUBLE + (least(recency_days::DOUBLE, 180::DOUBLE) / 180::DOUBLE) * 0.2::DOUBLE), 1::DOUBLE), 0::DOUBLE)"""
+OPEN_RISK = f"""({_case(SEGMENT, dim.BASE_RISK, dim.DEFAULT_RISK)}
+  * (1::DOUBLE + (least(recency_days::DOUBLE, 180::DOUBLE) / 180::DOUBLE) * 0.2::DOUBLE))"""
+RISK = f"greatest(least({OPEN_RISK}, 1::DOUBLE), 0::DOUBLE)"
 LTV = "(monetary::DOUBLE * (1::DOUBLE + frequency::DOUBLE * 0.1::DOUBLE))"
 ACTION = _case(SEGMENT, dim.RECOMMENDED_ACTION, dim.DEFAULT_ACTION)
 
@@ -289,6 +290,11 @@ def _pivot(source: str, offsets: range) -> str:
     return f"SELECT cohort_month, {columns} FROM {source} GROUP BY 1"
 
 
+def _whole_pivot(label: int) -> str:
+    return f"""SELECT * FROM (PIVOT (SELECT cohort_month, 'month_' || month_offset AS reached, retention_rate_pct FROM retention_label WHERE churn_label = {label})
+ON reached USING max(retention_rate_pct) GROUP BY cohort_month)"""
+
+
 def _period(grain: str) -> str:
     return f"""SELECT date_trunc('{grain}', placed)::DATE AS period, sum(total)::DOUBLE AS revenue
 FROM orders_clean JOIN order_revenue USING (order_id) GROUP BY 1"""
@@ -305,7 +311,7 @@ def _retention_summary(label: int) -> str:
 _DETAIL = f"""SELECT r.customer_unique_id, rfm_segment AS segment, r_score, f_score, m_score, r.monetary::DOUBLE AS total_spent,
   r.frequency AS order_count, r.recency_days AS days_since_last_purchase, r.risk AS churn_risk, r.ltv AS ltv_estimate,
   CASE WHEN c.customer_unique_id IS NOT NULL THEN 0::DOUBLE END AS model_risk, c.churn_label, {ACTION} AS recommended_action
-FROM (SELECT *, round({RISK}, 3) AS risk, {LTV} AS ltv FROM rfm) r
+FROM (SELECT *, round({OPEN_RISK}, 3) AS risk, {LTV} AS ltv FROM rfm) r
 LEFT JOIN churn_raw c ON r.customer_unique_id = c.customer_unique_id"""
 
 _LIST = f"""SELECT customer_unique_id, rfm_segment, round({RISK}, 3) AS churn_risk, {LTV} AS ltv_estimate,
@@ -315,9 +321,9 @@ _INSIGHTS = """SELECT count(*) AS total_categories, arg_max(product_category_nam
   arg_max(revenue, profit) AS top_category_revenue, arg_max(margin_pct, profit) AS top_category_margin,
   sum(margin_pct::DECIMAL(9,2))::DOUBLE / count(*) AS avg_margin_all_categories,
   (SELECT coalesce(string_agg(n, ', ' ORDER BY profit DESC), '') FROM (
-    SELECT product_category_name_english AS n, profit FROM top_categories
-    WHERE margin_pct > (SELECT quantile_cont(margin_pct, 0.75) FROM top_categories) ORDER BY profit DESC, n LIMIT 5)) AS high_margin_categories
-FROM top_categories"""
+    SELECT product_category_name_english AS n, profit FROM categories
+    WHERE margin_pct > (SELECT quantile_cont(margin_pct, 0.75) FROM categories) ORDER BY profit DESC, n LIMIT 5)) AS high_margin_categories
+FROM categories"""
 
 STATEMENTS: dict[str, str] = {
     "products_clean": """SELECT product_id, coalesce(category, 'Unknown') AS product_category_name, product_weight_g FROM products""",
@@ -419,8 +425,8 @@ WHERE marketing_segment IS NOT NULL""",
     "cohort_retention": "SELECT * FROM retention",
     "cohort_retention_by_churn": "SELECT * FROM retention_label",
     "cohort_pivot": _pivot(f"(SELECT * FROM retention WHERE cohort_month >= DATE '{PIVOT_SINCE}')", range(6)),
-    "cohort_pivot_active": _pivot("(SELECT * FROM retention_label WHERE churn_label = 0)", range(80)),
-    "cohort_pivot_by_label": _pivot("(SELECT * FROM retention_label WHERE churn_label = 1)", range(80)),
+    "cohort_pivot_active": _whole_pivot(0),
+    "cohort_pivot_by_label": _whole_pivot(1),
     "avg_retention_by_offset": """SELECT month_offset, round(sum(retention_rate_pct::DECIMAL(9,2))::DOUBLE / count(*), 2) AS avg_retention_pct
 FROM retention WHERE month_offset <= 6 GROUP BY 1""",
     "retention_summary": _retention_summary(1),
@@ -487,7 +493,7 @@ FROM churn_raw GROUP BY 1""",
     CASE WHEN coalesce(avg_installments >= 1, false) THEN NULL ELSE 'avg_installments' END,
     CASE WHEN coalesce(credit_card_rate BETWEEN 0 AND 1, false) THEN NULL ELSE 'credit_card_rate' END,
     CASE WHEN coalesce(late_delivery_rate BETWEEN 0 AND 1, false) THEN NULL ELSE 'late_delivery_rate' END) AS failed_fields
-FROM churn_raw WHERE failed_fields <> ''""",
+FROM churn_features WHERE failed_fields <> ''""",
     "churn_predictions": """SELECT customer_unique_id, round(churn_probability, 6) AS churn_probability FROM (
   SELECT * FROM risky ORDER BY risky.churn_probability DESC, customer_unique_id LIMIT 100)""",
     "risk_band_totals": """SELECT CASE WHEN churn_probability >= 0.6 THEN 'high' WHEN churn_probability >= 0.3 THEN 'medium' ELSE 'low' END AS risk_band,
@@ -496,7 +502,7 @@ FROM risky GROUP BY 1""",
     "churn_risk_split": """SELECT count(*) FILTER (WHERE churn_probability > 0.5) AS high_risk_customers,
   count(*) FILTER (WHERE NOT churn_probability > 0.5) AS low_risk_customers FROM risky""",
     "high_risk_list": f"""SELECT customer_unique_id, round(churn_probability, 6) AS churn_probability, rfm_segment AS segment, {ACTION} AS action
-FROM risky WHERE churn_probability >= 0.6 ORDER BY risky.churn_probability DESC, customer_unique_id LIMIT 1000""",
+FROM risky WHERE churn_probability >= 0.6""",
     "campaign_plan": f"""SELECT rfm_segment AS target_segment, channel, n AS segment_size, 1000::DOUBLE AS budget, reach AS estimated_reach,
   round(reach::DOUBLE * conv, 0) AS estimated_conversion, round(reach::DOUBLE * conv * avg_value * 2::DOUBLE, 2) AS expected_revenue,
   round((reach::DOUBLE * conv * avg_value * 2::DOUBLE - 1000::DOUBLE) / 1000::DOUBLE * 100::DOUBLE, 1) AS roi
@@ -561,8 +567,7 @@ FROM (SELECT revenue::DOUBLE AS y, (lag(revenue) OVER (PARTITION BY customer_sta
 WHERE total_revenue < (SELECT quantile_cont(total_revenue::DOUBLE, 0.99) FROM base)""",
     "stream_monthly_revenue": "SELECT month, revenue::DOUBLE AS revenue FROM monthly",
     "stream_usage": """SELECT api_key, tier, month, count(*) AS calls, least(count(*), coalesce(any_value(cap), count(*)))::BIGINT AS accepted,
-  (count(*) - least(count(*), coalesce(any_value(cap), count(*))))::BIGINT AS rejected FROM calls
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM calls) GROUP BY 1, 2, 3""",
+  (count(*) - least(count(*), coalesce(any_value(cap), count(*))))::BIGINT AS rejected FROM calls GROUP BY 1, 2, 3""",
     "usage_metering": """SELECT api_key, tier, month, count(*) AS calls, least(count(*), coalesce(any_value(cap), count(*)))::BIGINT AS accepted,
   (count(*) - least(count(*), coalesce(any_value(cap), count(*))))::BIGINT AS rejected FROM calls GROUP BY 1, 2, 3""",
     "usage_call_flags": """SELECT call_id, api_key, month, coalesce(n <= cap, true) AS accepted FROM (
@@ -571,6 +576,7 @@ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM calls) GROU
 
 
 STATEMENTS["stream_score"] = STATEMENTS["score_customers"]
+STATEMENTS["stream_rejects"] = STATEMENTS["score_rejects"]
 
 
 def oracle_queries() -> dict[str, str]:

@@ -171,10 +171,8 @@ def _cohorts() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "cohort_retention": lambda w: w.cohort_retention,
         "cohort_retention_by_churn": lambda w: w.cohort_retention_by_churn,
         "cohort_pivot": lambda w: cohorts.cohort_pivot(w.cohort_retention, since=PIVOT_SINCE),
-        "cohort_pivot_by_label": lambda w: cohorts.cohort_pivot_by_label(
-            w.cohort_retention_by_churn, 1, range(80)
-        ),
-        "cohort_pivot_active": lambda w: cohorts.cohort_pivot_by_label(w.cohort_retention_by_churn, 0, range(80)),
+        "cohort_pivot_by_label": lambda w: cohorts.cohort_pivot_by_label(w.cohort_retention_by_churn, 1),
+        "cohort_pivot_active": lambda w: cohorts.cohort_pivot_by_label(w.cohort_retention_by_churn, 0),
         "avg_retention_by_offset": lambda w: cohorts.avg_retention_by_offset(w.cohort_retention),
         "retention_summary": lambda w: cohorts.retention_summary(w.cohort_retention_by_churn, 1),
         "retention_summary_active": lambda w: cohorts.retention_summary(w.cohort_retention_by_churn, 0),
@@ -211,7 +209,7 @@ def _products() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "top_categories": lambda w: products.top_categories(w.categories),
         "top_sellers": lambda w: w.top_sellers,
         "top_states": lambda w: products.top_states(w.states),
-        "category_insights": lambda w: products.category_insights(w.top_categories),
+        "category_insights": lambda w: products.category_insights(w.categories),
         "seller_insights": lambda w: products.seller_insights(w.top_sellers),
     }
 
@@ -231,7 +229,7 @@ def _scoring() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "customer_page_starter": lambda w: scoring.page(listed(w), "customer_unique_id", 100, 0, "starter"),
         "customer_detail": detail,
         "score_customers": lambda w: scoring.score_requests(w.churn_features, "customer_unique_id"),
-        "score_rejects": lambda w: scoring.rejected_requests(w.churn_raw).select(
+        "score_rejects": lambda w: scoring.rejected_requests(w.churn_features).select(
             "customer_unique_id", "failed_fields"
         ),
         "churn_predictions": lambda w: scoring.riskiest(w.segment_probability).withColumn(
@@ -266,7 +264,7 @@ def _reports() -> dict[str, Callable[[Warehouse], DataFrame]]:
             people,
             w.churn_metrics,
             cohorts.retention_summary(w.cohort_retention_by_churn, 1),
-            products.category_insights(w.top_categories),
+            products.category_insights(w.categories),
         )
 
     return {
@@ -368,12 +366,21 @@ def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
 
 
 def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    def requests(w: Warehouse) -> DataFrame:
+        folder = w.scratch.path("requests")
+        w.churn_features.write.parquet(folder)
+        return jobs.parquet_stream(w.spark, folder, w.churn_features.schema)
+
+    def written(w: Warehouse, frame: DataFrame) -> DataFrame:
+        results = w.scratch.path("results")
+        jobs.run_to_parquet(frame, results, w.scratch.path("results_checkpoint"))
+        return w.spark.read.schema(frame.schema).parquet(results)
+
     def scores(w: Warehouse) -> DataFrame:
-        requests, results = w.scratch.path("requests"), w.scratch.path("scores")
-        w.churn_features.write.parquet(requests)
-        scored = jobs.score_stream(jobs.parquet_stream(w.spark, requests, w.churn_features.schema), "customer_unique_id")
-        jobs.run_to_parquet(scored, results, w.scratch.path("scores_checkpoint"))
-        return w.spark.read.schema(scored.schema).parquet(results)
+        return written(w, jobs.score_stream(requests(w), "customer_unique_id"))
+
+    def rejects(w: Warehouse) -> DataFrame:
+        return written(w, jobs.reject_stream(requests(w), "customer_unique_id"))
 
     def monthly(w: Warehouse) -> DataFrame:
         orders = w.scratch.store(w.tables.order_facts(False, False), "orders")
@@ -382,13 +389,13 @@ def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
         name = jobs.run_to_table(totals, w.scratch.path("revenue_checkpoint"), "monthly_revenue")
         return money(w.spark.table(name), "revenue")
 
-    def closed_usage(w: Warehouse) -> DataFrame:
+    def metered(w: Warehouse) -> DataFrame:
         calls = as_calls(jobs.parquet_stream(w.spark, f"{w.tables.directory}/events.parquet", STAR_TABLES["events"]))
-        days, results = jobs.daily_usage_stream(calls, "0 seconds"), w.scratch.path("days")
-        jobs.run_to_parquet(days, results, w.scratch.path("days_checkpoint"))
-        return jobs.monthly_usage_of_days(w.spark.read.schema(days.schema).parquet(results), TIER_CALLS)
+        results = w.scratch.path("calls")
+        jobs.run_to_parquet(calls, results, w.scratch.path("calls_checkpoint"))
+        return usage.monthly_usage(w.spark.read.schema(calls.schema).parquet(results), TIER_CALLS)
 
-    return {"stream_score": scores, "stream_monthly_revenue": monthly, "stream_usage": closed_usage}
+    return {"stream_score": scores, "stream_rejects": rejects, "stream_monthly_revenue": monthly, "stream_usage": metered}
 
 
 def all_queries() -> dict[str, Query]:

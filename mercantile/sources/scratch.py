@@ -6,23 +6,20 @@ re-read and never a recomputation of the whole plan behind it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local master."""
+    """The folder named by ``spark.checkpoint.dir``, else one below the warehouse, which all executors reach too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context_dir = spark.sparkContext.getCheckpointDir()
     if context_dir:
         return context_dir.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="mercantile-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
 
 
 class Scratch:

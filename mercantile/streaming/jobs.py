@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from mercantile.functions import dimensions as dim
 from mercantile.functions.dates import month_of
 from mercantile.operators.cleaning import orders_clean
-from mercantile.operators.scoring import score_requests
+from mercantile.operators.scoring import rejected_requests, score_requests
 from mercantile.operators.usage import with_accepted
 
 
@@ -65,6 +65,11 @@ def score_stream(requests: DataFrame, *carried: str) -> DataFrame:
     return score_requests(requests, *carried)
 
 
+def reject_stream(requests: DataFrame, *carried: str) -> DataFrame:
+    """Requests that fail a check as they arrive, with the failing fields: what ``score_stream`` leaves out."""
+    return rejected_requests(requests).select(*carried, "failed_fields")
+
+
 def daily_usage_stream(calls: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Calls per key and day, emitted once a day is closed by the watermark.
 

@@ -176,3 +176,13 @@ def test_clv_model(spark, scratch):
     values = {r["metric"]: r["value"] for r in quality.collect()}
     assert values["r2"] > 0.7 and "mape" not in values
     assert model.score(people, scratch).where("ltv_segment IS NULL").count() == 0
+
+
+def test_a_fit_gets_the_same_partitions_from_any_files(spark):
+    from mercantile.ml.parallel import FIT_PARTITIONS, spread
+
+    found = []
+    for files in (1, 3, 16):
+        parts = spread(spark.range(500).repartition(files), "id").rdd.glom().collect()
+        found.append([[r["id"] for r in p] for p in parts])
+    assert found[0] == found[1] == found[2] and len(found[0]) == FIT_PARTITIONS

@@ -177,3 +177,28 @@ def test_labels_from_segments(spark):
     )
     got = rows(rfm.churn_label_from_segment(crowd), "customer_unique_id", "churn_label", "avg_review_score", "late_delivery_rate")
     assert got == [("a", 1, 4.0, 0.1), ("b", 1, 4.0, 0.1), ("c", 0, 4.0, 0.1)]
+
+
+def test_detail_risk_is_not_kept_below_one(spark):
+    from mercantile.functions.expressions import segment_risk
+
+    people = spark.createDataFrame([("Lost Low Value", 180), ("Lost Low Value", 0)], "s string, d int")
+    open_, kept = (people.select(segment_risk("s", "d", kept=k).alias("r")).collect() for k in (False, True))
+    assert open_[0]["r"] == pytest.approx(open_[1]["r"] * 1.2) and kept[0]["r"] == min(open_[0]["r"], 1.0)
+
+
+def test_scored_and_rejected_requests_are_a_partition(spark):
+    import __spark_entry__ as registry
+
+    folder = "/root/testdata/sf0.001"
+    found = [registry.queries()[n](spark, folder).select("customer_unique_id") for n in ("score_customers", "score_rejects", "churn_features")]
+    scored, rejected, everyone = ({r[0] for r in f.collect()} for f in found)
+    assert not scored & rejected and scored | rejected == everyone
+
+
+def test_whole_pivot_has_every_offset(spark):
+    from mercantile.operators.cohorts import cohort_pivot_by_label
+
+    rows_ = [("2017-01-01", 1, 0, 100.0), ("2017-01-01", 1, 100, 5.0), ("2017-02-01", 0, 7, 1.0)]
+    frame = spark.createDataFrame(rows_, "cohort_month string, churn_label int, month_offset int, retention_rate_pct double")
+    assert cohort_pivot_by_label(frame, 1).columns == ["cohort_month", "month_0", "month_100"]
