@@ -131,12 +131,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     # Windows without their items, one row per window: many items may hold the same window, and many documents.
     known = shared.select("h1", "h2").distinct()
-    hits = rows.where(F.size("places") > 0).select("doc_id", "ref", F.explode("places").alias("p")).select("doc_id", "ref", "p.*")
+    hits = rows.where(F.size("places") > 0).select("ref", F.explode("places").alias("p")).select("ref", "p.*")
     hits = store.store(hits.join(known, ["h1", "h2"]), "hits")
     items = (
-        hits.groupBy("h1", "h2", "doc_id", "ref").agg(F.lit(1).alias("met"))
+        hits.select("h1", "h2", "ref").distinct()
         .join(shared.where("item_id IS NOT NULL").select("h1", "h2", "item_id").distinct(), ["h1", "h2"])
-        .groupBy("doc_id", "ref").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+        .groupBy("ref").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
     # Places in order, folded into spans: a place within the open span extends it, another one opens the next.
     span = F.struct(F.col("place").alias("a"), (F.col("place") + F.col("size")).alias("b"))
@@ -148,9 +148,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         longer = F.concat(head, F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], nxt["b"]).alias("b"))))
         return F.when((F.size(spans) > 0) & (nxt["a"] <= last["b"]), longer).otherwise(F.concat(spans, F.array(nxt)))
 
-    spans = hits.groupBy("doc_id", "ref").agg(F.aggregate(F.sort_array(F.collect_set(span)), none, fold).alias("spans"))
-    found = spans.join(items, ["doc_id", "ref"], "left").withColumnsRenamed({"doc_id": "found_id", "ref": "found_ref"})
-    joined = rows.select("doc_id", "ref", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("ref") == F.col("found_ref")), "left")
+    spans = hits.groupBy("ref").agg(F.aggregate(F.sort_array(F.collect_set(span)), none, fold).alias("spans"))
+    found = spans.join(items, "ref", "left")
+    joined = rows.select("doc_id", "ref", "n_words").join(found, "ref", "left")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.aggregate(F.coalesce("spans", none), F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return joined.select(
