@@ -34,7 +34,7 @@ from mercantile.llm.tables import scratch
 from mercantile.llm.textkit import hash_spans, hash_without, mix, signed, slices
 
 LEAST_CHARS = 16
-_ASKED = 500_000
+_ASKED = 150_000
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,7 +166,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _variant_keys(lines: pa.Array, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(line index, place or -1, key) of every line itself and of every variant, for slices of lines. A run of one character
     gives equal variants: with ``once`` the first of them, else one for each place."""
-    for first, _, data, at in slices(lines, 1 << 20):
+    for first, _, data, at in slices(lines, 1 << 18):
         chars = np.flatnonzero((data & 0xC0) != 0x80)
         line = np.searchsorted(at, chars, side="right") - 1
         begin, stop = at[line], at[line + 1]
