@@ -7,7 +7,7 @@ priority queue, ordered by the smallest distance to a cut on the way there, and
 sample. Candidates are then ranked exactly, in double precision, on the original vectors.
 
 Leaves meet their queries in blocks: a leaf's vectors in chunks of about ``CHUNK``, its queries likewise, so no group grows
-with the data. Equal vectors are one candidate, which keeps the k + 1 smallest ids: no query can return more of them.
+with the data. A task merges the lists of a query from all its leaves before they are shuffled. Equal vectors are one candidate, which keeps the k + 1 smallest ids: no query can return more of them.
 
 Defined results: rows without vec_id, and vectors that are NULL or zero, or hold a NULL, NaN or infinite component, take no
 part; nor do vectors of another length than the commonest (of equally common ones the smaller). Of rows with equal
@@ -31,7 +31,7 @@ from mercantile.llm.tables import scratch
 
 TREES, LEAF_ROWS, MOST_DEPTH = 12, 512, 10
 SAMPLE, TRIALS, RECALL = 20_000, 200, 0.95
-CHUNK = 2_048
+CHUNK, HELD = 2_048, 2_000_000
 
 
 @dataclass
@@ -164,27 +164,72 @@ def _leaf_counts(forest, probes: int):
     return run
 
 
+def _scored(rows: list, queries: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, gid, score): the k best vectors of one leaf for each of its queries. Both are lists of (gids, matrix)."""
+    (gid, x), (query, q) = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (rows, queries))
+    order = np.argsort(gid)
+    gid, x = gid[order], x[order]
+    out = []
+    for a in range(0, len(q), 512):
+        scores = q[a : a + 512] @ x.T
+        # Sums of another order differ in the last places, so some more are taken and summed alike everywhere.
+        near = np.argpartition(-scores, min(k + 8, len(x)) - 1, axis=1)[:, : k + 8] if len(x) > k + 8 else np.tile(np.arange(len(x)), (len(scores), 1))
+        near.sort(axis=1)
+        exact = (x[near] * q[a : a + 512, None, :]).sum(axis=2)
+        rank = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        near, exact = np.take_along_axis(near, rank, 1), np.take_along_axis(exact, rank, 1)
+        out.append((np.repeat(query[a : a + 512], near.shape[1]), gid[near].ravel(), exact.ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _merged(lists: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One list of the k best for each query; a vector that several leaves gave counts once."""
+    query, gid, score = (np.concatenate(c) for c in zip(*lists, strict=True))
+    order = np.lexsort((gid, -score, query))
+    query, gid, score = query[order], gid[order], score[order]
+    new = np.r_[True, (query[1:] != query[:-1]) | (gid[1:] != gid[:-1])]
+    query, gid, score = query[new], gid[new], score[new]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    best = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)])) < k
+    return query[best], gid[best], score[best]
+
+
 def _best(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query", pa.int64()), ("gid", pa.int64()), ("score", pa.float64())])
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        x, q = (_matrix(t.column("v").combine_chunks()).astype(np.float64) for t in (rows, queries))
-        gid, query = (t.column("gid").to_numpy() for t in (rows, queries))
-        order = np.argsort(gid)
-        gid, x = gid[order], x[order]
-        out = []
-        for a in range(0, len(q), 512):
-            scores = q[a : a + 512] @ x.T
-            # Sums of another order differ in the last places, so some more are taken and summed alike everywhere.
-            near = np.argpartition(-scores, min(k + 8, len(x)) - 1, axis=1)[:, : k + 8] if len(x) > k + 8 else np.tile(np.arange(len(x)), (len(scores), 1))
-            near.sort(axis=1)
-            exact = (x[near] * q[a : a + 512, None, :]).sum(axis=2)
-            rank = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            near, exact = np.take_along_axis(near, rank, 1), np.take_along_axis(exact, rank, 1)
-            out.append((np.repeat(query[a : a + 512], near.shape[1]), gid[near].ravel(), exact.ravel()))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    """Rows (gid, leaf, chunk, block, side, v), sorted by the four in the middle: the k best of a task for each of its queries.
+
+    A worker holds one chunk of a leaf's vectors and one of its queries, and lists of at most ``HELD`` rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, lists, held = None, ([], []), [], 0
+
+        def batch_of(columns) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query", "gid", "score"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(1, 5)], axis=1)
+            gid, v = batch.column(0).to_numpy(), _matrix(batch.column(5)).astype(np.float64)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(keys)], strict=True):
+                if key != (place := tuple(keys[a, :3])):
+                    if sides[0] and sides[1]:
+                        lists.append(_scored(*sides, k))
+                        held += len(lists[-1][0])
+                    key, sides = place, ([], [])
+                    if held > HELD:
+                        lists = [_merged(lists, k)]
+                        held = len(lists[0][0])
+                        if held > HELD // 2:
+                            yield batch_of(lists[0])
+                            lists, held = [], 0
+                sides[keys[a, 3]].append((gid[a:b], v[a:b]))
+        if sides[0] and sides[1]:
+            lists.append(_scored(*sides, k))
+        if lists:
+            yield batch_of(_merged(lists, k))
 
     return run
 
@@ -231,9 +276,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES
 
     sizes, probing = counted(data, 0), counted(queries, probes)
     schema = "leaf int, chunk int, block int, gid long, v array<double>"
-    left = data.mapInArrow(_placed(shared, sizes, probing, 0), schema).groupBy("leaf", "chunk", "block")
-    right = queries.mapInArrow(_placed(shared, sizes, probing, probes), schema).groupBy("leaf", "chunk", "block")
-    found = left.cogroup(right).applyInArrow(_best(k + 1), "query long, gid long, score double").distinct()
+    place = ["leaf", "chunk", "block", "side"]
+    left = data.mapInArrow(_placed(shared, sizes, probing, 0), schema).withColumn("side", F.lit(0))
+    right = queries.mapInArrow(_placed(shared, sizes, probing, probes), schema).withColumn("side", F.lit(1))
+    met = left.unionByName(right).select("gid", *place, "v").repartition(*place[:3]).sortWithinPartitions(*place)
+    found = met.mapInArrow(_best(k + 1), "query long, gid long, score double").distinct()
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "gid")
     found = found.select("*", F.row_number().over(by_score).alias("nth")).where(F.col("nth") <= k + 1)
