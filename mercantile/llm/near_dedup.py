@@ -13,9 +13,16 @@ words); fewer words are one shingle. Similarity of two multisets: sum of the sma
    At similarity 0.8 a pair meets in no band with probability (1 - 0.8**4)**24, 3 in a million.
 3. In each band's bucket the node with the most meetings over all bands is the pivot, and all others are verified
    against it: exact multisets, whole texts. Verified pairs make components.
-4. Buckets whose nodes are in one component are settled, however large. In the others every pair of nodes of different
-   components that was not verified yet is, if their signatures agree in ``AGREE`` components: at similarity 0.8, 77 of 96 are expected, and
-   fewer than 56 have a probability below one in a million. So no link is lost to a pivot; no bucket is capped.
+4. Buckets whose nodes are in one component are settled, however large. In the others two nodes of different components may still be
+   similar to each other. At most one of them is similar to the pivot P, so they share a difference from it. Let t be the least
+   similarity, o(A) the size of what A and P share, and need = t / (1 + t) * (|A| + |B|), which A and B have to share at least.
+   Either they share an added shingle (one that P does not have); then, with added shingles first in one order of all, the first one that
+   they share is among the first |A| - t |A| + 1 of A, and of B. Or what they share is within P, which takes
+   need <= min(o(A), o(B)), and |B| < |P| if A is not similar to P; then they lack a shingle of P in common, and the
+   first in order is among the first o(A) / t - |A| + 1 that A lacks, and likewise for B. So nodes meet by these few
+   differences, first with the one of most differences, then, where components are still apart, with each other. Pairs
+   that pass the two bounds are verified if their signatures agree in ``AGREE`` components: at similarity 0.8, 77 of 96 are
+   expected, and fewer than 56 have a probability below one in a million. No link is lost to a pivot; nothing is capped.
 
 Defined results: a text without words is near only to the same bytes; NULL and empty texts are near to nothing. The
 class is the smallest doc_id of the component. Rows without doc_id take part, and have the class of their component (NULL
@@ -143,8 +150,8 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ref", "node", "bands", "marks"])
 
 
-def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts of each row."""
+def _counts(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, count on the left, count on the right) of every distinct shingle of each row's two texts."""
     sides = []
     for column in (left, right):
         parts = []
@@ -153,16 +160,65 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
             parts.append((text + first, shingles, counts))
         sides.append([np.concatenate(x) for x in zip(*parts, strict=True)])
     (t1, s1, c1), (t2, s2, c2) = sides
-    n = len(left)
-    row, shingle, count = np.r_[t1, t2], np.r_[s1, s2], np.r_[c1, c2]
+    row, shingle = np.r_[t1, t2], np.r_[s1, s2]
+    one, two = np.r_[c1, np.zeros_like(c2)], np.r_[np.zeros_like(c1), c2]
     order = np.lexsort((shingle, row))
-    row, shingle, count = row[order], shingle[order], count[order]
-    twin = np.flatnonzero((row[1:] == row[:-1]) & (shingle[1:] == shingle[:-1]))
-    shared = np.bincount(row[twin], np.minimum(count[twin], count[twin + 1]), n)
-    total = np.bincount(row, count, n)
+    row, shingle, one, two = row[order], shingle[order], one[order], two[order]
+    first = np.flatnonzero(np.r_[len(row) > 0, (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])][: len(row)])
+    if not len(first):
+        return row, shingle, one, two
+    return row[first], shingle[first], np.add.reduceat(one, first), np.add.reduceat(two, first)
+
+
+def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Weighted Jaccard similarity of the texts of each row."""
+    row, _, one, two = _counts(left, right)
+    shared, total = (np.bincount(row, x, len(left)) for x in (np.minimum(one, two), one + two))
     return shared / np.maximum(total - shared, 1)
 
 
+def _first_units(row, shingle, held, counts, most, pivot, salt: int) -> pa.ListArray:
+    """Keys of the first ``most`` units of each row, in hash order: copy ``held`` and further ones, ``counts`` in all, of a shingle."""
+    at = np.repeat(np.arange(len(row)), counts)
+    copy = held[at] + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    unit, row = mix(shingle[at] + copy.astype(np.uint64) * _STEP, 71), row[at]
+    order = np.lexsort((unit, row))
+    unit, row = unit[order], row[order]
+    starts = np.searchsorted(row, np.arange(len(most) + 1))
+    kept = np.arange(len(row)) - starts[row] < most[row]
+    bounds = np.r_[0, np.cumsum(np.bincount(row[kept], minlength=len(most)))]
+    keys = mix(unit[kept] ^ mix(pivot.view(np.uint64), 72)[row[kept]], salt)
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(keys)))
+
+
+def _differences(least: float):
+    """Rows (pivot, node, text, text) to the node's sizes and the keys of the differences by which it may meet others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                row, shingle, one, two = _counts(part.column(2), part.column(3))
+                both = np.minimum(one, two)
+                whole, size, own = (np.bincount(row, x, part.num_rows).astype(np.int64) for x in (one, two, both))
+                linked = own >= (least - 1e-12) * (whole + size - own)
+                added = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+                lacked = own / least - size
+                lacked = np.where(linked, lacked, np.minimum(lacked, (whole - least * size) / (1 + least)))
+                lacked = np.where((own >= least * size - 1e-9) & (~linked | (size < whole)), np.floor(lacked + 1e-9) + 1, 0).astype(np.int64)
+                pivot = part.column(0).to_numpy()
+                columns = [
+                    part.column(1),
+                    pa.array(linked),
+                    *(pa.array(x) for x in (whole, size, own)),
+                    _first_units(row, shingle, both, two - both, added, pivot, 73),
+                    _first_units(row, shingle, both, one - both, lacked, pivot, 74),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "linked", "whole", "size", "own", "added", "lacked"])
+
+    return run
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +272,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     stars = met.join(pivots, F.col("key") == F.col("shared")).where("node <> pivot").select(low, high).distinct()
     stars = store.store(stars, "stars")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes that are similar. Only texts of nodes in a pair are shuffled."""
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes with their texts. Only texts of nodes in a pair are shuffled."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = store.store(nodes.select("node", "ref").join(wanted, "node"), "wanted")
         found = sketch.members(wanted, "ref", sketch.bits_for(4 * wanted.count()))
@@ -225,24 +281,59 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         texts = store.store(texts.join(wanted, "ref").dropDuplicates(["ref"]).select("node", "text"), "texts")
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return store.store(both.mapInArrow(_similar(least), "a long, b long"), "links")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return store.store(with_texts(pairs).mapInArrow(_similar(least), "a long, b long"), "links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return store.store(connected_components(links, store), "roots").withColumnRenamed("node", "of")
+
+    def unsettled(groups: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """The groups, by key, whose nodes are in different components; each row with its node's root."""
+        placed = groups.join(roots, F.col("node") == F.col("of"), "left").select(groups["*"], F.coalesce("root", "node").alias("root"))
+        open_ = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select(F.col("key").alias("shared"))
+        return store.store(placed.join(open_, F.col("key") == F.col("shared")).drop("shared", "open"), name)
 
     links = verified(stars)
-    roots = store.store(connected_components(links, store), "roots").withColumnRenamed("node", "of")
-    placed = met.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select(F.col("key").alias("shared"))
-    left_over = placed.join(open_, F.col("key") == F.col("shared")).select("key", "node", "root")
-    left_over = store.store(left_over, "open")
-    one = left_over.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    two = left_over.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = one.join(two, "key").where("root_a <> root_b AND a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    marks = nodes.select("node", "marks")
-    rest = rest.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
-    rest = store.store(rest.mapInArrow(_agreeing, "a long, b long"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest))
-        roots = store.store(connected_components(links, store), "roots").withColumnRenamed("node", "of")
+    roots = rooted(links)
+    far = unsettled(met.select("key", "node"), roots, "open").join(pivots, F.col("key") == F.col("shared")).where("node <> pivot")
+    far = store.store(far.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "far")
+    if not far.isEmpty():
+        columns = "node long, linked boolean, whole long, size long, own long, added array<long>, lacked array<long>"
+        apart = store.store(with_texts(far).mapInArrow(_differences(least), columns), "differences")
+        facts = ["node", "linked", "whole", "size", "own"]
+        index = apart.select(F.explode("added").alias("key"), F.lit(True).alias("adds"), *facts)
+        index = index.unionByName(apart.select(F.explode("lacked").alias("key"), F.lit(False).alias("adds"), *facts))
+        need = f"{least / (1 + least)!r} * (size + size_2) - 1e-6"
+        fits = F.expr(
+            f"root <> root_2 AND CASE WHEN adds THEN least(own, own_2) + least(size - own, size_2 - own_2) >= {need} "
+            f"ELSE least(own, own_2) >= {need} AND (linked OR size_2 < whole) AND (linked_2 OR size < whole) END"
+        )
+        low, high = F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")
+        marks, done = nodes.select("node", "marks"), stars
+
+        def agreed(both: DataFrame) -> DataFrame:
+            """New pairs (a, b) whose signatures agree."""
+            pairs = both.where(fits).select(low, high).distinct().join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
+            return store.store(pairs.mapInArrow(_agreeing, "a long, b long"), "rest")
+
+        def renamed(rows: DataFrame) -> DataFrame:
+            return rows.select("key", *(F.col(c).alias(c + "_2") for c in ("node", "root", "linked", "size", "own")))
+
+        index = unsettled(index, roots, "index")
+        most = index.groupBy("node").agg(F.count("*").alias("degree"))
+        ranked = index.join(most, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "root", "linked", "size", "own")).alias("lead"))
+        pairs = agreed(index.join(renamed(ranked.select("key", "lead.*")), "key").where("node <> node_2"))
+        if not pairs.isEmpty():
+            links, done = links.unionByName(verified(pairs)), done.unionByName(pairs)
+            roots = rooted(links)
+            index = unsettled(index.drop("root"), roots, "index")
+        pairs = agreed(index.join(renamed(index), "key").where("node < node_2"))
+        if not pairs.isEmpty():
+            links = links.unionByName(verified(pairs))
+            roots = rooted(links)
 
     placed = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     placed = store.store(placed, "placed")

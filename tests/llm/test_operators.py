@@ -69,6 +69,29 @@ def test_near_duplicates(docs, plain, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_families_of_near_copies(spark):
+    """Members that are unlike the centre and like each other: edits, cuts, additions and second centres."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(400)]
+
+    def edited(text, share):
+        return [words[rng.integers(400)] if rng.random() < share else w for w in text]
+
+    rows = []
+    for size in (60, 150):
+        centre = [words[x] for x in rng.integers(0, 400, size)]
+        rows += [edited(centre, share) for share in (0.0, 0.01, 0.02, 0.03, 0.04, 0.06) for _ in range(12)]
+        rows += [centre[: int(size * part)] for part in np.linspace(0.4, 1, 15)] + [centre[int(size * part) :] for part in np.linspace(0, 0.6, 15)]
+        second = edited(centre, 0.05)
+        rows += [edited(second, share) for share in (0.0, 0.005, 0.01, 0.02) for _ in range(8)]
+        rows += [centre + centre[:k] for k in (8, 20, 40)] + [centre[:-10] + ["again"] * k for k in (5, 12, 40, 45)]
+    rows = [(i, " ".join(row)) for i, row in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(brute.classes(rows), key=str)
+    assert 20 < len({c for _, c in expected}) < len(rows) - 50
+    assert found(near_dedup.near_duplicates(table), "doc_id", "class_id") == expected
+
+
 def test_signatures_are_unbiased():
     rng, n = np.random.default_rng(3), 400
     left = [[f"w{x}" for x in rng.integers(0, 30, 50)] for _ in range(n)]
