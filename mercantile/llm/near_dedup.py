@@ -16,13 +16,18 @@ words); fewer words are one shingle. Similarity of two multisets: sum of the sma
 4. Buckets whose nodes are in one component are settled, however large. In the others two nodes of different components may still be
    similar to each other. At most one of them is similar to the pivot P, so they share a difference from it. Let t be the least
    similarity, o(A) the size of what A and P share, and need = t / (1 + t) * (|A| + |B|), which A and B have to share at least.
-   Either they share an added shingle (one that P does not have); then, with added shingles first in one order of all, the first one that
-   they share is among the first |A| - t |A| + 1 of A, and of B. Or what they share is within P, which takes
+   Either they share an added shingle (one that P does not have); then the first one that they share, in any one order of
+   all, is among the first |A| - t |A| + 1 of A, and of B. Or what they share is within P, which takes
    need <= min(o(A), o(B)), and |B| < |P| if A is not similar to P; then they lack a shingle of P in common, and the
-   first in order is among the first o(A) / t - |A| + 1 that A lacks, and likewise for B. So nodes meet by these few
-   differences, first with the one of most differences, then, where components are still apart, with each other. Pairs
-   that pass the two bounds are verified if their signatures agree in ``AGREE`` components: at similarity 0.8, 77 of 96 are
-   expected, and fewer than 56 have a probability below one in a million. No link is lost to a pivot; nothing is capped.
+   first in order is among the first o(A) / t - |A| + 1 that A lacks, and likewise for B. So nodes meet by differences,
+   first with the one of most differences. Where components are still apart they meet with each other, by the first
+   differences in the order of how many nodes have them, rare ones first: what a family has in common comes last. A
+   difference that only one component has joins nothing and counts as the rarest. If the first difference that a pair
+   shares has ``left`` ones from it on in each of the two lists, they share at most the smaller ``left`` added
+   shingles, which with min(o(A), o(B)) has to reach need; and lack at most the smaller ``left`` in common, which has
+   to reach need + |P| - o(A) - o(B). Pairs that pass these bounds are verified if their signatures agree in ``AGREE``
+   components: at similarity 0.8, 77 of 96 are expected, and fewer than 56 have a probability below one in a million. No
+   link is lost to a pivot; nothing is capped.
 
 Defined results: a text without words is near only to the same bytes; NULL and empty texts are near to nothing. The
 class is the smallest doc_id of the component. Rows without doc_id take part, and have the class of their component (NULL
@@ -35,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercantile.llm import sketch
@@ -177,22 +182,17 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / np.maximum(total - shared, 1)
 
 
-def _first_units(row, shingle, held, counts, most, pivot, salt: int) -> pa.ListArray:
-    """Keys of the first ``most`` units of each row, in hash order: copy ``held`` and further ones, ``counts`` in all, of a shingle."""
+def _units(row, shingle, held, counts, n: int, pivot, salt: int) -> pa.ListArray:
+    """Keys of the units of each of n rows: copy ``held`` and further ones, ``counts`` in all, of a shingle. Rows are in order."""
     at = np.repeat(np.arange(len(row)), counts)
     copy = held[at] + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
     unit, row = mix(shingle[at] + copy.astype(np.uint64) * _STEP, 71), row[at]
-    order = np.lexsort((unit, row))
-    unit, row = unit[order], row[order]
-    starts = np.searchsorted(row, np.arange(len(most) + 1))
-    kept = np.arange(len(row)) - starts[row] < most[row]
-    bounds = np.r_[0, np.cumsum(np.bincount(row[kept], minlength=len(most)))]
-    keys = mix(unit[kept] ^ mix(pivot.view(np.uint64), 72)[row[kept]], salt)
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(keys)))
+    keys = mix(unit ^ mix(pivot.view(np.uint64), 72)[row], salt)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=n))], pa.int32()), pa.array(signed(keys)))
 
 
 def _differences(least: float):
-    """Rows (pivot, node, text, text) to the node's sizes and the keys of the differences by which it may meet others."""
+    """Rows (pivot, node, text, text) to the node's sizes, its differences, and among how many first ones it may meet others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,13 +208,12 @@ def _differences(least: float):
                 lacked = np.where((own >= least * size - 1e-9) & (~linked | (size < whole)), np.floor(lacked + 1e-9) + 1, 0).astype(np.int64)
                 pivot = part.column(0).to_numpy()
                 columns = [
-                    part.column(1),
-                    pa.array(linked),
-                    *(pa.array(x) for x in (whole, size, own)),
-                    _first_units(row, shingle, both, two - both, added, pivot, 73),
-                    _first_units(row, shingle, both, one - both, lacked, pivot, 74),
+                    *part.columns[:2],
+                    *(pa.array(x) for x in (linked, whole, size, own, added, lacked)),
+                    _units(row, shingle, both, two - both, part.num_rows, pivot, 73),
+                    _units(row, shingle, both, np.where(lacked[row] > 0, one - both, 0), part.num_rows, pivot, 74),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "linked", "whole", "size", "own", "added", "lacked"])
+                yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "linked", "whole", "size", "own", "most_added", "most_lacked", "added", "lacked"])
 
     return run
 
@@ -290,47 +289,58 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return store.store(connected_components(links, store), "roots").withColumnRenamed("node", "of")
 
     def unsettled(groups: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-        """The groups, by key, whose nodes are in different components; each row with its node's root."""
+        """The groups, by key, whose nodes are in different components; each row with its node's root and the group's size n."""
         placed = groups.join(roots, F.col("node") == F.col("of"), "left").select(groups["*"], F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select(F.col("key").alias("shared"))
-        return store.store(placed.join(open_, F.col("key") == F.col("shared")).drop("shared", "open"), name)
+        held = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"))
+        open_ = held.where("open").select(F.col("key").alias("shared"), "n")
+        return store.store(placed.join(open_, F.col("key") == F.col("shared")).drop("shared"), name)
 
     links = verified(stars)
     roots = rooted(links)
     far = unsettled(met.select("key", "node"), roots, "open").join(pivots, F.col("key") == F.col("shared")).where("node <> pivot")
     far = store.store(far.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "far")
     if not far.isEmpty():
-        columns = "node long, linked boolean, whole long, size long, own long, added array<long>, lacked array<long>"
+        columns = (
+            "pivot long, node long, linked boolean, whole long, size long, own long, most_added long, most_lacked long, "
+            "added array<long>, lacked array<long>"
+        )
         apart = store.store(with_texts(far).mapInArrow(_differences(least), columns), "differences")
-        facts = ["node", "linked", "whole", "size", "own"]
-        index = apart.select(F.explode("added").alias("key"), F.lit(True).alias("adds"), *facts)
-        index = index.unionByName(apart.select(F.explode("lacked").alias("key"), F.lit(False).alias("adds"), *facts))
-        need = f"{least / (1 + least)!r} * (size + size_2) - 1e-6"
-        fits = F.expr(
+        facts = ["pivot", "node", "linked", "whole", "size", "own"]
+        index = apart.select(F.explode("added").alias("key"), F.lit(True).alias("adds"), F.col("most_added").alias("most"), *facts)
+        index = index.unionByName(apart.select(F.explode("lacked").alias("key"), F.lit(False).alias("adds"), F.col("most_lacked").alias("most"), *facts))
+        need = f"({least / (1 + least)!r} * (size + size_2) - 1e-6)"
+        fits = (
             f"root <> root_2 AND CASE WHEN adds THEN least(own, own_2) + least(size - own, size_2 - own_2) >= {need} "
             f"ELSE least(own, own_2) >= {need} AND (linked OR size_2 < whole) AND (linked_2 OR size < whole) END"
         )
+        # Where the key is the first difference that both have.
+        fits_first = (
+            f"{fits} AND least(left, left_2) >= CASE WHEN adds THEN {need} - least(own, own_2) ELSE {need} + whole - own - own_2 END"
+        )
         low, high = F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")
         marks, done = nodes.select("node", "marks"), stars
 
-        def agreed(both: DataFrame) -> DataFrame:
-            """New pairs (a, b) whose signatures agree."""
-            pairs = both.where(fits).select(low, high).distinct().join(done, ["a", "b"], "left_anti")
+        def agreed(both: DataFrame, bounds: str) -> DataFrame:
+            """New pairs (a, b) within the bounds whose signatures agree."""
+            pairs = both.where(bounds).select(low, high).distinct().join(done, ["a", "b"], "left_anti")
             pairs = pairs.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b").select("a", "b", "marks_a", "marks_b")
             return store.store(pairs.mapInArrow(_agreeing, "a long, b long"), "rest")
 
-        def renamed(rows: DataFrame) -> DataFrame:
-            return rows.select("key", *(F.col(c).alias(c + "_2") for c in ("node", "root", "linked", "size", "own")))
+        def renamed(rows: DataFrame, *more: str) -> DataFrame:
+            return rows.select("key", *(F.col(c).alias(c + "_2") for c in ("node", "root", "linked", "size", "own", *more)))
 
         index = unsettled(index, roots, "index")
         most = index.groupBy("node").agg(F.count("*").alias("degree"))
         ranked = index.join(most, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "root", "linked", "size", "own")).alias("lead"))
-        pairs = agreed(index.join(renamed(ranked.select("key", "lead.*")), "key").where("node <> node_2"))
+        pairs = agreed(index.join(renamed(ranked.select("key", "lead.*")), "key").where("node <> node_2"), fits)
         if not pairs.isEmpty():
             links, done = links.unionByName(verified(pairs)), done.unionByName(pairs)
             roots = rooted(links)
-            index = unsettled(index.drop("root"), roots, "index")
-        pairs = agreed(index.join(renamed(index), "key").where("node < node_2"))
+            index = unsettled(index.drop("root", "n"), roots, "index")
+        last_first = Window.partitionBy("pivot", "node", "adds").orderBy(F.desc("n"), F.desc("key"))
+        index = index.withColumn("left", F.row_number().over(last_first))
+        index = store.store(index.where("left > CASE WHEN adds THEN size ELSE whole END - own - most"), "first")
+        pairs = agreed(index.join(renamed(index, "left"), "key").where("node < node_2"), fits_first)
         if not pairs.isEmpty():
             links = links.unionByName(verified(pairs))
             roots = rooted(links)
