@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from mercantile.llm import sketch
 from mercantile.llm.components import connected_components
 from mercantile.llm.tables import scratch
-from mercantile.llm.textkit import LETTERS_AND_DIGITS, find_words, hash_runs, hash_spans, lowered, mix, run_starts, signed, slices
+from mercantile.llm.textkit import LETTERS_AND_DIGITS, SLICE_BYTES, find_words, hash_runs, hash_spans, lowered, mix, run_starts, signed, slices, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -175,6 +175,16 @@ def _counts(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return row[first], shingle[first], np.add.reduceat(one, first), np.add.reduceat(two, first)
 
 
+def _parts(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch (., ., text, text) whose texts have about ``most`` bytes."""
+    at = np.r_[0, np.cumsum(sum(np.diff(utf8(c)[1]) for c in batch.columns[2:4]))]
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of each row."""
     row, _, one, two = _counts(left, right)
@@ -196,8 +206,7 @@ def _differences(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in _parts(batch):
                 row, shingle, one, two = _counts(part.column(2), part.column(3))
                 both = np.minimum(one, two)
                 whole, size, own = (np.bincount(row, x, part.num_rows).astype(np.int64) for x in (one, two, both))
@@ -221,8 +230,7 @@ def _differences(least: float):
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                part = batch.slice(a, 2_000)
+            for part in _parts(batch):
                 # Shares of whole numbers: 4 of 5 is 0.8, without an error of rounding.
                 near = similarity(part.column(2), part.column(3)) >= least - 1e-12
                 yield part.select(["a", "b"]).filter(pa.array(near))
