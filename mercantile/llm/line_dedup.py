@@ -13,9 +13,13 @@ and line number, of the lines within one edit of each other stays, each other li
 4. The edit distance to that earliest line is verified on the texts.
 5. Texts are read once more. Only those that lose lines are shuffled to meet their line numbers.
 
-Defined results: NULL text has no lines, an empty text one empty line; lines end at line feeds. Lines of fewer than
-``LEAST_CHARS`` characters, blank ones included, always stay. Rows without doc_id lose no lines and remove none. Rows with equal
-doc_id are in the order of a hash of their texts, equal rows count once.
+Lines of fewer than ``least`` characters are compared exactly only: one edit is a large part of a short line ('No' and 'So').
+They take one key, the whole line, in the first sketch, and have no variants. Those of fewer than ``exact`` characters are not
+compared at all; with ``exact`` 1 every line is that has a character other than a blank.
+
+Defined results: NULL text has no lines, an empty text one empty line; lines end at line feeds. Lines of blanks (space, tab to
+carriage return) alone with fewer than ``least`` characters always stay. Rows without doc_id lose no lines and remove none.
+Rows with equal doc_id are in the order of a hash of their texts, equal rows count once.
 """
 
 from __future__ import annotations
@@ -70,20 +74,28 @@ def _halves(data: np.ndarray, start, end, first, size, chars) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _judged_lines(data: np.ndarray, at: np.ndarray, least: int):
+def _judged_lines(data: np.ndarray, at: np.ndarray, least: int, exact: int):
+    """The compared lines with their four keys: the halves, or four times the whole of a line of fewer than ``least`` characters."""
     start, end, owner, number, first, size, chars = _lines(data, at)
     own = size >= least
+    if exact < least:
+        filled = np.r_[0, np.cumsum((data != 32) & ((data < 9) | (data > 13)), dtype=np.int32)]
+        own |= (size >= exact) & (filled[end] > filled[start])
     start, end, owner, number, first, size = (x[own] for x in (start, end, owner, number, first, size))
-    return start, end, owner, number, _halves(data, start, end, first, size, chars), size
+    long = size >= least
+    keys = np.empty((len(size), 4), dtype=np.uint64)
+    keys[long] = _halves(data, start[long], end[long], first[long], size[long], chars)
+    keys[~long] = mix(hash_spans(data, start[~long], end[~long]), 3)[:, None]
+    return start, end, owner, number, keys, size
 
 
-def _sketched(least: int, bits: int):
+def _sketched(least: int, exact: int, bits: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for _, _, data, at in slices(batch.column(0)):
-                *_, halves, size = _judged_lines(data, at, least)
-                odd = size % 2 == 1
-                yield np.concatenate([halves[:, :2].ravel(), halves[~odd, 2:].ravel()])
+                *_, keys, size = _judged_lines(data, at, least, exact)
+                long, even = size >= least, size % 2 == 0
+                yield np.concatenate([keys[long, :2].ravel(), keys[long & even, 2:].ravel(), keys[~long, 0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sketch.cell_batches(hashes(batches), bits, 2)
@@ -99,7 +111,7 @@ _ASK = "h1 long, h2 long, doc_id long, ref long, number int, line string, known
 _ASK_NAMES = ["h1", "h2", "doc_id", "ref", "number", "line", "known"]
 
 
-def _asked(least: int, repeated):
+def _asked(least: int, exact: int, repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -125,8 +137,8 @@ def _asked(least: int, repeated):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for begin, stop, data, at in slices(batch.column(1)):
-                start, end, owner, number, halves, _ = _judged_lines(data, at, least)
-                kept = repeated.value.test(halves.ravel()).reshape(-1, 4).any(axis=1)
+                start, end, owner, number, keys, _ = _judged_lines(data, at, least, exact)
+                kept = repeated.value.test(keys.ravel()).reshape(-1, 4).any(axis=1)
                 if not kept.any():
                     continue
                 start, end, owner, number = (x[kept] for x in (start, end, owner, number))
@@ -204,20 +216,21 @@ def _variant_rows(shared):
     return run
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(ref, number) of every line that goes."""
+def removed_lines(docs: DataFrame, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
+    """(ref, number) of every line that goes: lines of ``least`` characters within one edit, of ``exact`` (``least``) if equal."""
+    exact = least if exact is None else exact
     spark = docs.sparkSession
     store = scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(size // 16)
-    halves = sketch.merge(docs.select("text").mapInArrow(_sketched(least, bits), sketch.CELL_SCHEMA), bits, 2, twice=True)
-    asked = docs.mapInArrow(_asked(least, spark.sparkContext.broadcast(halves)), _ASK)
+    halves = sketch.merge(docs.select("text").mapInArrow(_sketched(least, exact, bits), sketch.CELL_SCHEMA), bits, 2, twice=True)
+    asked = docs.mapInArrow(_asked(least, exact, spark.sparkContext.broadcast(halves)), _ASK)
     order = ["h1", "h2", "known", "doc_id", "ref", "number"]
     answered = asked.repartition("h1", "h2").sortWithinPartitions(*order).mapInArrow(_answered, _ASK)
     answered = store.store(answered, "lines")
 
-    lines = answered.where("NOT known")
+    lines = answered.where(~F.col("known") & (F.length("line") >= least))
     size = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0
     bits = sketch.bits_for(size // 2)
     shared = sketch.merge(lines.select("line").mapInArrow(_variant_cells(bits), sketch.CELL_SCHEMA), bits, 2, twice=True)
@@ -283,11 +296,11 @@ def _cut(with_text: bool):
     return run
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, with_text: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, with_text: bool = False, exact: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds) of every row; on demand kept_text."""
     spark = docs.sparkSession
     store = scratch(spark)
-    gone = store.store(removed_lines(docs, least).groupBy("ref").agg(F.collect_list("number").alias("numbers")), "gone")
+    gone = store.store(removed_lines(docs, least, exact).groupBy("ref").agg(F.collect_list("number").alias("numbers")), "gone")
     hit = sketch.members(gone, "ref", sketch.bits_for(gone.count() * 2))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = chosen.mapInArrow(_finished(spark.sparkContext.broadcast(hit), with_text), "doc_id long, ref long, text string, n_lines long, kept_sha256 string")

@@ -49,7 +49,7 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return line_dedup.dedup_lines(table(spark, folder, "documents"), exact=1)
 
 
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
