@@ -331,10 +331,17 @@ def _model_inputs() -> dict[str, Callable[[Warehouse], DataFrame]]:
 
 
 def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    key = "customer_unique_id"
+
     def churn_scores(w: Warehouse) -> DataFrame:
-        model, _ = churn_model.train(w.churn_features, w.scratch, exclude_time=True)
-        filled = features.prepare_churn(w.churn_raw, model.features, w.scratch)
-        return model.score(filled).select("customer_unique_id", "prediction", "churn_probability", "risk_level")
+        return w.model_probability.select(key, "prediction", "churn_probability", "risk_level")
+
+    def likeliest(band: str | None = None, limit: int = 100) -> Callable[[Warehouse], DataFrame]:
+        return lambda w: scoring.riskiest(w.model_probability, limit, band)
+
+    def hand_off(w: Warehouse) -> DataFrame:
+        scored = w.model_probability.select(key, "churn_probability")
+        return scoring.high_risk_list(scored.join(w.rfm.select(key, "rfm_segment"), key, "left"))
 
     def importances(w: Warehouse) -> DataFrame:
         model, _ = churn_model.train(w.churn_features, w.scratch, exclude_time=True)
@@ -356,6 +363,15 @@ def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
         )[1],
         "ml_importance": importances,
         "ml_churn_score": churn_scores,
+        "ml_churn_predictions": likeliest(),
+        "ml_churn_predictions_high": likeliest("high"),
+        "ml_churn_predictions_medium": likeliest("medium"),
+        "ml_churn_predictions_low": likeliest("low"),
+        "ml_churn_riskiest": likeliest(limit=5),
+        "ml_churn_risk_split": lambda w: scoring.churn_risk_split(w.model_probability),
+        "ml_risk_band_totals": lambda w: scoring.risk_band_totals(w.model_probability),
+        "ml_high_risk_list": hand_off,
+        "ml_customer_detail": lambda w: scoring.customer_detail(w.rfm, w.tables.customers, w.model_probability),
         "ml_cv": lambda w: churn_model.cross_validate(w.churn_features, w.scratch, exclude_time=True),
         "ml_ablation": lambda w: churn_model.ablation(w.churn_features, w.scratch),
         "ml_forecast": lambda w: forecast_model.train(w.monthly_by_category, w.scratch, ["category"])[1],

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercantile.ml import churn_model, features
 from mercantile.operators import churn, cohorts, customers, products, revenue, rfm, scoring
 from mercantile.sources.retail import RetailTables
 from mercantile.sources.scratch import Scratch
@@ -159,6 +160,13 @@ class Warehouse:
     def churn_features(self) -> DataFrame:
         return self.scratch.store(churn.fill_features(self.churn_raw, self.scratch), "churn_features")
 
+    @cached_property
+    def model_probability(self) -> DataFrame:
+        """Every customer with the probability of the churn model without time features."""
+        model, _ = churn_model.train(self.churn_features, self.scratch, exclude_time=True)
+        filled = features.prepare_churn(self.churn_raw, model.features, self.scratch)
+        return self.scratch.store(model.score(filled), "model_probability")
+
     @cached_property
     def segment_probability(self) -> DataFrame:
         return scoring.segment_probability(self.rfm)
