@@ -169,16 +169,22 @@ def _scored(rows: list, queries: list, k: int) -> tuple[np.ndarray, np.ndarray,
     (gid, x), (query, q) = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (rows, queries))
     order = np.argsort(gid)
     gid, x = gid[order], x[order]
+    margin = 4 * x.shape[1] * np.finfo(np.float64).eps * np.sqrt((x**2).sum(axis=1).max())
     out = []
     for a in range(0, len(q), 512):
         scores = q[a : a + 512] @ x.T
-        # Sums of another order differ in the last places, so some more are taken and summed alike everywhere.
-        near = np.argpartition(-scores, min(k + 8, len(x)) - 1, axis=1)[:, : k + 8] if len(x) > k + 8 else np.tile(np.arange(len(x)), (len(scores), 1))
-        near.sort(axis=1)
-        exact = (x[near] * q[a : a + 512, None, :]).sum(axis=2)
-        rank = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        near, exact = np.take_along_axis(near, rank, 1), np.take_along_axis(exact, rank, 1)
-        out.append((np.repeat(query[a : a + 512], near.shape[1]), gid[near].ravel(), exact.ravel()))
+        # Sums of another order differ in the last places, so all within a rounding of the k-th are summed alike everywhere.
+        # A comparison with NaN keeps, for sums that overflow.
+        near = np.ones(scores.shape, dtype=bool)
+        if len(x) > k:
+            least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+            near = ~(scores < (least - margin * np.sqrt((q[a : a + 512] ** 2).sum(axis=1)))[:, None])
+        row, place = np.nonzero(near)
+        exact = np.concatenate([(x[place[b : b + 50_000]] * q[a + row[b : b + 50_000]]).sum(axis=1) for b in range(0, len(row), 50_000)])
+        best = np.lexsort((place, -exact, row))
+        row, place, exact = row[best], place[best], exact[best]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((query[a + row[best]], gid[place[best]], exact[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 

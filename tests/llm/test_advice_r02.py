@@ -1,6 +1,8 @@
 """Cases that the review of round 2 found missing."""
 
-from mercantile.llm import queries
+import numpy as np
+
+from mercantile.llm import nearest, queries
 from tests.llm import brute
 
 
@@ -33,3 +35,19 @@ def test_short_lines(spark, tmp_path):
     assert sum(r[2] for r in expected) > sum(r[2] for r in brute.lines_removed([tuple(r) for r in docs.collect()])) + 200
     got = queries.op9_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_removed", "kept_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_nearest_ties(spark):
+    """Binary vectors, where many distinct ones tie at the cut: those with the smaller vec_id are taken."""
+    rng = np.random.default_rng(7)
+    x = rng.permutation(np.unique(rng.integers(0, 2, (600, 14)), axis=0))[:450].astype(float)
+    x[(x == 0).all(axis=1), 0] = 1
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(table, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    scores = x @ x.T
+    for q in range(0, len(x), 20):
+        ranked = sorted((-scores[q, k], k) for k in range(len(x)) if k != q)
+        assert sum(s == ranked[9][0] for s, _ in ranked) > 9
+        assert got[q] == [(k, -s) for s, k in ranked[:10]]
