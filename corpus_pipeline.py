@@ -11,6 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mercantile.llm import decontamination, mixing, near_dedup, quality, token_files
 from mercantile.llm.tables import scratch, table
@@ -23,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near-duplicates."""
+    """The first row of each class of near-duplicates."""
     return near_dedup.keep_first(docs)
 
 
@@ -33,11 +34,20 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. All documents weigh alike here: the bad ones are gone."""
-    sizes = mixing.word_counts(docs.select("doc_id", "source", "text"), "doc_id", "source").withColumn("weight", F.lit(1.0))
-    copies = mixing.mix(sizes).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    times = copies.select(F.col("doc_id").alias("of"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["of"])).select(*(docs[c] for c in docs.columns))
+    """Every row as often as the mix takes it. All documents weigh alike here: the bad ones are gone.
+
+    A row is known by a hash of doc_id, source and text, and equal rows by their number.
+    """
+    parts = [docs[c] for c in ("doc_id", "source", "text")]
+    row_key = F.xxhash64(*(c for part in parts for c in (part.isNull(), part)))
+    sizes = mixing.word_counts(docs.select("doc_id", "source", "text", row_key.alias("mix_row")), "doc_id", "source", "mix_row")
+    copies = mixing.mix(sizes.withColumn("weight", F.lit(1.0)), "mix_row")
+    equal = Window.partitionBy("mix_row").orderBy(F.desc("copies"))
+    copies = copies.select("mix_row", F.row_number().over(equal).alias("mix_nth"), "copies").where("copies > 0")
+    times = copies.select("mix_row", "mix_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_time"))
+    keyed = docs.select("*", row_key.alias("mix_row"))
+    keyed = keyed.select("*", F.row_number().over(Window.partitionBy("mix_row").orderBy("doc_id")).alias("mix_nth"))
+    return keyed.join(times, ["mix_row", "mix_nth"]).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,15 +65,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return shared.select("*", epochs.alias("epochs")).select("*", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(rows: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) from rows of (doc_id, source, size, weight)."""
+def mix(rows: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) from rows of (doc_id, source, size, weight); ``carried``
+    columns of the rows, under other names than the plan's, follow."""
     store = scratch(rows.sparkSession)
     valid = F.when((F.col("weight") > 0) & ~F.isnan("weight") & (F.col("weight") < float("inf")), F.col("weight"))
-    rows = store.store(rows.select("doc_id", "source", "size", valid.alias("weight")), "sizes")
+    rows = store.store(rows.select("doc_id", "source", "size", valid.alias("weight"), *carried), "sizes")
     facts = rows.agg(F.count("*").alias("n"), F.min("weight").alias("least")).first()
     least, n_buckets = facts["least"] or 1.0, int(np.clip(facts["n"] // _ROWS_PER_BUCKET, 1, _MOST_BUCKETS))
     key = -F.log(uniform(F.col("doc_id"))) / F.coalesce("weight", F.lit(least))
-    keyed = rows.select("doc_id", "source", "size", key.alias("key"))
+    keyed = rows.select("doc_id", "source", "size", key.alias("key"), *carried)
     # The exponential of a scaled key is spread over 0..1, most densely w / least times as dense as evenly.
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") * least)) * n_buckets), F.lit(n_buckets - 1).cast("long"))
     keyed = keyed.select("*", bucket.alias("bucket"))
@@ -88,14 +89,14 @@ def mix(rows: DataFrame) -> DataFrame:
     plan = plan.withColumnsRenamed({"source": "of", "bucket": "edge_bucket", "before": "edge_before"})
 
     met = keyed.join(plan, F.col("of").eqNullSafe(F.col("source")))
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", *carried]
     outside = met.where("edge_bucket IS NULL OR bucket <> edge_bucket").select(*columns, (F.col("edge_bucket").isNotNull() & (F.col("bucket") < F.col("edge_bucket"))).alias("more"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("edge_before")
     inside = met.where("bucket = edge_bucket").select(*columns, "rest", upto.alias("upto"))
     inside = inside.select(*columns, ((F.col("upto") < F.col("rest")) & (2 * (F.col("rest") - F.col("upto")) >= F.col("size"))).alias("more"))
     copies = F.col("epochs") + F.col("more").cast("long")
-    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carried)
 
 
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:

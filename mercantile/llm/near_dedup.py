@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mercantile.llm import sketch
 from mercantile.llm.components import connected_components
@@ -260,6 +261,11 @@ def _wanted(found):
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs``."""
+    return _classes(docs, least).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, ref, class_id, first_ref) of every row: its own ref, and that of the first row of its class."""
     spark = docs.sparkSession
     store = scratch(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -353,15 +359,39 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             links = links.unionByName(verified(pairs))
             roots = rooted(links)
 
-    placed = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "doc_id", "ref", F.coalesce("root", "node").alias("root"))
     placed = store.store(placed, "placed")
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    of_node = placed.select(F.col("node").alias("of"), "root").join(classes, "root").select("of", "class_id")
-    return rows.select("doc_id", "node").join(of_node, F.col("node") == F.col("of")).select("doc_id", "class_id")
+    classes = placed.groupBy("root").agg(lead).select("root", F.col("lead.doc_id").alias("class_id"), F.col("lead.ref").alias("first_ref"))
+    of_node = placed.select(F.col("node").alias("of"), "root").join(classes, "root").select("of", "class_id", "first_ref")
+    return rows.select("doc_id", "ref", "node").join(of_node, F.col("node") == F.col("of")).select("doc_id", "ref", "class_id", "first_ref")
+
+
+def _with_refs(docs: DataFrame, name: str) -> DataFrame:
+    """All columns and the row's ref, as ``_signed_rows`` makes it."""
+    ids, texts = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, parts = batch.column(ids), [np.zeros(0, np.uint64)]
+            for first, end, data, at in slices(batch.column(texts).cast(pa.string())):
+                parts.append(_refs(column.slice(first, end - first), data, at))
+            yield batch.append_column(name, pa.array(signed(np.concatenate(parts))))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Rows of ``docs``, all columns, whose doc_id is its class, or NULL. Repeated rows of a doc_id are one document."""
-    classes = near_duplicates(docs, least)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["of"], "left_anti")
+    """Of each class its first row, all columns: that of the smallest doc_id (NULL last), then by a hash of the text. Of rows
+    equal in doc_id and text one stays, unless the text is empty: those are near to nothing and all stay."""
+    classes = scratch(docs.sparkSession).store(_classes(docs, least).select("ref", "first_ref"), "classes")
+    gone = classes.where("ref <> first_ref").select(F.col("ref").alias("gone_ref")).distinct()
+    again = classes.where("ref = first_ref").groupBy(F.col("ref").alias("again_ref")).count().where("count > 1").select("again_ref")
+    own = "row_ref"
+    while own in docs.columns:
+        own += "_"
+    kept = _with_refs(docs, own)
+    kept = kept.join(gone, F.col(own) == F.col("gone_ref"), "left_anti")
+    if not again.isEmpty():
+        met = (F.col(own) == F.col("again_ref")) & (F.octet_length(F.coalesce(kept["text"].cast("string"), F.lit(""))) > 0)
+        kept = kept.join(again, met, "left_anti").unionByName(kept.join(again, met, "left_semi").dropDuplicates([own]))
+    return kept.select(*docs.columns)

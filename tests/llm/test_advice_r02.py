@@ -1,8 +1,11 @@
 """Cases that the review of round 2 found missing."""
 
+from collections import Counter
+
 import numpy as np
 
-from mercantile.llm import nearest, queries
+import corpus_pipeline
+from mercantile.llm import mixing, near_dedup, nearest, queries
 from tests.llm import brute
 
 
@@ -51,3 +54,32 @@ def test_nearest_ties(spark):
         ranked = sorted((-scores[q, k], k) for k in range(len(x)) if k != q)
         assert sum(s == ranked[9][0] for s, _ in ranked) > 9
         assert got[q] == [(k, -s) for s, k in ranked[:10]]
+
+
+def test_copies_go_by_row(spark):
+    """Another text under a number that has a copy stays; of exact copies without a number one stays; empty texts all stay."""
+    rng = np.random.default_rng(9)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 500, 40))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, c), (None, a), (5, d), (5, d), (None, None), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row_ref int").repartition(3)
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (2, b), (None, c), (5, d), (None, None), (None, None), (7, "")])
+
+
+def test_mix_goes_by_row(spark):
+    """Rows without doc_id, and rows that share one, are taken as often as their own source and place in it say."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for source, n in (("a", 400), ("b", 30), ("c", 30), (None, 20)):
+        rows += [([None, 3, k][k % 3], source, " ".join(["w"] * int(rng.integers(1, 30)) + [f"{source}{k // 2}"])) for k in range(n)]
+    rows += [(None, "a", "one and the same")] * 25
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    taken = mixing.word_counts(corpus_pipeline.mixed(spark, docs, ""), "source").groupBy("source").sum("size").collect()
+    sizes = mixing.word_counts(docs, "doc_id", "source").selectExpr("*", "1.0D AS weight")
+    targets = {r["source"]: r["target"] for r in mixing.mix(sizes).select("source", "target").distinct().collect()}
+    assert len({r["copies"] for r in mixing.mix(sizes).collect()}) > 2
+    for r in taken:
+        assert abs(r["sum(size)"] - targets[r["source"]]) <= 31
+    assert {r["source"] for r in taken} == set(targets)
