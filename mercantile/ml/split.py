@@ -42,6 +42,6 @@ def stratified(
 
 
 def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Adds ``fold`` from a seeded hash of the key; classes spread evenly over the folds."""
+    """Adds ``fold`` from a seeded hash of the key. The class is not looked at, so a fold may lack a rare one."""
     digits = F.conv(F.substring(shuffled_key(key, seed), 1, 8), 16, 10).cast("long")
     return df.withColumn("fold", (digits % folds).cast("int"))
