@@ -4,8 +4,11 @@ A column's UTF-8 buffer is handled as one array of bytes, so no Python object is
 functions work on whole texts. Texts are handed over in slices of bounded size; a text longer than the
 slice is a slice of its own.
 
-Hashes are polynomial sums modulo 2**64 over random byte values, then mixed. They depend on nothing
-but the bytes, so they agree between tasks, executors and reruns.
+A hash of bytes joins two polynomial sums of random byte values, modulo the prime 2**31 - 1 and at independent random bases.
+Modulo a power of two such sums collide for some strings whatever the base is (Thue-Morse strings and their complements);
+modulo a prime only a few bases collide for any pair. ``key`` 1 gives a second pair of sums, independent of
+the first: both hashes together have 124 bits. Hashes depend on nothing but the bytes, so they agree between
+tasks, executors and reruns.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PRIME = (1 << 31) - 1
+_P, _31 = np.uint64(_PRIME), np.uint64(31)
+_RANDOM = np.random.Generator(np.random.PCG64(20240607))
 
 
 def _classes(word_bytes) -> np.ndarray:
@@ -71,7 +75,55 @@ class _Powers:
         return self.rows[0][:n], self.rows[1][:n]
 
 
-_BYTES, _WORDS = _Powers(_BASE), _Powers(np.uint64(0xD1342543DE82EF95))
+_WORDS = _Powers(np.uint64(0xD1342543DE82EF95))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x``, below 2**63, modulo the prime."""
+    x = (x & _P) + (x >> _31)
+    x = (x & _P) + (x >> _31)
+    return np.where(x >= _P, x - _P, x)
+
+
+class _Lane:
+    """One polynomial modulo the prime: random values of bytes, and powers of a random base and of its inverse."""
+
+    def __init__(self):
+        self.values = _RANDOM.integers(1, _PRIME, 256, dtype=np.uint64)
+        self.base = int(_RANDOM.integers(1 << 20, _PRIME - 1))
+        self.inverse = pow(self.base, -1, _PRIME)
+        self.kept = {self.base: np.ones(1, np.uint32), self.inverse: np.ones(1, np.uint32)}
+
+    def _upto(self, base: int, n: int) -> np.ndarray:
+        known = self.kept[base]
+        while len(known) < n:
+            more = _reduced(known.astype(np.uint64) * np.uint64(pow(base, len(known), _PRIME)))
+            known = np.r_[known, more.astype(np.uint32)]
+        if len(known) <= 1 << 22:  # longer ones are for single texts and not kept
+            self.kept[base] = known
+        return known[:n]
+
+    def upto(self, places: np.ndarray) -> np.ndarray:
+        """The base to the power of each place."""
+        return self._upto(self.base, int(places.max(initial=0)) + 1)[places]
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Sums of the terms before each byte, not reduced: terms are below 2**32, so sums of 2**31 of them are in order."""
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        terms = self.values[data]
+        terms *= self._upto(self.base, len(data))
+        high = terms >> _31
+        terms &= _P
+        terms += high
+        np.cumsum(terms, out=total[1:])
+        return total
+
+    def moved(self, sums: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Sums as they would be ``back`` bytes nearer to the start."""
+        return _reduced(_reduced(sums) * self._upto(self.inverse, int(back.max(initial=0)) + 1)[back])
+
+
+_LANES = [_Lane() for _ in range(4)]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,26 +186,53 @@ def find_words(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(ends) + 1, np.repeat(np.arange(n), np.diff(first)), first)
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, unmixed; equal bytes have equal hashes."""
-    up, down = _BYTES.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
-    return (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+class Hashes:
+    """64-bit hashes of any spans of ``data``; the sums over its bytes are taken once."""
+
+    def __init__(self, data: np.ndarray, key: int = 0):
+        self.lanes = [(lane, lane.sums(data)) for lane in _LANES[2 * key : 2 * key + 2]]
+
+    @staticmethod
+    def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return mix((first << _31) | second)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each span of bytes; equal bytes have equal hashes."""
+        return self._joined(*(lane.moved(total[end] - total[start], start) for lane, total in self.lanes))
+
+    def without(self, start: np.ndarray, cut: np.ndarray, rest: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash that ``spans`` gives the bytes from ``start`` to ``cut`` followed by those from ``rest`` to ``end``."""
+        out = []
+        for lane, total in self.lanes:
+            # What stands behind the left-out bytes moves forward by their number.
+            moved = lane.moved(total[end] - total[rest], rest - cut)
+            out.append(lane.moved(_reduced(total[cut] - total[start]) + moved, start))
+        return self._joined(*out)
+
+
+    def edited(self, start: np.ndarray, cut: np.ndarray, byte: int, rest: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash that ``spans`` gives the bytes from ``start`` to ``cut``, then ``byte``, then those from ``rest`` to ``end``."""
+        out = []
+        for lane, total in self.lanes:
+            own = lane.values[byte] * lane.upto(cut)
+            moved = _reduced(lane.moved(total[end] - total[rest], rest - cut) * np.uint64(lane.base))
+            out.append(lane.moved(_reduced(total[cut] - total[start]) + _reduced(own) + moved, start))
+        return self._joined(*out)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes have equal hashes."""
+    return Hashes(data, key).spans(start, end)
 
 
-def hash_without(data: np.ndarray, start: np.ndarray, cut: np.ndarray, rest: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_without(data: np.ndarray, start: np.ndarray, cut: np.ndarray, rest: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
     """The hash that ``hash_spans`` gives the bytes from ``start`` to ``cut`` followed by those from ``rest`` to ``end``."""
-    up, down = _BYTES.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
-    # What stands behind the left-out bytes moves forward by their number.
-    moved = (total[end] - total[rest]) * down[rest - cut]
-    return (total[cut] - total[start] + moved) * down[start] + (end - start - (rest - cut)).astype(np.uint64)
+    return Hashes(data, key).without(start, cut, rest, end)
 
 
 def hash_runs(words: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """A hash of each run of ``size`` consecutive word hashes, by the run's first word."""
+    """A hash of each run of ``size`` consecutive word hashes, by the run's first word. For short runs (windows): the sum is
+    modulo 2**64, which a special sequence of 1024 words or more would defeat."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
