@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mercantile.llm import decontamination, language, line_dedup, mixing, near_dedup, nearest, quality, substring_dedup, token_counts, token_files
+from mercantile.llm import bpe, decontamination, language, lexical, line_dedup, mixing, near_dedup, nearest, quality, spelling, substring_dedup, token_counts, token_files
 from mercantile.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,12 +58,27 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(segments)
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.decode_ids(bpe.encode_texts(table(spark, folder, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
 def all_queries() -> dict[str, Query]:
-    named = [op1_bag_minhash, op2_quality, op3_nearest, op4_token_counts, op5_substring_dedup, op6_mixing, op7_decontamination, op8_language, op9_line_dedup, op10_token_files, pipeline]
+    named = [op1_bag_minhash, op2_quality, op3_nearest, op4_token_counts, op5_substring_dedup, op6_mixing, op7_decontamination, op8_language, op9_line_dedup, op10_token_files]
+    named += [op11_bpe, op12_lexical_search, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -111,4 +127,4 @@ FROM texts t LEFT JOIN hit_words h ON h.doc_id = t.doc_id LEFT JOIN hit_items i
 
 def oracle_queries() -> dict[str, str]:
     """SQL where it can state the result: the other operators are models, signatures, tokenizers or approximate searches."""
-    return {"op5_substring_dedup": SUBSTRING_SQL, "op6_mixing": mixing.MIX_SQL, "op7_decontamination": DECONTAMINATION_SQL}
+    return {"op5_substring_dedup": SUBSTRING_SQL, "op6_mixing": mixing.MIX_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op12_lexical_search": lexical.SEARCH_SQL}
