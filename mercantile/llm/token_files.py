@@ -16,15 +16,17 @@ little-endian. Segments are rows of a Parquet table in the shared folder, so Spa
 task counts; (part, first) orders them, ``first`` being the ids of the part before the segment.
 
 Defined results: NULL text counts as empty and has the end id only. Rows with equal doc_id are in the order of their
-texts, rows without doc_id come first. An empty table makes no segment.
+texts, rows without doc_id come first; however many they are, rows of different first letters are dealt to several tasks.
+Very long texts are encoded whole. An empty table makes no segment; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercantile.llm.recall import Recent
+from mercantile.llm.parts import PartIds
 from mercantile.llm.tables import scratch
 
 MARK = b"PFR1"
@@ -41,9 +43,6 @@ BLOCK = 256
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
 END_ID = 2
-_HALF = 700_000
-#: Characters of the texts that are encoded together.
-_TOGETHER = 1 << 19
 _GROUP = 64
 
 
@@ -152,32 +151,25 @@ class Segment:
 class Encoder:
     """Ids of texts, equal to those of the tokenizer for the whole text.
 
-    The tokenizer cuts a text before encoding it, and always cuts before a blank that a character other than white space
-    follows. So parts of the text between such places are encoded on their own, and remembered. A text with other blanks next
-    to white space, or with the string of an added token, is encoded as a whole.
+    Texts are cut into parts that a byte-level tokenizer encodes on their own (see ``parts``), and the parts' ids are remembered.
+    A tokenizer of another kind encodes every text as a whole.
     """
 
-    def __init__(self, path: str, half: int = _HALF):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"^ ", r" \s", r" $", *map(regex.escape, added)]))
-        self.parts = Recent(None, half)
+        spec = json.loads(self.tokenizer.to_str())
+        cuts, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        plain = spec["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts["add_prefix_space"]
+        plain &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+        self.ids = PartIds(self._encode, [t["content"] for t in added], whole=not plain)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        self.parts.trim()
-        cut = [[t] if self.whole.search(t) else t.split(" ") for t in texts]
-        self.parts.fill(set().union(*(c[1:] for c in cut)), lambda parts: self._encode([" " + p for p in parts]))
-        heads = self._encode([c[0] for c in cut])
-        found = [head + b"".join(map(self.parts.__getitem__, c[1:])) for head, c in zip(heads, cut, strict=True)]
-        return [np.frombuffer(f, dtype="<u4") for f in found]
+    def _encode(self, parts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts, and each part's number of them."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -190,47 +182,42 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple]:
-    """(doc_id, ids) of every row."""
-    for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        sizes = np.cumsum([len(t) for t in texts]) // _TOGETHER
-        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
-            if len(part):
-                a, b = part[0], part[-1] + 1
-                yield from zip(keys[a:b], encoder.encode(texts[a:b]), strict=True)
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write the segments of all rows; the frame that reads them back: part, first, n_ids, segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        end, first = np.array([end_id], dtype="<u4"), 0
-        keys: list = []
-        counts: list[int] = []
-        held: list[np.ndarray] = []
-        size = 0
+        first, size = 0, 0
+        held: list[tuple[np.ndarray, ...]] = []
 
         def written() -> pa.RecordBatch:
-            raw = encode_segment(np.array([k or 0 for k in keys]), np.array([k is not None for k in keys]), np.array(counts), np.concatenate(held))
+            raw = encode_segment(*(np.concatenate(x) for x in zip(*held, strict=True)))
             columns = [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "first", "n_ids", "segment"])
 
-        for key, ids in _encoded(batches, encoder):
-            keys.append(key)
-            counts.append(len(ids) + 1)
-            held += [ids, end]
-            size += len(ids) + 1
-            if size >= SEGMENT_IDS:
-                yield written()
-                first += size
-                keys, counts, held, size = [], [], [], 0
-        if keys:
+        for batch in batches:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            for begin, end, ids, ends in encoder.ids.texts(batch.column(1)):
+                ids = np.insert(ids, ends[1:], end_id)
+                ends = ends + np.arange(len(ends))
+                a = 0
+                while a < end - begin:
+                    # Documents up to the one that fills the segment.
+                    b = min(end - begin, int(np.searchsorted(ends, ends[a] + SEGMENT_IDS - size)))
+                    own = slice(begin + a, begin + b)
+                    held.append((keys[own], known[own], np.diff(ends[a : b + 1]), ids[ends[a] : ends[b]]))
+                    size += int(ends[b] - ends[a])
+                    if size >= SEGMENT_IDS:
+                        yield written()
+                        first, size, held = first + size, 0, []
+                    a = b
+        if held:
             yield written()
 
+    # The first letters tell rows of one doc_id apart, and are in the order of the texts; whole texts would all be sampled by the driver.
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = chosen.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return scratch(docs.sparkSession).store(ordered.mapInArrow(run, "part int, first long, n_ids long, segment binary"), "tokens")
 
 
