@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -334,12 +335,9 @@ class Codec:
         longest = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if added else lambda text: [text]
         self.byte = {c: b for b, c in enumerate(byte_letters())}
-        vocabulary = {self._spelled(t): i for t, i in model["vocab"].items()}
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.pairs = PairEncoder(vocabulary, [(self._spelled(a), self._spelled(b)) for a, b in merges])
-        self.ids = PartIds(self._parts, list(self.added))
+        self.path, self.ids = path, PartIds(self._parts, list(self.added))
 
-        raw = {i: t for t, i in vocabulary.items()} | {i: t.encode() for t, i in self.added.items()}
+        raw = {i: self._spelled(t) for t, i in model["vocab"].items()} | {i: t.encode() for t, i in self.added.items()}
         spelled = [raw.get(i, b"") for i in range(max(raw) + 1)] + [b""]
         self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
         self.sizes = np.array([len(s) for s in spelled], dtype=np.int64)
@@ -348,6 +346,14 @@ class Codec:
     def _spelled(self, token: str) -> bytes:
         return bytes(self.byte[c] for c in token)
 
+    @cached_property
+    def pairs(self) -> PairEncoder:
+        """Made when something is encoded: a worker that decodes has no need of it."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        return PairEncoder({self._spelled(t): i for t, i in model["vocab"].items()}, [(self._spelled(a), self._spelled(b)) for a, b in merges])
+
     def _parts(self, parts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts, and each part's number of them."""
         words, owner, fixed = [], [], []
