@@ -10,7 +10,7 @@ and line number, of the lines within one edit of each other stays, each other li
 3. Of each distinct line all variants with one character left out are keyed by their hash. A second sketch drops keys that
    only one line has. Lines meet by equal keys: with the same character place, they differ in that character; with a line
    that is the variant itself, by one character more. So each line needs only the earliest of what it meets, no pairs.
-4. The edit distance to that earliest line is verified on the texts.
+4. That the earliest line is one edit apart is verified on the texts, from both ends, in time linear in their lengths.
 5. Texts are read once more. Only those that lose lines are shuffled to meet their line numbers.
 
 Lines of fewer than ``least`` characters are compared exactly only: one edit is a large part of a short line ('No' and 'So').
@@ -19,7 +19,8 @@ compared at all; with ``exact`` 1 every line is that has a character other than
 
 Defined results: NULL text has no lines, an empty text one empty line; lines end at line feeds. Lines of blanks (space, tab to
 carriage return) alone with fewer than ``least`` characters always stay. Rows without doc_id lose no lines and remove none.
-Rows with equal doc_id are in the order of a hash of their texts, equal rows count once.
+Rows with equal doc_id are in the order of a hash of their texts, equal rows count once. Very long lines are compared whole; an empty
+table gives no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mercantile.llm import sketch
+from mercantile.llm.edits import one_edit_apart
 from mercantile.llm.tables import scratch
-from mercantile.llm.textkit import hash_spans, hash_without, mix, signed, slices
+from mercantile.llm.textkit import Hashes, hash_spans, mix, signed, slices
 
 LEAST_CHARS = 16
 _ASKED = 150_000
@@ -61,14 +63,14 @@ def _lines(data: np.ndarray, at: np.ndarray):
     return start, end, owner, number, first, np.searchsorted(chars, end) - first, chars
 
 
-def _halves(data: np.ndarray, start, end, first, size, chars) -> np.ndarray:
+def _halves(data: np.ndarray, sums: Hashes, start, end, first, size, chars) -> np.ndarray:
     """Keys of the first and last halves, for the halves of a line and of one with a character less; a row per line."""
     out = []
     bound = np.r_[chars, len(data)]
     for h in (size // 2, (size - 1) // 2):
         tag = h.astype(np.uint64) * _PLACE
-        out.append(mix(hash_spans(data, start, bound[first + h]) + tag, 1))
-        out.append(mix(hash_spans(data, bound[first + size - h], end) + tag, 2))
+        out.append(mix(sums.spans(start, bound[first + h]) + tag, 1))
+        out.append(mix(sums.spans(bound[first + size - h], end) + tag, 2))
     out[2][(size // 2) == ((size - 1) // 2)] = out[0][(size // 2) == ((size - 1) // 2)]
     out[3][(size // 2) == ((size - 1) // 2)] = out[1][(size // 2) == ((size - 1) // 2)]
     return np.stack(out, axis=1)
@@ -82,11 +84,11 @@ def _judged_lines(data: np.ndarray, at: np.ndarray, least: int, exact: int):
         filled = np.r_[0, np.cumsum((data != 32) & ((data < 9) | (data > 13)), dtype=np.int32)]
         own |= (size >= exact) & (filled[end] > filled[start])
     start, end, owner, number, first, size = (x[own] for x in (start, end, owner, number, first, size))
-    long = size >= least
+    long, sums = size >= least, Hashes(data)
     keys = np.empty((len(size), 4), dtype=np.uint64)
-    keys[long] = _halves(data, start[long], end[long], first[long], size[long], chars)
-    keys[~long] = mix(hash_spans(data, start[~long], end[~long]), 3)[:, None]
-    return start, end, owner, number, keys, size
+    keys[long] = _halves(data, sums, start[long], end[long], first[long], size[long], chars)
+    keys[~long] = mix(sums.spans(start[~long], end[~long]), 3)[:, None]
+    return start, end, owner, number, sums, keys, size
 
 
 def _sketched(least: int, exact: int, bits: int):
@@ -103,8 +105,9 @@ def _sketched(least: int, exact: int, bits: int):
     return run
 
 
-def _refs(ids: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return signed(mix(hash_spans(data, at[:-1], at[1:]) ^ mix(ids.view(np.uint64), 77)))
+def _refs(ids: np.ndarray, sums: Hashes, at: np.ndarray) -> np.ndarray:
+    """What tells rows of one doc_id apart: a hash of the whole text. Rows are joined on doc_id and this."""
+    return signed(mix(sums.spans(at[:-1], at[1:]) ^ mix(ids.view(np.uint64), 77)))
 
 
 _ASK = "h1 long, h2 long, doc_id long, ref long, number int, line string, known boolean"
@@ -137,15 +140,14 @@ def _asked(least: int, exact: int, repeated):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for begin, stop, data, at in slices(batch.column(1)):
-                start, end, owner, number, keys, _ = _judged_lines(data, at, least, exact)
+                start, end, owner, number, sums, keys, _ = _judged_lines(data, at, least, exact)
                 kept = repeated.value.test(keys.ravel()).reshape(-1, 4).any(axis=1)
                 if not kept.any():
                     continue
                 start, end, owner, number = (x[kept] for x in (start, end, owner, number))
-                whole = hash_spans(data, start, end)
-                second = hash_spans(data[::-1].copy(), len(data) - end, len(data) - start)
+                whole, second = sums.spans(start, end), hash_spans(data, start, end, 1)
                 texts = [data[a:b].tobytes().decode() for a, b in zip(start, end, strict=True)]
-                refs = _refs(ids[begin:stop], data, at)
+                refs = _refs(ids[begin:stop], sums, at)
                 held.append((signed(mix(whole, 5)), signed(mix(second, 6)), ids[begin:stop][owner], refs[owner], number, texts))
                 size += len(texts)
                 if size >= _ASKED:
@@ -184,8 +186,8 @@ def _variant_keys(lines: pa.Array, once: bool) -> Iterator[tuple[np.ndarray, np.
         begin, stop = at[line], at[line + 1]
         follows = np.minimum(np.r_[chars[1:], len(data)], stop)
         width = follows - chars
-        key = mix(hash_without(data, begin, chars, follows, stop), 9)
-        own = mix(hash_spans(data, at[:-1], at[1:]), 9)
+        sums = Hashes(data)
+        key, own = mix(sums.without(begin, chars, follows, stop), 9), mix(sums.spans(at[:-1], at[1:]), 9)
         place = np.arange(len(chars)) - np.searchsorted(line, line)
         fresh = np.ones(len(key), dtype=bool)
         if once:
@@ -216,8 +218,14 @@ def _variant_rows(shared):
     return run
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.select(["doc_id", "ref", "number"]).filter(pa.array(one_edit_apart(batch.column(3), batch.column(4))))
+
+
 def removed_lines(docs: DataFrame, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
-    """(ref, number) of every line that goes: lines of ``least`` characters within one edit, of ``exact`` (``least``) if equal."""
+    """(doc_id, ref, number) of every line that goes: lines of ``least`` characters within one edit, of ``exact`` (``least``) if equal."""
     exact = least if exact is None else exact
     spark = docs.sparkSession
     store = scratch(spark)
@@ -244,9 +252,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST_CHARS, exact: int | None =
     pairs = rows.select("h1", "h2", at.alias("at"), earlier.alias("earlier")).where("earlier < at")
     pairs = pairs.select("h1", "h2", F.col("earlier.h1").alias("e1"), F.col("earlier.h2").alias("e2")).distinct()
     texts = lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other"))
-    met = pairs.join(texts, ["e1", "e2"]).join(lines.select("h1", "h2", "ref", "number", "line"), ["h1", "h2"])
-    near = met.where((F.levenshtein("line", "other", 1) >= 0) & (F.col("line") != F.col("other"))).select("ref", "number")
-    return answered.where("known").select("ref", "number").unionByName(near).distinct()
+    met = pairs.join(texts, ["e1", "e2"]).join(lines.select("h1", "h2", "doc_id", "ref", "number", "line"), ["h1", "h2"])
+    near = met.select("doc_id", "ref", "number", "line", "other").mapInArrow(_verified, "doc_id long, ref long, number int")
+    return answered.where("known").select("doc_id", "ref", "number").unionByName(near).distinct()
 
 
 def _digest(parts: list[bytes]) -> str:
@@ -262,7 +270,7 @@ def _finished(hit, with_text: bool):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             for first, end, data, at in slices(batch.column(1)):
-                refs = _refs(ids[first:end], data, at)
+                refs = _refs(ids[first:end], Hashes(data), at)
                 may = valid[first:end] & ((known[first:end] & hit.value.test(mix(refs.view(np.uint64)))) | with_text)
                 texts, counts, digests = [], [], []
                 for row in range(end - first):
@@ -300,9 +308,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, with_text: bool = Fal
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds) of every row; on demand kept_text."""
     spark = docs.sparkSession
     store = scratch(spark)
-    gone = store.store(removed_lines(docs, least, exact).groupBy("ref").agg(F.collect_list("number").alias("numbers")), "gone")
+    gone = store.store(removed_lines(docs, least, exact).groupBy("doc_id", "ref").agg(F.collect_list("number").alias("numbers")), "gone")
     hit = sketch.members(gone, "ref", sketch.bits_for(gone.count() * 2))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = chosen.mapInArrow(_finished(spark.sparkContext.broadcast(hit), with_text), "doc_id long, ref long, text string, n_lines long, kept_sha256 string")
-    met = rows.join(gone, "ref", "left").select("doc_id", "text", "n_lines", "kept_sha256", "numbers")
+    met = rows.join(gone, ["doc_id", "ref"], "left").select("doc_id", "text", "n_lines", "kept_sha256", "numbers")
     return met.mapInArrow(_cut(with_text), "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -11,7 +11,8 @@
 
 Defined results: NULL or empty text has no words; a text of fewer than ``window`` words loses none. Rows with
 equal doc_id are judged each by its own text, and neither removes words of the other. A row without doc_id
-loses nothing and removes nothing. Repeats within one document stay.
+loses nothing and removes nothing. Repeats within one document stay. Very long texts are judged whole; an empty table gives no rows;
+columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -26,33 +27,32 @@ from pyspark.sql import functions as F
 
 from mercantile.llm import sketch
 from mercantile.llm.tables import scratch
-from mercantile.llm.textkit import BLANK_SEPARATED, find_words, hash_runs, hash_spans, mix, run_starts, signed, slices
+from mercantile.llm.textkit import BLANK_SEPARATED, Hashes, find_words, hash_runs, mix, run_starts, signed, slices
 
 WINDOW = 13
 _ASKED = 1_000_000
 #: ``rest``: 32 more bits of the window's hash, 31 bits of the place and whether the answer is known. Narrow rows, as there are many.
 _ASK = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("ref", pa.int64())])
-_REMOVED = pa.schema([("ref", pa.int64()), ("place", pa.int32())])
+_REMOVED = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("place", pa.int32())])
 _JUDGED = pa.schema([("doc_id", pa.int64()), ("ref", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def _windows(data: np.ndarray, at: np.ndarray, window: int):
     words = find_words(data, at, BLANK_SEPARATED)
-    hashes = hash_spans(data, words.start, words.end)
-    starts = run_starts(words, window)
-    return words, hashes, starts
+    sums = Hashes(data)
+    return words, sums.spans(words.start, words.end), run_starts(words, window), sums
 
 
-def _refs(ids: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row's own key: its doc_id and its whole text."""
-    return signed(mix(hash_spans(data, at[:-1], at[1:]) ^ mix(ids.view(np.uint64), 77)))
+def _refs(ids: np.ndarray, sums: Hashes, at: np.ndarray) -> np.ndarray:
+    """What tells rows of one doc_id apart: a hash of the whole text. Rows are joined on doc_id and this."""
+    return signed(mix(sums.spans(at[:-1], at[1:]) ^ mix(ids.view(np.uint64), 77)))
 
 
 def _sketched(window: int, bits: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for _, _, data, at in slices(batch.column(0)):
-                _, found, starts = _windows(data, at, window)
+                _, found, starts, _ = _windows(data, at, window)
                 yield hash_runs(found, window, 1)[starts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def _asked(window: int, repeated):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, end, data, at in slices(batch.column(1)):
-                words, hashes, starts = _windows(data, at, window)
+                words, hashes, starts, sums = _windows(data, at, window)
                 h1 = hash_runs(hashes, window, 1)[starts]
                 kept = repeated.value.test(h1)
                 if not kept.any():
@@ -93,7 +93,7 @@ def _asked(window: int, repeated):
                 starts, h1 = starts[kept], h1[kept]
                 h2 = (hash_runs(hashes, window, 2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 text = words.text[starts]
-                refs = _refs(ids[first:end], data, at)
+                refs = _refs(ids[first:end], sums, at)
                 held.append((signed(h1), h2, ids[first:end][text], refs[text], (starts - words.first[text]).astype(np.int32)))
                 size += len(h1)
                 if size >= _ASKED:
@@ -124,7 +124,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = known | (doc > least[group])
         last = ((h1[-1], h2[-1], known[-1]), least[-1])
         if gone.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ref[gone]), pa.array(place[gone])], schema=_REMOVED)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(ref[gone]), pa.array(place[gone])], schema=_REMOVED)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -139,7 +139,7 @@ def _judged(hit, with_text: bool):
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, end, data, at in slices(batch.column(1)):
-                refs = _refs(ids[first:end], data, at)
+                refs = _refs(ids[first:end], Hashes(data), at)
                 may = known[first:end] & hit.value.test(mix(refs.view(np.uint64)))
                 if with_text:
                     may |= batch.column(1).slice(first, end - first).is_valid().to_numpy(zero_copy_only=False)
@@ -185,7 +185,7 @@ def _finished(window: int, with_text: bool):
 
 
 def removed_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(ref, place): the first word of each window that a document with a smaller doc_id has too."""
+    """(doc_id, ref, place): the first word of each window that a document with a smaller doc_id has too."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -193,7 +193,7 @@ def removed_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = sketch.merge(docs.select("text").mapInArrow(_sketched(window, bits), sketch.CELL_SCHEMA), bits, 2, twice=True)
     asked = docs.mapInArrow(_asked(window, spark.sparkContext.broadcast(repeated)), "h1 long, rest long, doc_id long, ref long")
     by_window = ["h1", F.shiftright("rest", 32), F.col("rest").bitwiseAND(1), "doc_id"]
-    return asked.repartition("h1").sortWithinPartitions(*by_window).mapInArrow(_answered, "ref long, place int")
+    return asked.repartition("h1").sortWithinPartitions(*by_window).mapInArrow(_answered, "doc_id long, ref long, place int")
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -202,12 +202,12 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, with_text: bool = False
     kept_text is the unchanged text where nothing was removed, and the kept words joined by one space otherwise.
     """
     spark = docs.sparkSession
-    places = removed_places(docs, window).groupBy("ref").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    places = removed_places(docs, window).groupBy("doc_id", "ref").agg(F.sort_array(F.collect_list("place")).alias("places"))
     places = scratch(spark).store(places, "places")
     hit = sketch.members(places, "ref", sketch.bits_for(places.count() * 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _judged(spark.sparkContext.broadcast(hit), with_text), "doc_id long, ref long, text string, n_words long, kept_sha256 string"
     )
-    met = rows.join(places, "ref", "left").select("doc_id", "text", "n_words", "kept_sha256", "places")
+    met = rows.join(places, ["doc_id", "ref"], "left").select("doc_id", "text", "n_words", "kept_sha256", "places")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return met.mapInArrow(_finished(window, with_text), schema)
