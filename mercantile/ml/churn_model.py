@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from mercantile.functions.expressions import risk_level
 from mercantile.ml import metrics, split
 from mercantile.ml.features import churn_feature_names, prepare_churn
-from mercantile.ml.parallel import spread
+from mercantile.ml.importances import feature_importances
+from mercantile.ml.parallel import FIT_PARTITIONS, spread
+from mercantile.ml.store import ModelStore
 from mercantile.sources.scratch import Scratch
 
 LABEL = "churn_label"
@@ -44,13 +46,7 @@ class ChurnModel:
 
     def importances(self, df: DataFrame) -> DataFrame:
         """Importance per feature, largest first."""
-        values = [0.0] * len(self.features)
-        if self.pipeline is not None:
-            values = self.pipeline.stages[-1].featureImportances.toArray().tolist()
-        rows = list(zip(self.features, values))
-        return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
-            F.desc("importance"), "feature"
-        )
+        return feature_importances(df.sparkSession, self.pipeline, self.features)
 
 
 def balanced(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -66,13 +62,15 @@ def fit(
     trees: int = 100,
     depth: int = 10,
     seed: int = 42,
+    partitions: int = FIT_PARTITIONS,
+    store: ModelStore | None = None,
 ) -> ChurnModel:
-    """Random forest over the assembled features. Trees need no scaling."""
+    """Random forest over the assembled features; a stored one if ``store`` knows it. Trees need no scaling."""
     classes = [r[0] for r in train.select(LABEL).distinct().limit(2).collect()]
     if len(classes) < 2:
         return ChurnModel(list(features), None, float(classes[0]) if classes else 0.0)
-    train = spread(train, KEY)
-    rows = balanced(train) if handle_imbalance else train.withColumn("class_weight", F.lit(1.0))
+    dealt = spread(train, KEY, partitions=partitions)
+    rows = balanced(dealt) if handle_imbalance else dealt.withColumn("class_weight", F.lit(1.0))
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol=LABEL,
@@ -83,8 +81,11 @@ def fit(
         maxMemoryInMB=512,
         seed=seed,
     )
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return ChurnModel(list(features), Pipeline(stages=[assembler, forest]).fit(rows))
+    stages = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest])
+    if store is None:
+        return ChurnModel(list(features), stages.fit(rows))
+    settings = {"imbalance": handle_imbalance, "trees": trees, "depth": depth, "seed": seed, "partitions": partitions}
+    return ChurnModel(list(features), store.fitted("churn", train, [KEY, LABEL, *features], settings, lambda: stages.fit(rows)))
 
 
 def prepared_split(
@@ -104,6 +105,22 @@ def prepared_split(
     return scratch.store(marked, "churn_split"), features
 
 
+def fitted(
+    customers: DataFrame,
+    scratch: Scratch,
+    exclude_time: bool = False,
+    use_time_split: bool = False,
+    handle_imbalance: bool = True,
+    test_share: float = 0.2,
+    trees: int = 100,
+    partitions: int = FIT_PARTITIONS,
+    store: ModelStore | None = None,
+) -> tuple[ChurnModel, DataFrame]:
+    """The model of the train part, and the customers with their part. Nothing is evaluated."""
+    marked, features = prepared_split(customers, scratch, exclude_time, use_time_split, test_share)
+    return fit(marked.where("split = 'train'"), features, handle_imbalance, trees, partitions=partitions, store=store), marked
+
+
 def train(
     customers: DataFrame,
     scratch: Scratch,
@@ -112,10 +129,11 @@ def train(
     handle_imbalance: bool = True,
     test_share: float = 0.2,
     trees: int = 100,
+    partitions: int = FIT_PARTITIONS,
+    store: ModelStore | None = None,
 ) -> tuple[ChurnModel, DataFrame]:
     """Fit on the train part; the second result holds (metric, value) rows for the test part."""
-    marked, features = prepared_split(customers, scratch, exclude_time, use_time_split, test_share)
-    model = fit(marked.where("split = 'train'"), features, handle_imbalance, trees)
+    model, marked = fitted(customers, scratch, exclude_time, use_time_split, handle_imbalance, test_share, trees, partitions, store)
     tested = scratch.store(model.score(marked.where("split = 'test'")), "churn_tested")
     sizes = marked.agg(
         F.count_if(F.col("split") == "train").alias("train_samples"),
@@ -130,16 +148,22 @@ def train(
 
 
 def cross_validate(
-    customers: DataFrame, scratch: Scratch, folds: int = 5, exclude_time: bool = False, trees: int = 100
+    customers: DataFrame,
+    scratch: Scratch,
+    folds: int = 5,
+    exclude_time: bool = False,
+    trees: int = 100,
+    partitions: int = FIT_PARTITIONS,
+    store: ModelStore | None = None,
 ) -> DataFrame:
-    """F1 per fold with its mean and population deviation."""
+    """F1 per fold, folds stratified by class, with its mean and population deviation."""
     features = churn_feature_names(customers.columns, exclude_time)
-    filled = split.with_fold(prepare_churn(customers, features, scratch), KEY, folds)
+    filled = split.stratified_folds(prepare_churn(customers, features, scratch), KEY, LABEL, scratch, folds)
     stored = scratch.store(filled, "churn_folds")
     scores = None
     for fold in range(folds):
         held_out = F.col("fold") == fold
-        model = fit(stored.where(~held_out), features, trees=trees)
+        model = fit(stored.where(~held_out), features, trees=trees, partitions=partitions, store=store)
         score = metrics.binary_metrics(model.score(stored.where(held_out))).select(
             F.lit(fold).alias("fold"), "f1_score"
         )
@@ -149,10 +173,17 @@ def cross_validate(
     return scores.crossJoin(F.broadcast(overall))
 
 
-def ablation(customers: DataFrame, scratch: Scratch, use_time_split: bool = False, trees: int = 100) -> DataFrame:
+def ablation(
+    customers: DataFrame,
+    scratch: Scratch,
+    use_time_split: bool = False,
+    trees: int = 100,
+    partitions: int = FIT_PARTITIONS,
+    store: ModelStore | None = None,
+) -> DataFrame:
     """Metrics of the full model beside those of the model without time features."""
     parts = []
     for name, exclude in (("full", False), ("without_time", True)):
-        _, rows = train(customers, scratch, exclude, use_time_split, trees=trees)
+        _, rows = train(customers, scratch, exclude, use_time_split, trees=trees, partitions=partitions, store=store)
         parts.append(rows.select(F.lit(name).alias("model"), "metric", "value"))
     return parts[0].unionByName(parts[1])

@@ -40,9 +40,10 @@ def clv_feature_names(columns: Sequence[str]) -> list[str]:
 
 
 def impute_median(df: DataFrame, features: Sequence[str], scratch: Scratch) -> DataFrame:
-    """NULL features become the exact median of their column. Pass a stored ``df``: it is read twice."""
-    medians = quantile_values(df, {f: (f, 0.5) for f in features}, scratch)
-    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in features})
+    """NULL features become the exact median of their column. Pass a stored ``df``: columns with NULLs are read again."""
+    holes = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    medians = quantile_values(df, {f: (f, 0.5) for f in features if holes[f]}, scratch)
+    return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(medians.get(f))) for f in features})
 
 
 def prepare_churn(df: DataFrame, features: Sequence[str], scratch: Scratch, label: str = "churn_label") -> DataFrame:

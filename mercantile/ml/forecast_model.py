@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercantile.ml import metrics
-from mercantile.ml.parallel import spread
+from mercantile.ml.importances import feature_importances
+from mercantile.ml.parallel import FIT_PARTITIONS, spread
+from mercantile.ml.store import ModelStore
 from mercantile.operators.revenue import rolling, rolling_mean
 from mercantile.sources.scratch import Scratch
 
@@ -58,6 +60,10 @@ class ForecastModel:
     last: DataFrame
     series: tuple[str, ...]
 
+    def importances(self, df: DataFrame) -> DataFrame:
+        """Importance per feature, largest first."""
+        return feature_importances(df.sparkSession, self.pipeline, FEATURES)
+
     def forecast(self, months_ahead: int = 6) -> DataFrame:
         """Recursive forecast: each step scores all series once and feeds its result into the lags.
 
@@ -95,7 +101,13 @@ class ForecastModel:
 
 
 def train(
-    monthly: DataFrame, scratch: Scratch, series: Sequence[str] = (), test_share: float = 0.2, trees: int = 100
+    monthly: DataFrame,
+    scratch: Scratch,
+    series: Sequence[str] = (),
+    test_share: float = 0.2,
+    trees: int = 100,
+    partitions: int = FIT_PARTITIONS,
+    store: ModelStore | None = None,
 ) -> tuple[ForecastModel, DataFrame]:
     """Fit on the first part of every series; the second result holds metrics for the rest."""
     whole = Window.partitionBy(*series)
@@ -109,8 +121,14 @@ def train(
     forest = RandomForestRegressor(
         featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=10, seed=42, maxMemoryInMB=512
     )
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    pipeline = Pipeline(stages=[assembler, forest]).fit(spread(rows.where("NOT is_test"), *series, "month"))
+    stages = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest])
+    known = rows.where("NOT is_test")
+
+    def fit() -> PipelineModel:
+        return stages.fit(spread(known, *series, "month", partitions=partitions))
+
+    columns, settings = [*series, "month", *FEATURES, TARGET], {"trees": trees, "partitions": partitions}
+    pipeline = fit() if store is None else store.fitted("forecast", known, columns, settings, fit)
     quality = metrics.regression_metrics(pipeline.transform(rows.where("is_test")), TARGET, "prediction")
     last = (
         rows.where(F.col("trend") == F.col("months") - 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 #: Partitions of the rows of a fit. Trees are bagged per partition, so a fit depends on this number and on nothing else:
 #: not on the files that hold the rows, on their number or on the cluster's cores. More rows make larger partitions; a
-#: cluster with more cores than this needs a larger number, and then gets another, equally good model.
+#: cluster with more cores than this passes a larger number as ``partitions``, and then gets another, equally good model.
 FIT_PARTITIONS = 16
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercantile.operators.ordering import split_at_position
+from mercantile.operators.ordering import add_positions, split_at_position
 from mercantile.sources.scratch import Scratch
 
 
@@ -45,3 +45,12 @@ def with_fold(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFr
     """Adds ``fold`` from a seeded hash of the key. The class is not looked at, so a fold may lack a rare one."""
     digits = F.conv(F.substring(shuffled_key(key, seed), 1, 8), 16, 10).cast("long")
     return df.withColumn("fold", (digits % folds).cast("int"))
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, scratch: Scratch, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``fold``: rows of each class are dealt in turn, in the order of a seeded hash of the key.
+
+    So every fold has the same share of every class, but for one row.
+    """
+    placed = add_positions(df, shuffled_key(key, seed), key, scratch, within=label)
+    return placed.withColumn("fold", (F.col("position") % folds).cast("int")).drop("position")

@@ -110,6 +110,19 @@ def cohort_pivot_by_label(retention: DataFrame, label: int = 0, offsets: Sequenc
     return cohort_pivot(retention.where(F.col("churn_label") == label), offsets, since=None)
 
 
+def cohort_pivot_rows(retention: DataFrame, label: int = 0) -> DataFrame:
+    """The whole pivot of one label as rows: every cohort with every offset that any cohort reaches, NULL where it does not.
+
+    Its columns do not depend on the data. Pass a stored ``retention``: it is read three times.
+    """
+    own = retention.where(F.col("churn_label") == label).select("cohort_month", "month_offset", "retention_rate_pct")
+    # One row with an entry per month.
+    reached = own.agg(F.collect_set("month_offset").alias("offsets"))
+    grid = own.select("cohort_month").distinct().crossJoin(F.broadcast(reached))
+    cells = grid.select("cohort_month", F.explode("offsets").alias("month_offset"))
+    return cells.join(own, ["cohort_month", "month_offset"], "left").orderBy("cohort_month", "month_offset")
+
+
 def avg_retention_by_offset(retention: DataFrame, last_offset: int = 6) -> DataFrame:
     rate = F.col("retention_rate_pct").cast("decimal(9,2)")
     mean = F.sum(rate).cast("double") / row_count()

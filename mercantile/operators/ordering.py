@@ -12,7 +12,7 @@ one count per slot (there are as many as shuffle partitions) and one row per req
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -173,13 +173,87 @@ def split_at_position(
     return df.withColumn("split", F.when(later, names[1]).otherwise(names[0]))
 
 
+#: Buckets of one pass over the values of an interval.
+QUANTILE_BUCKETS = 1024
+_LARGEST = 1.7976931348623157e308
+
+
+def _bucket(value: Column, lo: float, hi: float, logarithmic: bool) -> Column:
+    """The bucket of a value from ``lo`` to ``hi``, in the order of the values: 0 for lo, the last but one for hi, -1 and the last for infinite ones.
+
+    Buckets are evenly wide, or ever wider on a logarithmic scale for values of very different sizes. All steps are
+    monotone also where they are rounded, so a bucket never holds a value that belongs before or behind another one's.
+    """
+    last = QUANTILE_BUCKETS - 1
+    low, high = (F.lit(max(-_LARGEST, min(_LARGEST, x))) for x in (lo, hi))
+    inner = F.greatest(low, F.least(high, value))
+    if math.isinf(hi - lo) or math.isinf(max(-_LARGEST, lo) * 2) or math.isinf(min(_LARGEST, hi) * 2):
+        # Differences could overflow: a logarithm on both sides of zero.
+        inner, low, high = (F.signum(x) * F.log1p(F.abs(x)) for x in (inner, low, high))
+        share = (inner - low) / (high - low)
+    elif logarithmic:
+        share = F.log1p(inner - low) / F.log1p(high - low)
+    else:
+        share = (inner - low) / (high - low)
+    place = F.least(F.lit(last).cast("long"), F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * QUANTILE_BUCKETS))
+    return F.when(value == float("-inf"), -1).when(value == float("inf"), last + 1).otherwise(place).cast("int")
+
+
+def values_at_ranks(df: DataFrame, columns: Mapping[str, Column], ranks: Callable[[str, int], Iterable[int]]) -> dict[str, dict[int, float]]:
+    """The values at 0-based ranks of numeric columns, exactly; ``ranks`` maps a column's name and its number of values to ranks.
+
+    By refinement: a pass counts the values by bucket, for all columns and wanted ranks at once, and goes on within the
+    bucket that holds the rank, from its smallest to its largest value, until these are equal: two or three passes for most
+    columns. Tasks send counts and bounds of at most ``QUANTILE_BUCKETS`` buckets an interval, never values. NULL and NaN are no values.
+    """
+    names = list(columns)
+    if not names:
+        return {}
+    values = {n: F.when(~F.isnan(columns[n].cast("double")), columns[n].cast("double")) for n in names}
+    rows = df.select(*[v.alias(f"v{k}") for k, v in enumerate(values.values())])
+    facts = rows.agg(
+        *[f(F.col(f"v{k}")).alias(f"{tag}{k}") for k in range(len(names)) for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
+    found: dict[str, dict[int, float]] = {n: {} for n in names}
+    # By column and rank: the interval that holds it, and how many values stand before the interval.
+    open_: dict[tuple[int, int], tuple[float, float, int]] = {}
+    for k, name in enumerate(names):
+        if facts[f"n{k}"]:
+            for rank in set(ranks(name, facts[f"n{k}"])):
+                open_[k, rank] = (facts[f"lo{k}"], facts[f"hi{k}"], 0)
+    logarithmic = False
+    while open_:
+        for (k, rank), (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[names[k]][rank] = lo
+                del open_[k, rank]
+        if not open_:
+            break
+        intervals = sorted({(k, lo, hi) for (k, _), (lo, hi, _) in open_.items()})
+        cells = [
+            F.when(F.col(f"v{k}").between(lo, hi), F.struct(F.lit(i).alias("i"), _bucket(F.col(f"v{k}"), lo, hi, logarithmic).alias("bucket"), F.col(f"v{k}").alias("v")))
+            for i, (k, lo, hi) in enumerate(intervals)
+        ]
+        held = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+        counted: dict[tuple[int, float, float], list[Row]] = {x: [] for x in intervals}
+        for r in held.groupBy("i", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            counted[intervals[r["i"]]].append(r)
+        for (k, rank), (lo, hi, before) in list(open_.items()):
+            for r in sorted(counted[k, lo, hi], key=lambda r: r["bucket"]):
+                if rank < before + r["n"]:
+                    open_[k, rank] = (r["lo"], r["hi"], before)
+                    break
+                before += r["n"]
+        logarithmic = not logarithmic
+    return found
+
+
 def quantile_values(
-    df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch
+    df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch | None = None
 ) -> dict[str, float | None]:
     """Exact, linearly interpolated quantiles by name: ``{name: (column, share)}``; None without values.
 
-    Values are folded to (value, count) first, so a value shared by very many rows is one row, and
-    the distinct values are spread over ranges instead of being merged in one task.
+    Pass a stored ``df``: it is read once for the bounds of all columns and once for each pass of the refinement.
     """
     columns: dict[str, Column] = {}
     requests: dict[str, list[tuple[str, float]]] = {}
@@ -187,27 +261,24 @@ def quantile_values(
         ordering = column if isinstance(column, str) else name
         columns[ordering] = F.col(column) if isinstance(column, str) else column
         requests.setdefault(ordering, []).append((name, share))
-    values = _stacked(df, columns, "double").groupBy("ordering", "key").agg(row_count().alias("weight"))
-    layout = range_layout(values, ["ordering", "key"], scratch, "quantiles")
+    totals: dict[str, int] = {}
 
-    def neighbours(ordering: str, total: int) -> dict[str, int]:
-        spots: dict[str, int] = {}
-        for name, share in requests[ordering]:
-            spot = (total - 1) * share
-            spots[f"{name}|lo"], spots[f"{name}|hi"] = math.floor(spot), math.ceil(spot)
-        return spots
+    def neighbours(ordering: str, total: int) -> list[int]:
+        totals[ordering] = total
+        spots = [(total - 1) * share for _, share in requests[ordering]]
+        return [place(spot) for spot in spots for place in (math.floor, math.ceil)]
 
-    found, totals = rows_at_positions(layout, ["key"], neighbours)
+    found = values_at_ranks(df, columns, neighbours)
     result: dict[str, float | None] = dict.fromkeys(wanted)
     for ordering, total in totals.items():
         for name, share in requests[ordering]:
-            lo, hi = found[ordering, f"{name}|lo"]["key"], found[ordering, f"{name}|hi"]["key"]
             spot = (total - 1) * share
-            result[name] = lo + (hi - lo) * (spot - math.floor(spot))
+            lo, hi = found[ordering][math.floor(spot)], found[ordering][math.ceil(spot)]
+            result[name] = lo + (hi - lo) * (spot - math.floor(spot)) if hi != lo else lo
     return result
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch) -> DataFrame:
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[str | Column, float]], scratch: Scratch | None = None) -> DataFrame:
     """``quantile_values`` as a frame of one row."""
     values = quantile_values(df, wanted, scratch)
     return one_row(df, {name: F.lit(value).cast("double") for name, value in values.items()})
@@ -232,3 +303,21 @@ def running_totals(df: DataFrame, key: str, sums: Sequence[str], scratch: Scratc
         *[(F.col(f"{c}_before") + F.sum(c).over(inside)).alias(f"{c}_upto") for c in sums],
         *[F.col(f"{c}_total").alias(f"{c}_all") for c in sums],
     )
+
+
+def add_positions(
+    df: DataFrame, key: Column, tiebreak: str, scratch: Scratch, within: str | None = None, key_type: str = "string"
+) -> DataFrame:
+    """Adds ``position``: the row's 0-based place by key, then ``tiebreak``, among all rows or those of its value of ``within``.
+
+    Rows are laid out in ranges; a row's place is its number within its range, which one task sorts, plus the rows of the
+    ranges before it. With ``within`` use a column of few values. ``tiebreak`` must be unique.
+    """
+    group = F.lit("all") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("missing"))
+    keyed = df.withColumns({"_group": group, "_key": key.cast(key_type), "_one": F.lit(1).cast("long")})
+    layout = range_layout(keyed, ["_group", "_key", tiebreak], scratch, "positions")
+    # One row per range and group.
+    before = slot_offsets(layout, "_group", ["_one"]).select("_group", "slot", "_one_before")
+    inside = F.row_number().over(Window.partitionBy("_group", "slot").orderBy("_key", tiebreak)) - 1
+    placed = layout.join(F.broadcast(before), ["_group", "slot"])
+    return placed.select(*df.columns, (F.col("_one_before") + inside).cast("long").alias("position"))

