@@ -14,18 +14,11 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from mercantile.functions.fingerprint import fingerprint
 from mercantile.sources.scratch import shared_root
 
 
-def fingerprint(rows: DataFrame, columns: Sequence[str]) -> str:
-    """The number of rows and two sums of 64-bit hashes over them; one small aggregate."""
-    cells = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
-    sums = [F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
-    return "-".join(str(x) for x in rows.agg(F.count(F.lit(1)).alias("n"), *sums).first())
-
-
 class ModelStore:
     """Models below ``folder``; None for a folder in the shared one."""
 

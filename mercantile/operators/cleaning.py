@@ -9,6 +9,10 @@ from mercantile.functions.dates import shift
 from mercantile.functions.expressions import row_count
 
 
+#: The status of orders that have arrived. Fixed value.
+DELIVERED = "delivered"
+
+
 def products_clean(
     products: DataFrame,
     columns: tuple[str, ...] = (
@@ -58,7 +62,7 @@ def count_matching(df: DataFrame, column: str, pattern: str = "%sao paulo%", lim
 
 def delivered(orders: DataFrame) -> DataFrame:
     """Delivered orders, with or without a delivery date."""
-    return orders.where(F.col("order_status") == "delivered")
+    return orders.where(F.col("order_status") == DELIVERED)
 
 
 def orders_clean(orders: DataFrame) -> DataFrame:

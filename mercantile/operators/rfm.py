@@ -11,18 +11,23 @@ from mercantile.operators.ordering import add_tiles, quantile_values, quantiles
 from mercantile.sources.scratch import Scratch
 
 
-def customer_rfm(retention_base: DataFrame, scratch: Scratch, *carried: str) -> DataFrame:
-    """Scores 1..5 for customers who paid something; the id breaks ties.
-
-    ``carried`` columns of the base come along, which saves a later join back to it.
-    """
-    paying = retention_base.where(F.col("total_revenue") > 0).select(
+def paying_customers(retention_base: DataFrame, *carried: str) -> DataFrame:
+    """The three measures of customers who paid something. Figures over all of them need no scores."""
+    return retention_base.where(F.col("total_revenue") > 0).select(
         "customer_unique_id",
         "recency_days",
         F.col("total_orders").alias("frequency"),
         F.col("total_revenue").alias("monetary"),
         *carried,
     )
+
+
+def customer_rfm(retention_base: DataFrame, scratch: Scratch, *carried: str) -> DataFrame:
+    """Scores 1..5 for customers who paid something; the id breaks ties.
+
+    ``carried`` columns of the base come along, which saves a later join back to it.
+    """
+    paying = paying_customers(retention_base, *carried)
     keys = {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary")}
     return add_tiles(paying, keys, "customer_unique_id", 5, scratch)
 

@@ -33,7 +33,10 @@ def customer_list(rfm: DataFrame, segment: str | None = None) -> DataFrame:
 
 
 def page(df: DataFrame, key: str, limit: int = 100, offset: int = 0, tier: str | None = None) -> DataFrame:
-    """One page of ``df`` in key order; some tiers get smaller pages than they ask for."""
+    """One page of ``df`` in key order; some tiers get smaller pages than they ask for.
+
+    For the first pages. Deep ones, and many of one table, are read off a ``paging.PageIndex``.
+    """
     size = min(limit, dim.TIER_PAGE.get(tier, limit))
     return df.orderBy(key).offset(offset).limit(size)
 

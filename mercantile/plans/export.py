@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mercantile.operators import products
 from mercantile.plans.warehouse import Warehouse
+from mercantile.sources.catalog import MartCatalog
 from mercantile.sources.marts import write_mart
 from mercantile.sources.retail import read_raw_csv, read_raw_parquet
 from mercantile.sources.schemas import MART_FILES
@@ -40,11 +41,16 @@ def marts(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def export(w: Warehouse, folder: str, form: str = "parquet") -> list[str]:
-    """Write every mart below ``folder`` and return the names written."""
-    written = marts(w)
+    """Write every mart below ``folder`` and return the names written.
+
+    Parquet marts are published by version with a manifest; CSV ones are plain files for other tools.
+    """
+    written, catalog = marts(w), MartCatalog(w.spark, folder)
     for name, df in written.items():
-        file = MART_FILES.get(name, f"{name}.csv") if form == "csv" else name
-        write_mart(df, f"{folder.rstrip('/')}/{file}", form)
+        if form == "csv":
+            write_mart(df, f"{folder.rstrip('/')}/{MART_FILES.get(name, f'{name}.csv')}", form)
+        else:
+            catalog.publish(name, df)
     return list(written)
 
 

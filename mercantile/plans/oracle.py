@@ -483,6 +483,8 @@ FROM (SELECT customer_state, count(*) AS order_count, count(DISTINCT customer_un
 FROM churn_raw GROUP BY 1""",
     "customer_list": _LIST,
     "customer_page": f"{_LIST} ORDER BY customer_unique_id LIMIT 100 OFFSET 200",
+    "customer_page_deep": f"{_LIST} ORDER BY customer_unique_id LIMIT 100 OFFSET 600",
+    "customer_page_after": f"SELECT * FROM ({_LIST}) WHERE customer_unique_id > 400 ORDER BY customer_unique_id LIMIT 100",
     "customer_page_starter": f"{_LIST} ORDER BY customer_unique_id LIMIT 10",
     "customer_detail": _DETAIL,
     "score_customers": f"""SELECT customer_unique_id, round(p, 3) AS churn_risk_score, rfm_segment AS segment,
@@ -586,6 +588,8 @@ STATEMENTS["ml_forecast_horizons"] = """SELECT category, (last_month + to_months
 FROM (SELECT category, max(month) AS last_month FROM monthly_category GROUP BY 1) CROSS JOIN range(1, 7) r(h)"""
 STATEMENTS["ml_importance_totals"] = """SELECT model, features, total, negative
 FROM (VALUES ('churn', 6::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('clv', 5::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('forecast', 8::BIGINT, 1.0::DOUBLE, 0::BIGINT)) v(model, features, total, negative)"""
+STATEMENTS["marts_published"] = """SELECT 'monthly_revenue' AS mart, count(*) AS rows FROM monthly
+UNION ALL SELECT 'churn_summary', count(*) FROM summary UNION ALL SELECT 'cohort_retention', count(*) FROM retention_label"""
 STATEMENTS["csv_documents"] = "SELECT doc_id, nullif(text, '') AS text, nullif(lang, '') AS lang, nullif(source, '') AS source, n_chars FROM documents"
 STATEMENTS["stream_call_flags"] = STATEMENTS["usage_call_flags"]
 STATEMENTS["stream_score"] = STATEMENTS["score_customers"]

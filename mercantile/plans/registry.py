@@ -25,8 +25,11 @@ from mercantile.operators import (
     scoring,
     usage,
 )
+from mercantile.operators.paging import PageIndex
 from mercantile.plans.warehouse import Warehouse
+from mercantile.sources.catalog import MartCatalog
 from mercantile.sources.csv_files import load_csv
+from mercantile.sources.marts import load_marts
 from mercantile.sources.retail import StarSchemaRetail, read_star_table
 from mercantile.sources.schemas import STAR_TABLES
 from mercantile.streaming import jobs
@@ -123,7 +126,7 @@ def _cleaning() -> dict[str, Callable[[Warehouse], DataFrame]]:
     return {
         "products_clean": lambda w: cleaning.products_clean(w.tables.products),
         "city_standardize": cities,
-        "orders_clean": lambda w: cleaning.orders_clean(w.tables.order_facts(False, False)),
+        "orders_clean": lambda w: cleaning.orders_clean(w.tables.order_facts(False, False, cleaning.DELIVERED)),
         "order_review_agg": lambda w: order_grain.order_review_agg(w.tables.reviews),
         "order_revenue": lambda w: money(order_grain.order_revenue(w.tables.payments), "total_order_payment"),
         "order_status_distribution": lambda w: audits.status_distribution(w.tables.order_facts(False, False)),
@@ -148,7 +151,18 @@ def _sources() -> dict[str, Callable[[Warehouse], DataFrame]]:
         schema = StructType([docs.schema[c] for c in ("doc_id", "text", "lang", "source", "n_chars")])
         return load_csv(w.spark, folder, schema).table
 
-    return {"csv_documents": documents}
+    def published(w: Warehouse) -> DataFrame:
+        """Marts written by version and read back by their manifests."""
+        folder, chosen = w.scratch.path("marts"), {"monthly_revenue": w.monthly_revenue, "churn_summary": w.churn_summary, "cohort_retention": w.cohort_retention_by_churn}
+        catalog = MartCatalog(w.spark, folder)
+        for name, df in chosen.items():
+            catalog.publish(name, df)
+            catalog.verify(name)
+        found, _ = load_marts(w.spark, folder, chosen, "parquet")
+        parts = [df.agg(F.lit(name).alias("mart"), F.count(F.lit(1)).alias("rows")) for name, df in found.items()]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    return {"csv_documents": documents, "marts_published": published}
 
 
 def _customers() -> dict[str, Callable[[Warehouse], DataFrame]]:
@@ -169,10 +183,10 @@ def _customers() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "segment_distribution": lambda w: rfm.segment_distribution(w.rfm),
         "segment_metrics": lambda w: rfm.segment_metrics(w.rfm),
         "segment_characteristics": lambda w: rfm.segment_characteristics(w.rfm),
-        "rfm_score_stats": lambda w: rfm.score_stats(w.rfm, w.scratch),
+        "rfm_score_stats": lambda w: rfm.score_stats(w.scratch.store(w.paying, "paying"), w.scratch),
         "rfm_score_histogram": lambda w: rfm.score_histogram(w.rfm),
         "high_value_customers": lambda w: money(rfm.high_value_customers(w.rfm, w.scratch), "monetary"),
-        "churn_risk_summary": lambda w: rfm.churn_risk_summary(w.rfm, w.scratch),
+        "churn_risk_summary": lambda w: rfm.churn_risk_summary(w.scratch.store(w.paying, "paying"), w.scratch),
         "marketing_segments": lambda w: rfm.marketing_segments(w.rfm),
         "churn_label_from_segment": lambda w: money(rfm.churn_label_from_segment(w.rfm), "monetary"),
     }
@@ -180,7 +194,7 @@ def _customers() -> dict[str, Callable[[Warehouse], DataFrame]]:
 
 def _cohorts() -> dict[str, Callable[[Warehouse], DataFrame]]:
     def first_months(w: Warehouse) -> DataFrame:
-        return cohorts.customer_cohorts(w.tables.order_facts(False, False), w.tables.customers)
+        return cohorts.customer_cohorts(w.tables.order_facts(False, False, cleaning.DELIVERED), w.tables.customers)
 
     def whole_pivot(label: int) -> Callable[[Warehouse], DataFrame]:
         return lambda w: cohorts.cohort_pivot_rows(w.scratch.store(w.cohort_retention_by_churn, "retention"), label)
@@ -202,7 +216,7 @@ def _cohorts() -> dict[str, Callable[[Warehouse], DataFrame]]:
 
 def _revenue() -> dict[str, Callable[[Warehouse], DataFrame]]:
     def by_grain(grain: str) -> Callable[[Warehouse], DataFrame]:
-        return lambda w: money(revenue.period_revenue(w.tables.order_facts(reviews=False), grain), "revenue")
+        return lambda w: money(revenue.period_revenue(w.tables.order_facts(reviews=False, status=cleaning.DELIVERED), grain), "revenue")
 
     return {
         "monthly_revenue": lambda w: money(w.monthly_revenue_plan(), "revenue").orderBy("month"),
@@ -246,6 +260,8 @@ def _scoring() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "class_distribution": lambda w: churn.class_distribution(w.churn_raw),
         "customer_list": listed,
         "customer_page": lambda w: scoring.page(listed(w), "customer_unique_id", 100, 200),
+        "customer_page_deep": lambda w: PageIndex.build(listed(w), "customer_unique_id", w.scratch).page(100, 600),
+        "customer_page_after": lambda w: PageIndex.build(listed(w), "customer_unique_id", w.scratch).after(400, 100),
         "customer_page_starter": lambda w: scoring.page(listed(w), "customer_unique_id", 100, 0, "starter"),
         "customer_detail": detail,
         "score_customers": lambda w: scoring.score_requests(w.churn_features, "customer_unique_id"),
@@ -272,10 +288,10 @@ def _scoring() -> dict[str, Callable[[Warehouse], DataFrame]]:
 def _reports() -> dict[str, Callable[[Warehouse], DataFrame]]:
     def kpis(w: Warehouse) -> DataFrame:
         growth = revenue.revenue_growth(w.monthly_revenue, floor=REVENUE_FLOOR)
-        return reports.report_kpis(w.monthly_revenue, w.rfm, w.churn_raw, growth)
+        return reports.report_kpis(w.monthly_revenue, w.paying, w.churn_raw, growth)
 
     def summary(w: Warehouse) -> DataFrame:
-        people = w.rfm.agg(
+        people = w.paying.agg(
             F.count(F.lit(1)).alias("total_customers"),
             ratio(F.sum("monetary"), F.count(F.lit(1))).alias("avg_revenue_per_customer"),
         )
@@ -462,7 +478,7 @@ def _streams() -> dict[str, Callable[[Warehouse], DataFrame]]:
         return written(w, jobs.reject_stream(requests(w), "customer_unique_id"))
 
     def monthly(w: Warehouse) -> DataFrame:
-        orders = w.scratch.store(w.tables.order_facts(False, False), "orders")
+        orders = w.scratch.store(w.tables.order_facts(False, False, cleaning.DELIVERED), "orders")
         lines = jobs.parquet_stream(w.spark, f"{w.tables.directory}/lineitem.parquet", STAR_TABLES["lineitem"])
         totals = RevenueLedger(w.spark, w.scratch.path("revenue"), orders)
         totals.run(w.tables.payments_of(lines))

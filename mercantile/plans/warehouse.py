@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mercantile.ml import churn_model, features
 from mercantile.ml.store import ModelStore
 from mercantile.operators import churn, cohorts, customers, products, revenue, rfm, scoring
+from mercantile.operators.cleaning import DELIVERED
 from mercantile.sources.retail import RetailTables
 from mercantile.sources.scratch import Scratch
 
@@ -49,13 +50,14 @@ class Warehouse:
     def _stored_facts(self) -> DataFrame:
         return self.scratch.store(self.tables.order_facts(), "order_facts")
 
-    def order_facts(self, payments: bool = True, reviews: bool = True) -> DataFrame:
-        return self._stored_facts if self.store_facts else self.tables.order_facts(payments, reviews)
+    def order_facts(self, payments: bool = True, reviews: bool = True, status: str | None = None) -> DataFrame:
+        """Order facts; with ``status`` those of one status may be all that is read."""
+        return self._stored_facts if self.store_facts else self.tables.order_facts(payments, reviews, status)
 
     # Customer marts
 
     def customer_base_plan(self) -> DataFrame:
-        return customers.customer_base(self.order_facts(), self.tables.customers)
+        return customers.customer_base(self.order_facts(status=DELIVERED), self.tables.customers)
 
     @cached_property
     def customer_base(self) -> DataFrame:
@@ -65,6 +67,10 @@ class Warehouse:
     def retention_base(self) -> DataFrame:
         return customers.label_churn(self.customer_base, window_days=self.label_days)
 
+    @cached_property
+    def paying(self) -> DataFrame:
+        return rfm.paying_customers(self.retention_base)
+
     @cached_property
     def rfm_labelled(self) -> DataFrame:
         scores = rfm.customer_rfm(self.retention_base, self.scratch, "churn_label")
@@ -86,7 +92,7 @@ class Warehouse:
 
     @cached_property
     def customer_months(self) -> DataFrame:
-        facts = self.order_facts(payments=False, reviews=False)
+        facts = self.order_facts(payments=False, reviews=False, status=DELIVERED)
         return cohorts.customer_months(facts, self.tables.customers)
 
     @cached_property
@@ -101,7 +107,7 @@ class Warehouse:
     # Revenue: series are small aggregates that later plans read several times.
 
     def monthly_revenue_plan(self) -> DataFrame:
-        return revenue.monthly_revenue(self.order_facts(reviews=False))
+        return revenue.monthly_revenue(self.order_facts(reviews=False, status=DELIVERED))
 
     @cached_property
     def monthly_revenue(self) -> DataFrame:
@@ -109,7 +115,7 @@ class Warehouse:
 
     @cached_property
     def monthly_by_state(self) -> DataFrame:
-        facts = self.order_facts(reviews=False)
+        facts = self.order_facts(reviews=False, status=DELIVERED)
         series = revenue.monthly_revenue_by_state(facts, self.tables.customers)
         return self.scratch.store(series, "monthly_by_state")
 
@@ -117,7 +123,7 @@ class Warehouse:
     def monthly_by_category(self) -> DataFrame:
         t = self.tables
         series = revenue.monthly_revenue_by_category(
-            self.order_facts(payments=False, reviews=False), t.order_items, t.products
+            self.order_facts(payments=False, reviews=False, status=DELIVERED), t.order_items, t.products
         )
         return self.scratch.store(series, "monthly_by_category")
 
@@ -127,7 +133,7 @@ class Warehouse:
     def categories(self) -> DataFrame:
         t = self.tables
         return products.category_performance(
-            self.order_facts(payments=False, reviews=False), t.order_items, t.products, t.category_translation
+            self.order_facts(payments=False, reviews=False, status=DELIVERED), t.order_items, t.products, t.category_translation
         )
 
     @cached_property
@@ -138,7 +144,7 @@ class Warehouse:
     def sellers(self) -> DataFrame:
         t = self.tables
         return products.seller_performance(
-            self.order_facts(payments=False), t.order_items, t.sellers, self.scratch
+            self.order_facts(payments=False, status=DELIVERED), t.order_items, t.sellers, self.scratch
         )
 
     @cached_property
@@ -147,7 +153,7 @@ class Warehouse:
 
     @cached_property
     def states(self) -> DataFrame:
-        return products.state_performance(self.order_facts(reviews=False), self.tables.customers)
+        return products.state_performance(self.order_facts(reviews=False, status=DELIVERED), self.tables.customers)
 
     # Churn features and scores
 

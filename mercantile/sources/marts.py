@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercantile.sources.catalog import MartCatalog
 from mercantile.sources.schemas import MART_FILES, MART_TABLES
 
 
@@ -37,15 +37,28 @@ def read_mart(spark: SparkSession, directory: str, name: str, form: str = "csv")
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def load_marts(
     spark: SparkSession, directory: str, names: Iterable[str] | None = None, form: str = "csv"
 ) -> tuple[dict[str, DataFrame], list[str]]:
-    """All marts found in ``directory`` and the names of those that are missing."""
+    """All marts found in ``directory`` and the names of those that are missing.
+
+    A published mart (see ``catalog``) is read by its manifest, others from the file or folder of their name. Only what is not
+    there is missing: a mart that is there and can't be read raises.
+    """
+    catalog, folder = MartCatalog(spark, directory), directory.rstrip("/")
+    published = set(catalog.names())
     found, missing = {}, []
     for name in names or MART_TABLES:
-        try:
+        if form == "parquet" and name in published:
+            found[name] = catalog.read(name)
+        elif _exists(spark, f"{folder}/{name if form == 'parquet' else MART_FILES[name]}"):
             found[name] = read_mart(spark, directory, name, form)
-        except AnalysisException:
+        else:
             missing.append(name)
     return found, missing
 

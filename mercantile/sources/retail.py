@@ -32,13 +32,17 @@ class RetailTables:
             elif not hasattr(type(self), name):
                 setattr(self, name, None)
 
-    def order_facts(self, payments: bool = True, reviews: bool = True) -> DataFrame:
-        """Orders with payment and review totals, one row per order.
+    def orders_of(self, status: str) -> DataFrame:
+        """Orders of one status. A source whose own tables say it otherwise translates the condition, so that it reaches the scan."""
+        return self.orders.where(F.col("order_status") == status)
+
+    def order_facts(self, payments: bool = True, reviews: bool = True, status: str | None = None) -> DataFrame:
+        """Orders with payment and review totals, one row per order; with ``status`` only those of one status.
 
         Both sides are reduced to order grain before they meet the orders, so no join fans out and
         an order with very many payment rows is folded map-side.
         """
-        facts = self.orders
+        facts = self.orders if status is None else self.orders_of(status)
         if payments:
             facts = facts.join(payment_totals(self.payments), "order_id", "left")
         if reviews:
@@ -175,16 +179,32 @@ class StarSchemaRetail(RetailTables):
             shift("o_orderdate", "10 days").alias("review_creation_date"),
         ]
 
-    def _order_columns(self):
+    #: What a status is in the star schema; all others are the last one.
+    STATUSES = {"delivered": "F", "shipped": "O"}
+    OTHER_STATUS = "processing"
+
+    def _placed(self, status: str | None) -> DataFrame:
+        """The star's orders, all or those of one canonical status, by a condition on the stored column."""
+        raw, orders = F.col("o_orderstatus"), self._read("orders")
+        if status is None:
+            return orders
+        if status in self.STATUSES:
+            return orders.where(raw == self.STATUSES[status])
+        if status == self.OTHER_STATUS:
+            return orders.where(raw.isNull() | ~raw.isin(list(self.STATUSES.values())))
+        return orders.where(F.lit(False))
+
+    def _order_columns(self, only: str | None = None):
         placed = F.col("o_orderdate")
         key = F.col("o_orderkey")
+        status = F.lit(only)
+        if only is None:
+            status = F.when(F.col("o_orderstatus") == self.STATUSES["delivered"], "delivered")
+            status = status.when(F.col("o_orderstatus") == self.STATUSES["shipped"], "shipped").otherwise(self.OTHER_STATUS)
         return [
             key.alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
-            F.when(F.col("o_orderstatus") == "F", "delivered")
-            .when(F.col("o_orderstatus") == "O", "shipped")
-            .otherwise("processing")
-            .alias("order_status"),
+            status.alias("order_status"),
             placed.alias("order_purchase_timestamp"),
             F.when(key % 7 == 0, F.lit(None).cast("timestamp_ntz"))
             .when(key % 11 == 0, shift("o_orderdate", "-1 day"))
@@ -196,14 +216,20 @@ class StarSchemaRetail(RetailTables):
 
     @cached_property
     def orders(self) -> DataFrame:
+        return self._orders(None)
+
+    def orders_of(self, status: str) -> DataFrame:
+        return self._orders(status)
+
+    def _orders(self, status: str | None) -> DataFrame:
         arrivals = (
             self._read("lineitem")
             .groupBy(F.col("l_orderkey").alias("o_orderkey"))
             .agg(F.max("l_shipdate").alias("delivered_at"))
         )
-        return self._read("orders").join(arrivals, "o_orderkey", "left").select(*self._order_columns())
+        return self._placed(status).join(arrivals, "o_orderkey", "left").select(*self._order_columns(status))
 
-    def order_facts(self, payments: bool = True, reviews: bool = True) -> DataFrame:
+    def order_facts(self, payments: bool = True, reviews: bool = True, status: str | None = None) -> DataFrame:
         """One pass over the line items gives both the delivery date and the payment totals.
 
         The generic version would aggregate and shuffle the largest table twice. Reviews sit on the
@@ -215,7 +241,7 @@ class StarSchemaRetail(RetailTables):
         totals = payment_totals(lines, F.max("l_shipdate").alias("delivered_at"))
         if not payments:
             totals = totals.select("order_id", "delivered_at")
-        placed = self._read("orders").join(
+        placed = self._placed(status).join(
             totals.withColumnRenamed("order_id", "o_orderkey"), "o_orderkey", "left"
         )
         extra = [c for c in totals.columns if c not in ("order_id", "delivered_at")]
@@ -228,4 +254,4 @@ class StarSchemaRetail(RetailTables):
                 F.when(found, F.lit(1).cast("long")).alias("review_count"),
                 F.when(found, F.col("_created")).alias("latest_review_date"),
             ]
-        return placed.select(*self._order_columns(), *extra)
+        return placed.select(*self._order_columns(status), *extra)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from mercantile.functions.fingerprint import fingerprint
 from mercantile.ml import churn_model, clv_model, features, forecast_model
-from mercantile.ml.store import ModelStore, fingerprint
+from mercantile.ml.store import ModelStore
 from mercantile.plans import registry
 from mercantile.plans.warehouse import Warehouse
 
