@@ -26,7 +26,7 @@ from mercantile.llm.textkit import slices
 
 SLICE_BYTES = 4 << 20
 #: Parts and ids that are remembered, and the bytes of the longest part that is.
-MOST_PARTS, MOST_IDS, LONGEST = 500_000, 4_000_000, 64
+MOST_PARTS, MOST_IDS, LONGEST = 800_000, 4_000_000, 64
 
 #: ASCII white space, also the separators that some libraries count as such.
 _WHITE = np.zeros(256, dtype=bool)
