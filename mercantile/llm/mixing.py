@@ -9,13 +9,14 @@ No source is sorted as a whole. Keys are cut into buckets; sums by (source, buck
 the rest is reached, and only that bucket is sorted. All other rows compare their bucket with it.
 
 Defined results: NULL text has size 0; NULL source is a source of its own and comes last; a NULL, NaN or non-positive
-weight counts as the smallest valid one (1 if there is none); rows without doc_id share one key. Equal keys go by doc_id, then size. Sources
-without words have target 0 and are taken 0 times. Repeated rows are documents of their own.
+weight counts as the smallest valid one (1 if there is none); rows without doc_id share one key, unless a key of rows is given. Equal keys
+go by doc_id, then size, then the key of rows. Sources without words have target 0 and are taken 0 times. Repeated rows are documents of
+their own. Very long texts are counted whole; an empty table gives no rows; other columns of any name go along unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercantile.llm.tables import scratch
+from mercantile.llm.tables import free_name, scratch
 from mercantile.llm.textkit import BLANK_SEPARATED, find_words, slices
 
 MOST_EPOCHS = 3
@@ -65,15 +66,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     return shared.select("*", epochs.alias("epochs")).select("*", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(rows: DataFrame, *carried: str) -> DataFrame:
+def mix(rows: DataFrame, *carried: str, row: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) from rows of (doc_id, source, size, weight); ``carried``
-    columns of the rows, under other names than the plan's, follow."""
+    columns of the rows, under other names than the plan's, follow.
+
+    ``row``, a column that follows too, tells rows apart: then the keys come from it instead of the doc_id, and it breaks ties. Rows that share
+    it must be equal, so that any of them may stand for another.
+    """
+    carried = tuple(dict.fromkeys([*carried, *([row] if row else [])]))
     store = scratch(rows.sparkSession)
     valid = F.when((F.col("weight") > 0) & ~F.isnan("weight") & (F.col("weight") < float("inf")), F.col("weight"))
     rows = store.store(rows.select("doc_id", "source", "size", valid.alias("weight"), *carried), "sizes")
     facts = rows.agg(F.count("*").alias("n"), F.min("weight").alias("least")).first()
     least, n_buckets = facts["least"] or 1.0, int(np.clip(facts["n"] // _ROWS_PER_BUCKET, 1, _MOST_BUCKETS))
-    key = -F.log(uniform(F.col("doc_id"))) / F.coalesce("weight", F.lit(least))
+    key = -F.log(uniform(F.col(row or "doc_id"))) / F.coalesce("weight", F.lit(least))
     keyed = rows.select("doc_id", "source", "size", key.alias("key"), *carried)
     # The exponential of a scaled key is spread over 0..1, most densely w / least times as dense as evenly.
     bucket = F.least(F.floor((1 - F.exp(-F.col("key") * least)) * n_buckets), F.lit(n_buckets - 1).cast("long"))
@@ -91,7 +97,7 @@ def mix(rows: DataFrame, *carried: str) -> DataFrame:
     met = keyed.join(plan, F.col("of").eqNullSafe(F.col("source")))
     columns = ["doc_id", "source", "size", "source_size", "target", "epochs", *carried]
     outside = met.where("edge_bucket IS NULL OR bucket <> edge_bucket").select(*columns, (F.col("edge_bucket").isNotNull() & (F.col("bucket") < F.col("edge_bucket"))).alias("more"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *([row] if row else []))
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("edge_before")
     inside = met.where("bucket = edge_bucket").select(*columns, "rest", upto.alias("upto"))
     inside = inside.select(*columns, ((F.col("upto") < F.col("rest")) & (2 * (F.col("rest") - F.col("upto")) >= F.col("size"))).alias("more"))
@@ -99,6 +105,51 @@ def mix(rows: DataFrame, *carried: str) -> DataFrame:
     return outside.unionByName(inside).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carried)
 
 
+def _scored_sizes(score: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for _, _, data, at in slices(batch.column(0)):
+                sizes.append(find_words(data, at, BLANK_SEPARATED).counts)
+                weights.append(score(data, at))
+            columns = [*batch.columns[1:], pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(weights), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "row", "size", "weight"])
+
+    return run
+
+
+def _known_rows(docs: DataFrame) -> Column:
+    """A 128-bit hash of all columns, NULLs told from empty values."""
+    parts = [F.coalesce(F.concat(F.lit("="), docs[f"`{c}`"].cast("string")), F.lit("")) for c in docs.columns]
+    lengths = [F.length(p).cast("string") for p in parts]
+    return F.md5(F.concat_ws("\x1f", *lengths, *parts))
+
+
+def row_sizes(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, source, row, size, weight) of every row: its key, its words, and the ``score`` of its text as weight.
+
+    ``score`` takes the bytes of several texts and their offsets.
+    """
+    chosen = docs.select(
+        docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), _known_rows(docs).alias("row")
+    )
+    return chosen.mapInArrow(_scored_sizes(score), "doc_id long, source string, row string, size long, weight double")
+
+
+def repeat_mixed(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Every row of ``docs``, all columns, as often as the mix takes it, whatever the layout of ``docs``.
+
+    Rows are told apart by all their columns. Equal rows are one row with the sum of their copies, folded in tasks before they are
+    shuffled, so a row that many others equal meets them as one.
+    """
+    copies = mix(row_sizes(docs, score), row="row")
+    own, times = free_name(docs.columns, "mix_row"), free_name(docs.columns, "mix_times")
+    totals = copies.groupBy(F.col("row").alias(own)).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    distinct = docs.withColumn(own, _known_rows(docs)).dropDuplicates([own])
+    met = distinct.join(totals, own)
+    return met.select(*[met[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, size, weight): a labelled good document weighs 1, a bad one a quarter, others a half."""
     known = labels.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("quality").alias("quality"))

@@ -31,7 +31,8 @@ words); fewer words are one shingle. Similarity of two multisets: sum of the sma
 
 Defined results: a text without words is near only to the same bytes; NULL and empty texts are near to nothing. The
 class is the smallest doc_id of the component. Rows without doc_id take part, and have the class of their component (NULL
-if it has no doc_id).
+if it has no doc_id). Very long texts are compared whole; an empty table gives no rows; columns other than doc_id and text may have
+any name and are not looked at.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from mercantile.llm import sketch
 from mercantile.llm.components import connected_components
-from mercantile.llm.tables import scratch
+from mercantile.llm.tables import free_name, scratch
 from mercantile.llm.textkit import LETTERS_AND_DIGITS, SLICE_BYTES, find_words, hash_runs, hash_spans, lowered, mix, run_starts, signed, slices, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -384,14 +385,12 @@ def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of each class its first row, all columns: that of the smallest doc_id (NULL last), then by a hash of the text. Of rows
     equal in doc_id and text one stays, unless the text is empty: those are near to nothing and all stay."""
     classes = scratch(docs.sparkSession).store(_classes(docs, least).select("ref", "first_ref"), "classes")
-    gone = classes.where("ref <> first_ref").select(F.col("ref").alias("gone_ref")).distinct()
-    again = classes.where("ref = first_ref").groupBy(F.col("ref").alias("again_ref")).count().where("count > 1").select("again_ref")
-    own = "row_ref"
-    while own in docs.columns:
-        own += "_"
+    own, left, more = (free_name(docs.columns, name) for name in ("row_ref", "gone_ref", "again_ref"))
+    gone = classes.where("ref <> first_ref").select(F.col("ref").alias(left)).distinct()
+    again = classes.where("ref = first_ref").groupBy(F.col("ref").alias(more)).count().where("count > 1").select(more)
     kept = _with_refs(docs, own)
-    kept = kept.join(gone, F.col(own) == F.col("gone_ref"), "left_anti")
+    kept = kept.join(gone, F.col(own) == F.col(left), "left_anti")
     if not again.isEmpty():
-        met = (F.col(own) == F.col("again_ref")) & (F.octet_length(F.coalesce(kept["text"].cast("string"), F.lit(""))) > 0)
+        met = (F.col(own) == F.col(more)) & (F.octet_length(F.coalesce(kept["text"].cast("string"), F.lit(""))) > 0)
         kept = kept.join(again, met, "left_anti").unionByName(kept.join(again, met, "left_semi").dropDuplicates([own]))
-    return kept.select(*docs.columns)
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -184,6 +184,15 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(np.stack(found["x"].to_numpy()).astype(np.float32), found["y"].to_numpy().astype(float))
 
 
+def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Trees fitted on the texts of at most ``sample`` labels, chosen by a hash; only their texts are looked at."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "quality").limit(sample)
+    chosen = scratch(docs.sparkSession).store(chosen, "labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    return train(scratch(docs.sparkSession).store(text_statistics(texts), "statistics"), chosen, sample)
+
+
 def score_statistics(stats: DataFrame, model: Trees) -> DataFrame:
     """(doc_id, score) from stored statistics."""
 
