@@ -10,8 +10,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mercantile.llm import decontamination, mixing, near_dedup, quality, token_files
 from mercantile.llm.tables import scratch, table
@@ -19,8 +17,7 @@ from mercantile.llm.tables import scratch, table
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more."""
-    stats = scratch(spark).store(quality.text_statistics(docs), "statistics")
-    return quality.keep_scored(docs, quality.train(stats, quality.learnable(table(spark, sf_dir, "labels"))))
+    return quality.keep_scored(docs, quality.train_on(docs, quality.learnable(table(spark, sf_dir, "labels"))))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,20 +31,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix takes it. All documents weigh alike here: the bad ones are gone.
-
-    A row is known by a hash of doc_id, source and text, and equal rows by their number.
-    """
-    parts = [docs[c] for c in ("doc_id", "source", "text")]
-    row_key = F.xxhash64(*(c for part in parts for c in (part.isNull(), part)))
-    sizes = mixing.word_counts(docs.select("doc_id", "source", "text", row_key.alias("mix_row")), "doc_id", "source", "mix_row")
-    copies = mixing.mix(sizes.withColumn("weight", F.lit(1.0)), "mix_row")
-    equal = Window.partitionBy("mix_row").orderBy(F.desc("copies"))
-    copies = copies.select("mix_row", F.row_number().over(equal).alias("mix_nth"), "copies").where("copies > 0")
-    times = copies.select("mix_row", "mix_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_time"))
-    keyed = docs.select("*", row_key.alias("mix_row"))
-    keyed = keyed.select("*", F.row_number().over(Window.partitionBy("mix_row").orderBy("doc_id")).alias("mix_nth"))
-    return keyed.join(times, ["mix_row", "mix_nth"]).select(*docs.columns)
+    """Every row as often as the mix takes it. A document weighs what the quality classifier, fitted on these documents, scores it."""
+    model = quality.train_on(docs, quality.learnable(table(spark, sf_dir, "labels")))
+    return mixing.repeat_mixed(docs, lambda data, at: model.score(quality.statistics(data, at)))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
