@@ -1,18 +1,22 @@
 """Benchmark passages in documents, found by winnowing.
 
-Words are hashed, then every run of ``GRAM`` words. Of the grams in a window of ``window`` words the one of smallest hash
-is the window's fingerprint, so two equal windows have equal fingerprints, and a shared span of ``window`` words or more
-always shares one. An item of fewer words is one window, whose fingerprint is the hash of all its words.
+Words are hashed, then every run of ``GRAM`` words. Of the grams in a window of ``window`` words the one of smallest hash (the first of equal
+ones) is kept as a fingerprint, with its place. Two equal windows keep the same gram at the same place within them, so documents and items that
+share a span of ``window`` words or more always share a fingerprint there. An item of fewer words is one window of its own size.
 
 1. The fingerprints of the benchmark become a membership bitmap of fixed maximal size, which is broadcast.
-2. One pass over the documents keeps the places whose window's fingerprint may be in the benchmark, with a 128-bit
-   hash of the whole window: the hit extended to the window's length.
-3. These are joined with the benchmark's windows by that hash, and the places of each document are merged into spans.
+2. One pass over the documents keeps their fingerprints that may be in the benchmark, with the hashes of the words around
+   each: as many as a window that holds the gram can reach.
+3. Fingerprints of documents and items are joined. Each hit is extended word by word in both directions; if the words that
+   agree are a window or more, they are hit. Items with the same words around a fingerprint are one side of the join.
+4. A document's hits are merged into spans.
 
-If the benchmark outgrows the bitmap, more places pass step 2 and the join drops them; nothing is lost.
+If the benchmark outgrows the bitmap, more fingerprints pass step 2 and the join drops them; nothing is lost.
 
 Defined results: NULL or wordless texts have no words, no hits and no items; a wordless item hits nothing; an item
-without item_id still marks words but is not listed. Repeated rows of a document are judged each by its own text.
+without item_id still marks words but is not listed. Repeated rows of a document are judged each by its own text. Very long texts are
+judged whole, in time linear in their words and hits. An empty table on either side gives no hits. Columns other than doc_id and text may
+have any name and are not looked at.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercantile.llm import sketch
-from mercantile.llm.tables import scratch
+from mercantile.llm.tables import free_name, scratch
 from mercantile.llm.textkit import LETTERS_AND_DIGITS, Words, find_words, hash_runs, hash_spans, lowered, mix, run_starts, signed, slices
 
 WINDOW = 10
@@ -38,26 +42,32 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[Words, np.ndarray]:
     return words, hash_spans(data, words.start, words.end)
 
 
-def _fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The smallest gram hash of each run of ``size`` words; of runs no longer than a gram, their own hash."""
-    if size <= GRAM:
-        return hash_runs(hashes, size, 3)
-    grams = hash_runs(hashes, GRAM, 3)
-    if len(hashes) < size:
-        return grams[:0]
-    n, least = len(hashes) - size + 1, None
-    for shift in range(size - GRAM + 1):
-        part = grams[shift : shift + n]
-        least = part if least is None else np.minimum(least, part)
-    return mix(least, size)
+def _fingerprints(hashes: np.ndarray, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, mark) of the grams that the windows of ``size`` words at ``starts`` keep."""
+    gram = min(GRAM, size)
+    grams = hash_runs(hashes, gram, 3)
+    if not len(starts):
+        return starts, grams[:0]
+    least, place = grams[starts], np.zeros(len(starts), dtype=np.int64)
+    for shift in range(1, size - gram + 1):
+        part = grams[starts + shift]
+        less = part < least
+        least, place[less] = np.where(less, part, least), shift
+    kept = np.unique(starts + place)
+    return kept, mix(grams[kept], size)
 
 
-def _windows(words: Words, hashes: np.ndarray, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hash_runs(hashes, size, 4)[starts], hash_runs(hashes, size, 5)[starts]
+def _around(words: Words, hashes: np.ndarray, size: int, place: np.ndarray, nothing: int) -> np.ndarray:
+    """The hashes of the words that windows with the gram at ``place`` can hold; ``nothing`` beyond the text's ends."""
+    gram = min(GRAM, size)
+    spot = place[:, None] + np.arange(gram - size, size)
+    text = words.text[place]
+    inside = (spot >= words.first[text][:, None]) & (spot < words.first[text + 1][:, None])
+    return np.where(inside, hashes[np.clip(spot, 0, len(hashes) - 1)], np.uint64(nothing))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, h1, h2, mark, size) of every window of every item; mark is the fingerprint."""
+def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, mark, size, around, c1, c2) of every fingerprint of every item; c1 and c2 are hashes of the words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,39 +79,37 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     starts = run_starts(words, size)
                     if size < window:
                         starts = starts[counts[words.text[starts]] == size]
-                    if not len(starts):
+                    place, mark = _fingerprints(hashes, size, starts)
+                    if not len(place):
                         continue
-                    h1, h2 = _windows(words, hashes, size, starts)
-                    mark = _fingerprints(hashes, size)[starts]
-                    own = ids.take(pa.array(words.text[starts] + first))
-                    columns = [own, *(pa.array(signed(x)) for x in (h1, h2, mark)), pa.array(np.full(len(starts), size, np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["item_id", "h1", "h2", "mark", "size"])
+                    around = _around(words, hashes, size, place, 1)
+                    own = ids.take(pa.array(words.text[place] + first))
+                    c1, c2 = (mix(mix(around, salt) + np.arange(around.shape[1], dtype=np.uint64) * mix(np.array([salt], np.uint64))).sum(axis=1) for salt in (81, 82))
+                    columns = [own, pa.array(signed(mark)), pa.array(np.full(len(place), size, np.int32)), pa.array([a.tobytes() for a in around], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(signed(mix(c1, size))), pa.array(signed(mix(c2, size)))], ["item_id", "mark", "size", "around", "c1", "c2"])
 
     chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "item_id long, h1 long, h2 long, mark long, size int")
+    return chosen.mapInArrow(run, "item_id long, mark long, size int, around binary, c1 long, c2 long")
 
 
 def _candidates(marks, sizes: list[int]):
-    places = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("place", pa.int32()), ("size", pa.int32())]))
+    kind = pa.struct([("mark", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("near", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in slices(batch.column(1)):
                 words, hashes = _words(data, at)
-                found = []
+                found: list[tuple] = []
                 for size in sizes:
-                    starts = run_starts(words, size)
-                    starts = starts[marks.value.test(mix(_fingerprints(hashes, size)[starts]))]
-                    h1, h2 = _windows(words, hashes, size, starts)
-                    text = words.text[starts]
-                    found.append((text, signed(h1), signed(h2), starts - words.first[text], np.full(len(starts), size)))
-                text, h1, h2, place, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
-                order = np.argsort(text, kind="stable")
-                bounds = np.searchsorted(text[order], np.arange(end - first + 1))
-                item = pa.StructArray.from_arrays(
-                    [pa.array(h1[order]), pa.array(h2[order]), pa.array(place[order], pa.int32()), pa.array(size[order], pa.int32())],
-                    fields=list(places.value_type),
-                )
+                    place, mark = _fingerprints(hashes, size, run_starts(words, size))
+                    kept = marks.value.test(mix(mark))
+                    place, mark = place[kept], mark[kept]
+                    near = [a.tobytes() for a in _around(words, hashes, size, place, 0)] if len(place) else []
+                    text = words.text[place] if len(place) else place
+                    found += zip(text.tolist(), signed(mark).tolist(), [size] * len(place), (place - words.first[text]).tolist() if len(place) else [], near, strict=True)
+                found.sort(key=lambda f: f[0])
+                bounds = np.searchsorted([f[0] for f in found], np.arange(end - first + 1))
+                item = pa.array([dict(zip(("mark", "size", "place", "near"), f[1:], strict=True)) for f in found], kind)
                 columns = [
                     batch.column(0).slice(first, end - first).cast(pa.int64()),
                     batch.column(2).slice(first, end - first),
@@ -113,6 +121,47 @@ def _candidates(marks, sizes: list[int]):
     return run
 
 
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ref, size, place, near, around, c1, c2): the words that agree around a shared gram, if they are a window or more."""
+    for batch in batches:
+        sizes, places = (batch.column(k).to_numpy() for k in (1, 2))
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            gram, reach = min(GRAM, size), size - min(GRAM, size)
+            near, around = (np.frombuffer(b"".join(batch.column(k).take(pa.array(own)).to_pylist()), dtype=np.uint64).reshape(len(own), -1) for k in (3, 4))
+            equal = near == around
+            left = np.cumprod(equal[:, :reach][:, ::-1], axis=1).sum(axis=1)
+            right = np.cumprod(equal[:, reach + gram :], axis=1).sum(axis=1)
+            hit = equal[:, reach : reach + gram].all(axis=1) & (left + gram + right >= size)
+            a, b = (places[own] - left)[hit], (places[own] + gram + right)[hit]
+            rows = batch.take(pa.array(own[hit]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(a, pa.int32()), pa.array(b, pa.int32()), rows.column(5), rows.column(6)], ["ref", "a", "b", "c1", "c2"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ref, hits) to (ref, spans): hits that overlap or touch are one span."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for batch in batches:
+        hits, out = batch.column(1), []
+        bounds = np.r_[0, np.cumsum(hits.value_lengths().to_numpy())]
+        flat = hits.flatten()
+        first, last = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        for k in range(len(hits)):
+            a, b = first[bounds[k] : bounds[k + 1]], last[bounds[k] : bounds[k + 1]]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            new = np.r_[True, a[1:] > b[:-1]]
+            ends = np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]
+            out.append([{"a": x, "b": y} for x, y in zip(a[new].tolist(), b[ends].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["ref", "spans"])
+
+
+def _ref(docs: DataFrame) -> Column:
+    """A 128-bit hash of doc_id and text, by which a document's hits come back to it."""
+    parts = [F.coalesce(F.concat(F.lit("="), docs[c].cast(kind).cast("string")), F.lit("")) for c, kind in (("doc_id", "long"), ("text", "string"))]
+    return F.md5(F.concat(parts[0], F.lit("|"), parts[1]))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans, ref.
 
@@ -120,36 +169,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     store = scratch(spark)
-    shared = store.store(benchmark_windows(benchmark, window), "windows")
+    shared = store.store(benchmark_fingerprints(benchmark, window), "fingerprints")
     sizes = sorted(r["size"] for r in shared.select("size").distinct().collect())
     marks = sketch.members(shared.select("mark").distinct(), "mark", sketch.bits_for(16 * shared.count()))
 
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    chosen = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("ref"))
-    schema = "doc_id long, ref long, n_words long, places array<struct<h1: long, h2: long, place: int, size: int>>"
+    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _ref(docs).alias("ref"))
+    schema = "doc_id long, ref string, n_words long, places array<struct<mark: long, size: int, place: int, near: binary>>"
     rows = store.store(chosen.mapInArrow(_candidates(spark.sparkContext.broadcast(marks), sizes), schema), "candidates")
 
-    # Windows without their items, one row per window: many items may hold the same window, and many documents.
-    known = shared.select("h1", "h2").distinct()
-    hits = rows.where(F.size("places") > 0).select("ref", F.explode("places").alias("p")).select("ref", "p.*")
-    hits = store.store(hits.join(known, ["h1", "h2"]), "hits")
+    # Items with the same words around a fingerprint are one side of the join, however many they are.
+    known = shared.groupBy("mark", "size", "c1", "c2").agg(F.first("around").alias("around"))
+    places = rows.where(F.size("places") > 0).select("ref", F.explode("places").alias("p")).select("ref", "p.*").distinct()
+    met = places.join(known, ["mark", "size"]).select("ref", "size", "place", "near", "around", "c1", "c2")
+    hits = store.store(met.mapInArrow(_extended, "ref string, a int, b int, c1 long, c2 long"), "hits")
     items = (
-        hits.select("h1", "h2", "ref").distinct()
-        .join(shared.where("item_id IS NOT NULL").select("h1", "h2", "item_id").distinct(), ["h1", "h2"])
+        hits.select("c1", "c2", "ref").distinct()
+        .join(shared.where("item_id IS NOT NULL").select("c1", "c2", "item_id").distinct(), ["c1", "c2"])
         .groupBy("ref").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
-    # Places in order, folded into spans: a place within the open span extends it, another one opens the next.
-    span = F.struct(F.col("place").alias("a"), (F.col("place") + F.col("size")).alias("b"))
     none = F.array().cast("array<struct<a: int, b: int>>")
-
-    def fold(spans, nxt):
-        last = F.try_element_at(spans, F.lit(-1))
-        head = F.slice(spans, F.lit(1), F.size(spans) - 1)
-        longer = F.concat(head, F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], nxt["b"]).alias("b"))))
-        return F.when((F.size(spans) > 0) & (nxt["a"] <= last["b"]), longer).otherwise(F.concat(spans, F.array(nxt)))
-
-    spans = hits.groupBy("ref").agg(F.aggregate(F.sort_array(F.collect_set(span)), none, fold).alias("spans"))
-    found = spans.join(items, "ref", "left")
+    merged = hits.groupBy("ref").agg(F.collect_set(F.struct("a", "b")).alias("hits")).mapInArrow(_merged, "ref string, spans array<struct<a: int, b: int>>")
+    found = merged.join(items, "ref", "left")
     joined = rows.select("doc_id", "ref", "n_words").join(found, "ref", "left")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.aggregate(F.coalesce("spans", none), F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
@@ -168,5 +208,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs``, all columns, whose text has no window of an item."""
-    hit = find_contamination(docs, benchmark, window).where("contaminated").select("ref").distinct()
-    return docs.join(hit, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == hit["ref"], "left_anti")
+    own = free_name(docs.columns, "hit_ref")
+    hit = find_contamination(docs, benchmark, window).where("contaminated").select(F.col("ref").alias(own)).distinct()
+    return docs.join(hit, _ref(docs) == F.col(own), "left_anti")
