@@ -99,7 +99,7 @@ class _Lane:
         while len(known) < n:
             more = _reduced(known.astype(np.uint64) * np.uint64(pow(base, len(known), _PRIME)))
             known = np.r_[known, more.astype(np.uint32)]
-        if len(known) <= 1 << 22:  # longer ones are for single texts and not kept
+        if len(known) <= 1 << 21:  # longer ones are for single texts and not kept
             self.kept[base] = known
         return known[:n]
 
