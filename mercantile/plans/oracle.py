@@ -590,6 +590,8 @@ STATEMENTS["ml_importance_totals"] = """SELECT model, features, total, negative
 FROM (VALUES ('churn', 6::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('clv', 5::BIGINT, 1.0::DOUBLE, 0::BIGINT), ('forecast', 8::BIGINT, 1.0::DOUBLE, 0::BIGINT)) v(model, features, total, negative)"""
 STATEMENTS["marts_published"] = """SELECT 'monthly_revenue' AS mart, count(*) AS rows FROM monthly
 UNION ALL SELECT 'churn_summary', count(*) FROM summary UNION ALL SELECT 'cohort_retention', count(*) FROM retention_label"""
+STATEMENTS["top_categories_layout"] = STATEMENTS["top_categories"]
+STATEMENTS["top_sellers_layout"] = STATEMENTS["top_sellers"]
 STATEMENTS["csv_documents"] = "SELECT doc_id, nullif(text, '') AS text, nullif(lang, '') AS lang, nullif(source, '') AS source, n_chars FROM documents"
 STATEMENTS["stream_call_flags"] = STATEMENTS["usage_call_flags"]
 STATEMENTS["stream_score"] = STATEMENTS["score_customers"]

@@ -242,6 +242,8 @@ def _products() -> dict[str, Callable[[Warehouse], DataFrame]]:
         ),
         "top_categories": lambda w: products.top_categories(w.categories),
         "top_sellers": lambda w: w.top_sellers,
+        "top_categories_layout": lambda w: products.top_categories(w.categories_by_layout),
+        "top_sellers_layout": lambda w: products.top_sellers(w.sellers_by_layout),
         "top_states": lambda w: products.top_states(w.states),
         "category_insights": lambda w: products.category_insights(w.categories),
         "seller_insights": lambda w: products.seller_insights(w.top_sellers),

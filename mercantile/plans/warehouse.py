@@ -14,6 +14,7 @@ from mercantile.ml import churn_model, features
 from mercantile.ml.store import ModelStore
 from mercantile.operators import churn, cohorts, customers, products, revenue, rfm, scoring
 from mercantile.operators.cleaning import DELIVERED
+from mercantile.sources.layout import OrderLayout
 from mercantile.sources.retail import RetailTables
 from mercantile.sources.scratch import Scratch
 
@@ -129,6 +130,21 @@ class Warehouse:
 
     # Products
 
+    @cached_property
+    def layout(self) -> OrderLayout:
+        """Orders and items bucketed by order, for several reports on items."""
+        t = self.tables
+        facts = self.order_facts(payments=False, status=DELIVERED)
+        return OrderLayout(self.spark, self.scratch).build(facts, t.order_items, t.products)
+
+    @cached_property
+    def categories_by_layout(self) -> DataFrame:
+        return products.category_performance_by_layout(self.layout.orders, self.layout.lines, self.tables.category_translation)
+
+    @cached_property
+    def sellers_by_layout(self) -> DataFrame:
+        return products.seller_performance(self.layout.orders, self.layout.lines, self.tables.sellers, self.scratch)
+
     @cached_property
     def categories(self) -> DataFrame:
         t = self.tables
