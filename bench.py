@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -46,6 +47,11 @@ HEADLINES = [
     "executive_summary",
     "usage_metering",
     "usage_call_flags",
+    "csv_documents",
+    "customer_page_deep",
+    "top_categories_layout",
+    "ml_folds",
+    "stream_call_flags",
     "ml_standardize",
     "eval_ranking",
     "ml_churn_train",
@@ -64,6 +70,8 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A folder of its own, so that no model of an earlier run is found.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         # Call-site capture costs a millisecond or more for every column operation.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
