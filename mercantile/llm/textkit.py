@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+_PART = 1 << 16
 
 _PRIME = (1 << 31) - 1
 _P, _31 = np.uint64(_PRIME), np.uint64(31)
@@ -99,7 +100,7 @@ class _Lane:
         while len(known) < n:
             more = _reduced(known.astype(np.uint64) * np.uint64(pow(base, len(known), _PRIME)))
             known = np.r_[known, more.astype(np.uint32)]
-        if len(known) <= 1 << 21:  # longer ones are for single texts and not kept
+        if len(known) <= SLICE_BYTES:  # longer ones are for single texts and not kept
             self.kept[base] = known
         return known[:n]
 
@@ -109,13 +110,16 @@ class _Lane:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         """Sums of the terms before each byte, not reduced: terms are below 2**32, so sums of 2**31 of them are in order."""
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        terms = self.values[data]
-        terms *= self._upto(self.base, len(data))
-        high = terms >> _31
-        terms &= _P
-        terms += high
-        np.cumsum(terms, out=total[1:])
+        total, powers = np.zeros(len(data) + 1, dtype=np.uint64), self._upto(self.base, len(data))
+        for a in range(0, len(data), _PART):  # small parts stay in the processor's cache
+            terms = self.values[data[a : a + _PART]]
+            terms *= powers[a : a + _PART]
+            high = terms >> _31
+            terms &= _P
+            terms += high
+            part = total[a + 1 : a + 1 + len(terms)]
+            np.cumsum(terms, out=part)
+            part += total[a]
         return total
 
     def moved(self, sums: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -193,12 +197,12 @@ class Hashes:
         self.lanes = [(lane, lane.sums(data)) for lane in _LANES[2 * key : 2 * key + 2]]
 
     @staticmethod
-    def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix((first << _31) | second)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of each span of bytes; equal bytes have equal hashes."""
-        return self._joined(*(lane.moved(total[end] - total[start], start) for lane, total in self.lanes))
+        return self.joined(*(lane.moved(total[end] - total[start], start) for lane, total in self.lanes))
 
     def without(self, start: np.ndarray, cut: np.ndarray, rest: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash that ``spans`` gives the bytes from ``start`` to ``cut`` followed by those from ``rest`` to ``end``."""
@@ -207,7 +211,7 @@ class Hashes:
             # What stands behind the left-out bytes moves forward by their number.
             moved = lane.moved(total[end] - total[rest], rest - cut)
             out.append(lane.moved(_reduced(total[cut] - total[start]) + moved, start))
-        return self._joined(*out)
+        return self.joined(*out)
 
 
     def edited(self, start: np.ndarray, cut: np.ndarray, byte: int, rest: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -217,12 +221,16 @@ class Hashes:
             own = lane.values[byte] * lane.upto(cut)
             moved = _reduced(lane.moved(total[end] - total[rest], rest - cut) * np.uint64(lane.base))
             out.append(lane.moved(_reduced(total[cut] - total[start]) + _reduced(own) + moved, start))
-        return self._joined(*out)
+        return self.joined(*out)
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal bytes have equal hashes."""
-    return Hashes(data, key).spans(start, end)
+    out = []
+    for lane in _LANES[2 * key : 2 * key + 2]:  # one after the other, which takes less memory than ``Hashes``
+        total = lane.sums(data)
+        out.append(lane.moved(total[end] - total[start], start))
+    return Hashes.joined(*out)
 
 
 def hash_without(data: np.ndarray, start: np.ndarray, cut: np.ndarray, rest: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
