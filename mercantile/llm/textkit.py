@@ -13,6 +13,7 @@ tasks, executors and reruns.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,6 +131,17 @@ class _Lane:
 _LANES = [_Lane() for _ in range(4)]
 
 
+#: glibc's call that hands freed memory back; other C libraries lack it.
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: a worker lives on through many tasks, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and the n + 1 offsets of its rows; NULL has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -155,6 +167,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
+    if len(data) > SLICE_BYTES:
+        give_back()
 
 
 @dataclass
