@@ -184,13 +184,25 @@ def test_token_counts(docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    for pieces in (token_counts.model_pieces(path), [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("é", -3.0)]):
-        real = Tokenizer(models.Unigram(pieces, 0, False))
+    own = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("é", -3.0)]
+    every_byte = own + [(f"<0x{b:02X}>", -4.0) for b in range(256)]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for pieces, by_byte in ((token_counts.model_pieces(path), True), (own, False), (every_byte, True)):
+        real = Tokenizer(models.Unigram(pieces, 0, by_byte))
         real.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-        texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-        for r in token_counts.count_tokens(docs, pieces).collect():
+        found = token_counts.count_tokens(docs, pieces).collect()
+        for r in found:
             if r["doc_id"] not in (None, 3):
                 assert r["n_tokens"] == len(real.encode(texts[r["doc_id"]] or "").ids)
+        counter = token_counts.Counter(pieces)
+        for text in ("<unk>", "é<unk>", "<unk>日", "<unk><unk>", "a<unk>b", "日本a日", "<0x41>", "日" * 500, "🙂b🙂🙂"):
+            assert counter.text(text)[0] == len(real.encode(text).ids), text
+    # The score is that of the tokens, where none is unknown.
+    pieces = dict(token_counts.model_pieces(path))
+    real = Tokenizer(models.Unigram(list(pieces.items()), 0, True))
+    real.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    for text in ("the quick brown fox", "a b", "One."):
+        assert token_counts.Counter(list(pieces.items())).text(text)[1] == pytest.approx(sum(pieces[t] for t in real.encode(text).tokens))
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
