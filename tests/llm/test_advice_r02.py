@@ -76,7 +76,7 @@ def test_mix_goes_by_row(spark):
         rows += [([None, 3, k][k % 3], source, " ".join(["w"] * int(rng.integers(1, 30)) + [f"{source}{k // 2}"])) for k in range(n)]
     rows += [(None, "a", "one and the same")] * 25
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
-    taken = mixing.word_counts(corpus_pipeline.mixed(spark, docs, ""), "source").groupBy("source").sum("size").collect()
+    taken = mixing.word_counts(corpus_pipeline.mixed(spark, docs, "/root/testdata/sf0.001"), "source").groupBy("source").sum("size").collect()
     sizes = mixing.word_counts(docs, "doc_id", "source").selectExpr("*", "1.0D AS weight")
     targets = {r["source"]: r["target"] for r in mixing.mix(sizes).select("source", "target").distinct().collect()}
     assert len({r["copies"] for r in mixing.mix(sizes).collect()}) > 2
