@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from mercantile.llm import bpe, decontamination, language, lexical, line_dedup, mixing, near_dedup, nearest, quality, spelling, substring_dedup, token_counts, token_files
 from mercantile.llm.tables import table
 
@@ -73,6 +72,8 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # the stages lie outside of this package, which the other queries do not need
+
     return corpus_pipeline.run(spark, folder)
 
 
