@@ -12,6 +12,9 @@ Words are distinct runs of letters with their numbers of occurrences.
 3. Variants whose key no word has are dropped by a bitmap first; the join is exact without it, only longer.
 4. Pairs are verified on the original strings.
 
+All tables that grow with the vocabulary are joined by sorting, as the driver would have to hold what is broadcast, many times larger
+than its file. What it holds is the bitmap alone, of at most 2 * 2**KNOWN_BITS bits (32 MB).
+
 A word's form is its near word of the most occurrences (of equal ones the first in code-point order), if it has at least ``TIMES`` as many as the
 word. Counts at least double from form to form, so the root is found by doubling pointers a few times.
 
@@ -38,6 +41,7 @@ from mercantile.llm.textkit import Hashes, lowered, mix, signed, slices
 LEAST_LETTERS, LEAST_TIMES, TIMES = 5, 3, 2
 MISSPELT = 97
 SYMBOLS = 8
+KNOWN_BITS = 27
 _SLICE, _VARIANTS = 8 << 20, 600_000
 
 
@@ -232,10 +236,10 @@ def near_words(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     store = scratch(spark)
     entries = store.store(words.select("word", "n").mapInArrow(_entries, "key long, word string, n long"), "entries")
-    known = sketch.members(entries, "key", sketch.bits_for(8 * entries.count()))
+    known = sketch.members(entries, "key", min(KNOWN_BITS, sketch.bits_for(8 * entries.count())))
     asked = words.select("word", "n").mapInArrow(_variants(spark.sparkContext.broadcast(known)), "key long, word string, n long")
     others = entries.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = asked.join(others, "key").where("word <> other").select("word", "n", "other", "other_n")
+    met = asked.join(others.hint("merge"), "key").where("word <> other").select("word", "n", "other", "other_n")
     return met.mapInArrow(_verified, "word string, n long, other string, other_n long").distinct()
 
 
@@ -245,7 +249,7 @@ def roots(formed: DataFrame) -> DataFrame:
     at = store.store(formed.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = at.select(F.col("word").alias("step"), F.col("root").alias("next"))
-        moved = store.store(at.join(on, F.col("root") == F.col("step"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = store.store(at.join(on.hint("merge"), F.col("root") == F.col("step"), "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if moved.where("moved").isEmpty():
             return at
         at = moved.select("word", "root")
@@ -260,5 +264,5 @@ def group_variants(docs: DataFrame, times: int = TIMES) -> DataFrame:
     form = F.when(-F.col("best.less") >= times * F.col("n"), F.col("best.other"))
     near = store.store(near.select(F.col("word").alias("of"), "n_near", form.alias("form"), F.when(form.isNotNull(), -F.col("best.less")).alias("form_n")), "near")
     last = roots(near.where("form IS NOT NULL").select(F.col("of").alias("word"), "form")).withColumnRenamed("word", "at")
-    met = words.join(near, F.col("word") == F.col("of"), "left").join(last, F.col("word") == F.col("at"), "left")
+    met = words.join(near.hint("merge"), F.col("word") == F.col("of"), "left").join(last.hint("merge"), F.col("word") == F.col("at"), "left")
     return met.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

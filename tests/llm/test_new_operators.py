@@ -12,7 +12,8 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from mercantile.llm import bpe, edits, lexical, parts, queries, spelling
+from mercantile.llm import bpe, edits, lexical, parts, queries, sketch, spelling
+from mercantile.sources.scratch import Scratch
 from tests.llm import brute
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -262,6 +263,30 @@ def test_spelling_query(spark):
     assert sorted(map(tuple, got.collect()), key=str) == variants(rows)
 
 
+def test_no_table_of_spelling_variants_is_broadcast(spark, monkeypatch):
+    # Broadcast tables are collected on the driver, and these grow with the vocabulary.
+    plans, plain = [], Scratch.store
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(self, df, name)
+
+    monkeypatch.setattr(Scratch, "store", noted)
+    table = spark.createDataFrame(misspelt_documents(spark), "doc_id long, text string")
+    plans.append(spelling.group_variants(table)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_bitmap_of_spelling_variants_is_bounded(spark, monkeypatch):
+    asked, plain = [], sketch.members
+    monkeypatch.setattr(sketch, "members", lambda keys, column, bits, lines=2: asked.append(bits) or plain(keys, column, bits, lines))
+    monkeypatch.setattr(spelling, "KNOWN_BITS", sketch.LEAST_BITS - 6)  # a bitmap that nearly every variant passes
+    rows = misspelt_documents(spark)
+    got = spelling.group_variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == variants(rows) and asked == [10]
+
+
 def test_one_edit_apart():
     rng = random.Random(2)
     pairs = [tuple("".join(rng.choice("abé") for _ in range(rng.randint(0, 4))) for _ in range(2)) for _ in range(2000)]
