@@ -16,7 +16,7 @@ from mercantile.functions.expressions import risk_level
 from mercantile.ml import metrics, split
 from mercantile.ml.features import churn_feature_names, prepare_churn
 from mercantile.ml.importances import feature_importances
-from mercantile.ml.parallel import FIT_PARTITIONS, spread
+from mercantile.ml.parallel import FIT_PARTITIONS, FOREST, spread
 from mercantile.ml.store import ModelStore
 from mercantile.sources.scratch import Scratch
 
@@ -80,6 +80,7 @@ def fit(
         minInstancesPerNode=2,
         maxMemoryInMB=512,
         seed=seed,
+        **FOREST,
     )
     stages = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest])
     if store is None:

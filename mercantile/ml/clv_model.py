@@ -14,7 +14,7 @@ from mercantile.functions.expressions import ltv_level
 from mercantile.ml import metrics, split
 from mercantile.ml.features import clv_feature_names, clv_training_set, impute_median
 from mercantile.ml.importances import feature_importances
-from mercantile.ml.parallel import FIT_PARTITIONS, spread
+from mercantile.ml.parallel import FIT_PARTITIONS, FOREST, spread
 from mercantile.ml.store import ModelStore
 from mercantile.sources.scratch import Scratch
 
@@ -66,7 +66,7 @@ def fitted(
     marked = split.stratified(kept.withColumn("one_class", F.lit(0)), KEY, "one_class", scratch, test_share)
     marked = scratch.store(marked, "clv_split")
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=8, seed=42, maxMemoryInMB=512
+        featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=8, seed=42, maxMemoryInMB=512, **FOREST
     )
     stages = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest])
     rows = marked.where("split = 'train'")

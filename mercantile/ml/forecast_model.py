@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mercantile.ml import metrics
 from mercantile.ml.importances import feature_importances
-from mercantile.ml.parallel import FIT_PARTITIONS, spread
+from mercantile.ml.parallel import FIT_PARTITIONS, FOREST, spread
 from mercantile.ml.store import ModelStore
 from mercantile.operators.revenue import rolling, rolling_mean
 from mercantile.sources.scratch import Scratch
@@ -119,7 +119,7 @@ def train(
     )
     rows = scratch.store(rows, "forecast_rows")
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=10, seed=42, maxMemoryInMB=512
+        featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=10, seed=42, maxMemoryInMB=512, **FOREST
     )
     stages = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest])
     known = rows.where("NOT is_test")

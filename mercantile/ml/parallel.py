@@ -1,4 +1,4 @@
-"""Partitions of model fits."""
+"""Partitions and settings of model fits."""
 
 from __future__ import annotations
 
@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 #: cluster with more cores than this passes a larger number as ``partitions``, and then gets another, equally good model.
 FIT_PARTITIONS = 16
 
+#: Settings of every forest. Rows keep the node that they are in, by tree, so a level moves them one step instead of walking each
+#: tree from its root; the trees are the same. Trees are at most ten levels deep, so lost nodes are found again from the cached rows
+#: and none are written to the checkpoint folder.
+FOREST = {"cacheNodeIds": True, "checkpointInterval": -1}
+
 
 def spread(df: DataFrame, *keys: str, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """``df`` dealt to a fixed number of partitions by ``keys``, in their order within each."""
