@@ -96,9 +96,9 @@ def prepared_split(
     use_time_split: bool = False,
     test_share: float = 0.2,
 ) -> tuple[DataFrame, list[str]]:
-    """Filled features with a train/test mark, stored: the fit reads them several times."""
+    """Filled features with a train/test mark, stored: the fit reads them several times. Pass stored ``customers``."""
     features = churn_feature_names(customers.columns, exclude_time)
-    filled = scratch.store(prepare_churn(customers, features, scratch), "churn_filled")
+    filled = prepare_churn(customers, features, scratch)
     if use_time_split and "recency_days" in customers.columns:
         marked = split.by_recency(filled, KEY, scratch, test_share)
     else:

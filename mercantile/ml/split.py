@@ -22,6 +22,7 @@ def by_recency(df: DataFrame, key: str, scratch: Scratch, test_share: float = 0.
         key,
         lambda n: int(n * (1 - test_share)),
         scratch,
+        bucket=lambda days: F.floor(days / 32),
     )
 
 
@@ -38,6 +39,7 @@ def stratified(
         names=("test", "train"),
         within=label,
         key_type="string",
+        bucket=lambda digits: F.substring(digits, 1, 3),
     )
 
 

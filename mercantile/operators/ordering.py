@@ -145,6 +145,30 @@ def add_tiles(
     return df.withColumns(numbers)
 
 
+def _rows_of_the_bucket(rows: DataFrame, bucket: Column, position: Callable[[int], int]) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
+    """By ordering: the rows of the bucket that holds ``position(row count)``, that place within the bucket, and the row count.
+
+    A bucket of NULL comes first, as NULL keys do. One count per ordering and bucket reaches the driver.
+    """
+    counts = rows.groupBy("ordering", bucket.alias("bucket")).agg(row_count().alias("n")).collect()
+    counts.sort(key=lambda c: (c["bucket"] is not None, 0 if c["bucket"] is None else c["bucket"]))
+    totals: dict[str, int] = {}
+    for c in counts:
+        totals[c["ordering"]] = totals.get(c["ordering"], 0) + c["n"]
+    places = {name: position(total) for name, total in totals.items()}
+    held, passed = F.lit(False), set()
+    for c in counts:
+        name = c["ordering"]
+        if name in passed:
+            continue
+        if places[name] < c["n"]:
+            held = held | ((F.col("ordering") == name) & bucket.eqNullSafe(F.lit(c["bucket"])))
+            passed.add(name)
+        else:
+            places[name] -= c["n"]
+    return rows.where(held), places, totals
+
+
 def split_at_position(
     df: DataFrame,
     key: Column,
@@ -154,18 +178,27 @@ def split_at_position(
     names: tuple[str, str] = ("train", "test"),
     within: str | None = None,
     key_type: str = "decimal(38,2)",
+    bucket: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Adds ``split``: the first name for rows before ``position(row count)`` by key, else the second.
 
     With ``within`` the rows of each value of that column are split on their own; use it for columns
-    of few values, such as class labels. Pass a stored ``df``, for it is read twice.
+    of few values, such as class labels. ``bucket`` maps a key to one of a few values in the order of the keys (a number, or
+    ASCII text): then rows are counted by bucket, and only those of the bucket that holds the position are laid out in order.
+    Pass a stored ``df``, for it is read three times.
     """
     group = F.lit("all") if within is None else F.coalesce(F.col(within).cast("string"), F.lit("missing"))
     rows = df.select(
         group.alias("ordering"), key.cast(key_type).alias("key"), tiebreak, F.lit(1).cast("long").alias("weight")
     )
-    layout = range_layout(rows, ["ordering", "key", tiebreak], scratch, "split")
-    cuts, totals = rows_at_positions(layout, ["key", tiebreak], lambda _, total: {"cut": position(total)})
+    if bucket is None:
+        layout = range_layout(rows, ["ordering", "key", tiebreak], scratch, "split")
+        cuts, totals = rows_at_positions(layout, ["key", tiebreak], lambda _, total: {"cut": position(total)})
+    else:
+        held, places, totals = _rows_of_the_bucket(rows, bucket(F.col("key")), position)
+        # Stored first, as ranges are found by one more read.
+        layout = range_layout(scratch.store(held, "split_bucket"), ["ordering", "key", tiebreak], scratch, "split")
+        cuts, _ = rows_at_positions(layout, ["key", tiebreak], lambda name, _: {"cut": places[name]})
     later = F.lit(False)
     for name in totals:
         reached = _reaches(df, key, key_type, tiebreak, cuts.get((name, "cut")))
