@@ -2,12 +2,13 @@
 
 import glob
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from mercantile.ml import churn_model, split
+from mercantile.ml import churn_model, parallel, split
 from mercantile.operators.ordering import split_at_position
 from test_models import customers
 
@@ -58,3 +59,28 @@ def test_filled_customers_are_not_stored_twice(spark, scratch):
     churn_model.prepared_split(customers(spark), scratch, exclude_time=True)
     assert stored_rows(spark, scratch, "churn_split") == (300, 1)
     assert stored_rows(spark, scratch, "churn_filled") == (0, 0)
+
+
+def test_jobs_together_overlap_and_keep_their_order(spark):
+    meet = threading.Barrier(2, timeout=60)
+
+    def job(k):
+        meet.wait()
+        return spark.range(k).count()
+
+    assert parallel.together(spark, [lambda k=k: job(k) for k in range(4)]) == [0, 1, 2, 3]
+
+
+def test_two_folds_are_fitted_at_once_with_the_same_scores(spark, scratch, monkeypatch):
+    meet, plain, together = threading.Barrier(2, timeout=120), churn_model.fit, churn_model.together
+
+    def fit(*args, **kwargs):
+        meet.wait()
+        return plain(*args, **kwargs)
+
+    df = scratch.store(customers(spark, 200), "people")
+    monkeypatch.setattr(churn_model, "together", lambda spark, jobs: [job() for job in jobs])
+    one_by_one = rows(churn_model.cross_validate(df, scratch, folds=2, trees=3))
+    monkeypatch.setattr(churn_model, "together", together)
+    monkeypatch.setattr(churn_model, "fit", fit)
+    assert rows(churn_model.cross_validate(df, scratch, folds=2, trees=3)) == one_by_one
