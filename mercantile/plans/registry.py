@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from mercantile.functions.expressions import churn_score, ratio, round_to
 from mercantile.ml import churn_model, clv_model, features, forecast_model, metrics, split
+from mercantile.ml.parallel import together
 from mercantile.operators import (
     audits,
     campaigns,
@@ -48,7 +50,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 # Queries that build several marts from the order facts.
-MANY_MARTS = {"executive_summary", "report_kpis"}
+MANY_MARTS = {"executive_summary", "report_kpis", "ml_importance_totals"}
 
 
 def warehouse(spark: SparkSession, directory: str, store_facts: bool = False) -> Warehouse:
@@ -399,13 +401,16 @@ def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
         model, people = clv(w)
         return model.importances(people)
 
+    def forecast_importances(w: Warehouse) -> DataFrame:
+        return forecast(w)[0].importances(w.monthly_by_category)
+
     def importance_totals(w: Warehouse) -> DataFrame:
         """What holds for the importances of any forest: none below 0, together 1."""
-        people_model, people = clv(w)
-        found = {"churn": importances(w), "clv": people_model.importances(people), "forecast": forecast(w)[0].importances(people)}
+        w.order_facts()  # stored before the fits run at once: all three start from them
+        fits = {"churn": importances, "clv": clv_importances, "forecast": forecast_importances}
+        found = dict(zip(fits, together(w.spark, [partial(fit, w) for fit in fits.values()]), strict=True))
         parts = [rows.select(F.lit(name).alias("model"), "feature", "importance") for name, rows in found.items()]
-        together = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        return together.groupBy("model").agg(
+        return reduce(DataFrame.unionByName, parts).groupBy("model").agg(
             F.count(F.lit(1)).alias("features"), round_to(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative")
         )
 
@@ -452,7 +457,7 @@ def _models() -> dict[str, Callable[[Warehouse], DataFrame]]:
         "ml_forecast": lambda w: forecast(w)[1],
         "ml_forecast_recursive": lambda w: forecast(w)[0].forecast(6),
         "ml_forecast_horizons": horizons,
-        "ml_forecast_importance": lambda w: forecast(w)[0].importances(w.monthly_by_category),
+        "ml_forecast_importance": forecast_importances,
         "ml_clv": lambda w: clv_model.train(clv_model.clv_customers(w.retention_base), w.scratch, store=w.models)[1],
         "ml_clv_score": clv_scores,
         "ml_clv_checks": clv_checks,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from mercantile.ml import churn_model, parallel, split
 from mercantile.operators.ordering import split_at_position
+from mercantile.plans import registry
+from mercantile.sources.retail import StarSchemaRetail
 from test_models import customers
 
 
@@ -84,3 +86,11 @@ def test_two_folds_are_fitted_at_once_with_the_same_scores(spark, scratch, monke
     monkeypatch.setattr(churn_model, "together", together)
     monkeypatch.setattr(churn_model, "fit", fit)
     assert rows(churn_model.cross_validate(df, scratch, folds=2, trees=3)) == one_by_one
+
+
+def test_importance_totals_take_the_order_facts_once(spark, monkeypatch):
+    asked, plain = [], StarSchemaRetail.order_facts
+    monkeypatch.setattr(StarSchemaRetail, "order_facts", lambda self, *a, **k: asked.append(a) or plain(self, *a, **k))
+    got = rows(registry.all_queries()["ml_importance_totals"](spark, "/root/testdata/sf0.001"))
+    assert got == [("churn", 6, 1.0, 0), ("clv", 5, 1.0, 0), ("forecast", 8, 1.0, 0)]
+    assert len(asked) == 1
