@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[0x21:0x7F] = 3
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _KIND[0x30:0x3A] = 2
+_KINDS = _KIND.tobytes()
 
 
 def _white_after(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -55,37 +58,51 @@ def _lone(data: np.ndarray, white: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return white[~before & ~_white_after(first, second)]
 
 
-def cut_places(data: np.ndarray, at: np.ndarray, added: re.Pattern | None = None) -> np.ndarray:
+class Added(NamedTuple):
+    """Strings of added tokens, and what finds them in bytes, also overlapping ones; the longest at a place."""
+
+    strings: list[bytes]
+    pattern: re.Pattern
+
+    def within(self, raw: bytes) -> Iterator[re.Match]:
+        # Most texts have none, which a plain search tells much faster than a pattern that tries every place.
+        return self.pattern.finditer(raw) if any(t in raw for t in self.strings) else iter(())
+
+
+def cut_places(data: np.ndarray, at: np.ndarray, added: Added | None = None) -> np.ndarray:
     """Places before which texts may be cut, other than their own begin. ``added`` finds strings that stay whole."""
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[at] = True
-    kind = _KIND[data]
+    raw = data.tobytes()
+    kind = np.frombuffer(raw.translate(_KINDS), dtype=np.uint8)
     between = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (data[:-1] != 0x27)) + 1
     feeds = _lone(data, np.flatnonzero((data >= 9) & (data <= 13)), edge)
     places = np.concatenate([between[~edge[between]], _lone(data, np.flatnonzero(data == 32), edge), feeds, feeds + 1])
     if added is not None:
         inside = np.zeros(len(data) + 1, dtype=bool)
-        for found in added.finditer(data.tobytes()):
+        for found in added.within(raw):
             # An overlapping look-ahead: each string is the group, also where another one began before.
             inside[found.start() + 1 : found.end(1)] = True
         places = places[~inside[places]]
     return places
 
 
-def cut(data: np.ndarray, at: np.ndarray, added: re.Pattern | None = None, whole: bool = False) -> tuple[pa.Array, np.ndarray]:
+def cut(data: np.ndarray, at: np.ndarray, added: Added | None = None, whole: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The parts of all texts in order, as binary, and the number of each text's first part (their total at the end)."""
     starts = at[:-1][np.diff(at) > 0]
     if not whole and len(data):
-        starts = np.sort(np.concatenate([starts, cut_places(data, at, added)]))
+        begins = np.zeros(len(data), dtype=bool)
+        begins[starts] = begins[cut_places(data, at, added)] = True
+        starts = np.flatnonzero(begins)
     offsets = np.r_[starts, len(data)].astype(np.int32)
     parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     return parts, np.searchsorted(starts, at)
 
 
-def pattern_of(added: Sequence[str]) -> re.Pattern | None:
-    """What finds the strings of added tokens in bytes, also overlapping ones; the longest at a place."""
+def pattern_of(added: Sequence[str]) -> Added | None:
+    """What finds the strings of added tokens; None if there are none."""
     longest = sorted((t.encode() for t in added), key=len, reverse=True)
-    return re.compile(b"(?=(" + b"|".join(map(re.escape, longest)) + b"))") if longest else None
+    return Added(longest, re.compile(b"(?=(" + b"|".join(map(re.escape, longest)) + b"))")) if longest else None
 
 
 class PartIds:
@@ -103,8 +120,7 @@ class PartIds:
         """Where each of these distinct parts is in the memory; new ones are encoded together."""
         if len(self.begin) > MOST_PARTS or len(self.flat) > MOST_IDS:
             self._forget()
-        get = self.known.get
-        place = np.array([get(p, -1) for p in parts], dtype=np.int64)
+        place = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
         absent = np.flatnonzero(place < 0)
         if len(absent):
             new = [parts[k] for k in absent.tolist()]
@@ -121,7 +137,7 @@ class PartIds:
         for first, end, data, at in slices(column, SLICE_BYTES):
             parts, bounds = cut(data, at, self.added, self.whole)
             found = parts.dictionary_encode()
-            place = self._places(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+            place = self._places(found.dictionary.to_numpy(zero_copy_only=False).tolist())[found.indices.to_numpy(zero_copy_only=False)]
             sizes = self.size[place]
             ends = np.r_[0, np.cumsum(sizes)]
             spots = np.repeat(self.begin[place] - ends[:-1], sizes)

@@ -44,6 +44,8 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
 END_ID = 2
 _GROUP = 64
+#: Parts of texts that one call of the tokenizer encodes.
+_AT_ONCE = 50
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -164,12 +166,27 @@ class Encoder:
         plain = spec["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts["add_prefix_space"]
         plain &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         self.ids = PartIds(self._encode, [t["content"] for t in added], whole=not plain)
+        # What stands on one side of an added token has no say in the ids of the other side, so it may divide parts that are encoded
+        # in one call. It must be the only one and not begin within itself: then it begins at the dividers and within parts, nowhere else.
+        alone = plain and len(added) == 1 and added[0]["content"][0] not in added[0]["content"][1:]
+        alone &= spec["truncation"] is None and spec["padding"] is None
+        self.divider, self.divider_id = (added[0]["content"], added[0]["id"]) if alone else (None, -1)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, parts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts, and each part's number of them."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+        texts = [p.decode() for p in parts]
+        if self.divider is None or any(self.divider in t for t in texts):
+            found = self._ids(texts)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+        # Every joined text ends with a divider, so each part has one behind it.
+        joined = [self.divider.join([*texts[k : k + _AT_ONCE], ""]) for k in range(0, len(texts), _AT_ONCE)]
+        ids = np.fromiter(chain.from_iterable(self._ids(joined)), np.uint32)
+        ends = np.flatnonzero(ids == self.divider_id)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
 
 _ENCODERS: dict[str, Encoder] = {}
