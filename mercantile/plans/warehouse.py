@@ -194,7 +194,9 @@ class Warehouse:
         """Every customer with the probability of the churn model without time features."""
         model = self.churn_model
         filled = features.prepare_churn(self.churn_raw, model.features, self.scratch)
-        return self.scratch.store(model.score(filled), "model_probability")
+        # Customers that are alike take the same paths through the trees, whose nodes then stay in a core's cache.
+        alike = filled.sortWithinPartitions(*model.features)
+        return self.scratch.store(model.score(alike), "model_probability")
 
     @cached_property
     def segment_probability(self) -> DataFrame:

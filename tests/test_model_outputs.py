@@ -1,7 +1,12 @@
 """Customer-facing outputs from the fitted model's probability."""
 
+import glob
+
+import pyarrow.parquet as pq
 import pytest
 
+from conftest import rows
+from mercantile.ml.features import prepare_churn
 from mercantile.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,3 +40,14 @@ def test_model_outputs(found):
     detail = {r["customer_unique_id"]: r["model_risk"] for r in found("ml_customer_detail")}
     assert detail and any(detail.values())
     assert detail == {i: scores.get(i) for i in detail}
+
+
+def test_customers_are_scored_in_the_order_of_their_features(spark):
+    w = registry.warehouse(spark, FOLDER)
+    got, model = w.model_probability, w.churn_model
+    plain = model.score(prepare_churn(w.churn_raw, model.features, w.scratch))
+    assert rows(got, *sorted(got.columns)) == rows(plain, *sorted(got.columns))
+    for path in glob.glob(f"{w.scratch.folder.removeprefix('file:')}/model_probability-*/*.parquet"):
+        held = [tuple(r.values()) for r in pq.read_table(path, columns=model.features).select(model.features).to_pylist()]
+        assert len(held) > 20 and held == sorted(held)
+        assert held != [tuple(r[f] for f in model.features) for r in plain.collect()]
