@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from mercantile.llm import sketch
-from mercantile.llm.components import connected_components
+from mercantile.llm.components import star_forest
 from mercantile.llm.tables import free_name, scratch
 from mercantile.llm.textkit import LETTERS_AND_DIGITS, SLICE_BYTES, find_words, hash_runs, hash_spans, lowered, mix, run_starts, signed, slices, utf8
 
@@ -282,17 +282,19 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     degrees = met.groupBy("node").agg(F.sum("n").alias("degree")).withColumnRenamed("node", "of")
     ranked = met.join(degrees, F.col("node") == F.col("of")).select("key", "node", "degree")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("pivot")).select(F.col("key").alias("shared"), F.col("pivot.node").alias("pivot"))
+    met = store.store(met.join(pivots, F.col("key") == F.col("shared")).select("key", "node", "pivot"), "spokes")
     low, high = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-    stars = met.join(pivots, F.col("key") == F.col("shared")).where("node <> pivot").select(low, high).distinct()
-    stars = store.store(stars, "stars")
+    stars = store.store(met.where("node <> pivot").select(low, high).distinct(), "stars")
+
+    # All pairs below are of nodes of the stars. Only texts of these are shuffled.
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    wanted = store.store(nodes.select("node", "ref").join(wanted, "node"), "wanted")
+    found = sketch.members(wanted, "ref", sketch.bits_for(4 * wanted.count()))
+    texts = chosen.mapInArrow(_wanted(spark.sparkContext.broadcast(found)), "ref long, text string")
+    texts = store.store(texts.join(wanted, "ref").dropDuplicates(["ref"]).select("node", "text"), "texts")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes with their texts. Only texts of nodes in a pair are shuffled."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = store.store(nodes.select("node", "ref").join(wanted, "node"), "wanted")
-        found = sketch.members(wanted, "ref", sketch.bits_for(4 * wanted.count()))
-        texts = chosen.mapInArrow(_wanted(spark.sparkContext.broadcast(found)), "ref long, text string")
-        texts = store.store(texts.join(wanted, "ref").dropDuplicates(["ref"]).select("node", "text"), "texts")
+        """The pairs (a, b) of nodes with their texts."""
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -300,20 +302,21 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         return store.store(with_texts(pairs).mapInArrow(_similar(least), "a long, b long"), "links")
 
-    def rooted(links: DataFrame) -> DataFrame:
-        return store.store(connected_components(links, store), "roots").withColumnRenamed("node", "of")
+    def rooted(forest: DataFrame) -> DataFrame:
+        """(of, root) of every node that is not the root of its component."""
+        return forest.select(F.col("b").alias("of"), F.col("a").alias("root"))
 
-    def unsettled(groups: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    def unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
         """The groups, by key, whose nodes are in different components; each row with its node's root and the group's size n."""
         placed = groups.join(roots, F.col("node") == F.col("of"), "left").select(groups["*"], F.coalesce("root", "node").alias("root"))
         held = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("n"))
         open_ = held.where("open").select(F.col("key").alias("shared"), "n")
-        return store.store(placed.join(open_, F.col("key") == F.col("shared")).drop("shared"), name)
+        return placed.join(open_, F.col("key") == F.col("shared")).drop("shared")
 
-    links = verified(stars)
-    roots = rooted(links)
-    far = unsettled(met.select("key", "node"), roots, "open").join(pivots, F.col("key") == F.col("shared")).where("node <> pivot")
-    far = store.store(far.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "far")
+    forest = star_forest(verified(stars), store)
+    roots = rooted(forest)
+    far = unsettled(met, roots).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    far = store.store(far.distinct(), "far")
     if not far.isEmpty():
         columns = (
             "pivot long, node long, linked boolean, whole long, size long, own long, most_added long, most_lacked long, "
@@ -344,21 +347,20 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         def renamed(rows: DataFrame, *more: str) -> DataFrame:
             return rows.select("key", *(F.col(c).alias(c + "_2") for c in ("node", "root", "linked", "size", "own", *more)))
 
-        index = unsettled(index, roots, "index")
+        index = store.store(unsettled(index, roots), "index")
         most = index.groupBy("node").agg(F.count("*").alias("degree"))
         ranked = index.join(most, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "root", "linked", "size", "own")).alias("lead"))
         pairs = agreed(index.join(renamed(ranked.select("key", "lead.*")), "key").where("node <> node_2"), fits)
         if not pairs.isEmpty():
-            links, done = links.unionByName(verified(pairs)), done.unionByName(pairs)
-            roots = rooted(links)
-            index = unsettled(index.drop("root", "n"), roots, "index")
+            forest, done = star_forest(forest.unionByName(verified(pairs)), store), done.unionByName(pairs)
+            roots = rooted(forest)
+            index = store.store(unsettled(index.drop("root", "n"), roots), "index")
         last_first = Window.partitionBy("pivot", "node", "adds").orderBy(F.desc("n"), F.desc("key"))
         index = index.withColumn("left", F.row_number().over(last_first))
         index = store.store(index.where("left > CASE WHEN adds THEN size ELSE whole END - own - most"), "first")
         pairs = agreed(index.join(renamed(index, "left"), "key").where("node < node_2"), fits_first)
         if not pairs.isEmpty():
-            links = links.unionByName(verified(pairs))
-            roots = rooted(links)
+            roots = rooted(star_forest(forest.unionByName(verified(pairs)), store))
 
     placed = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "doc_id", "ref", F.coalesce("root", "node").alias("root"))
     placed = store.store(placed, "placed")
